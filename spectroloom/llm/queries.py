@@ -10,21 +10,28 @@ from spectroloom.llm import sql
 from spectroloom.llm.common import table
 from spectroloom.llm.decontaminate import find_contamination
 from spectroloom.llm.license_scan import scan_licenses
+from spectroloom.llm.substring_dedup import remove_repeats
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": sql.OP2,
     "op5_benchmark_decontamination": sql.OP5,
 }
