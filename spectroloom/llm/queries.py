@@ -10,6 +10,7 @@ from spectroloom.llm import sql
 from spectroloom.llm.common import table
 from spectroloom.llm.decontaminate import find_contamination
 from spectroloom.llm.license_scan import scan_licenses
+from spectroloom.llm.line_dedup import line_report
 from spectroloom.llm.minhash_dedup import near_duplicates
 from spectroloom.llm.substring_dedup import remove_repeats
 
@@ -26,6 +27,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,11 +39,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": sql.OP2,
     "op5_benchmark_decontamination": sql.OP5,
+    "op9_line_dedup": sql.OP9,
     "op10_minhash_dedup": sql.OP10,
 }

@@ -42,3 +42,12 @@ k AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN k ON k.node = d.doc_id
 """
+
+OP9 = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+t AS (SELECT host, count(*) AS total FROM d GROUP BY host),
+c AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM d) WHERE trim(line, ' ') <> '' GROUP BY 1, 2),
+b AS (SELECT host, list(line) AS gone FROM c JOIN t USING (host) WHERE n >= 3 AND n > 0.1 * total GROUP BY host),
+k AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept FROM d LEFT JOIN b USING (host))
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k
+"""
