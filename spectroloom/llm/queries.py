@@ -12,6 +12,7 @@ from spectroloom.llm.decontaminate import find_contamination
 from spectroloom.llm.license_scan import scan_licenses
 from spectroloom.llm.line_dedup import line_report
 from spectroloom.llm.minhash_dedup import near_duplicates
+from spectroloom.llm.sharding import assign_shards
 from spectroloom.llm.substring_dedup import remove_repeats
 
 
@@ -23,6 +24,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +43,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_sharding": op4_sharding,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
