@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from spectroloom.llm import sql
 from spectroloom.llm.common import table
 from spectroloom.llm.decontaminate import find_contamination
+from spectroloom.llm.langid import fit_language_model, predict_language
 from spectroloom.llm.license_scan import scan_licenses
 from spectroloom.llm.line_dedup import line_report
 from spectroloom.llm.minhash_dedup import near_duplicates
+from spectroloom.llm.sentencepiece_codec import round_trip
 from spectroloom.llm.sharding import assign_shards
 from spectroloom.llm.substring_dedup import remove_repeats
 
@@ -32,6 +34,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_language(docs, fit_language_model(docs))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -45,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_sharding": op4_sharding,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_language_id": op6_language_id,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
