@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spectroloom.llm import sql
 from spectroloom.llm.common import table
 from spectroloom.llm.decontaminate import find_contamination
+from spectroloom.llm.html_extract import extract_text
 from spectroloom.llm.langid import fit_language_model, predict_language
 from spectroloom.llm.license_scan import scan_licenses
 from spectroloom.llm.line_dedup import line_report
@@ -26,6 +27,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_sharding": op4_sharding,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_language_id": op6_language_id,
