@@ -6,9 +6,11 @@ collision-corrected Jaccard estimate of two sketches screens candidates, and eve
 the full shingle sets.
 
 Documents with equal sets are one class from the start. Of each bucket of a band, members are first
-compared with its smallest member only. Members that this leaves in different components are then
-compared with each other, in bounded blocks, so no candidate link between components goes unseen and
-no large group is expanded into all its pairs.
+compared with its smallest member only, which joins most of a group in one linear pass. Buckets whose
+members this leaves in different components are screened again by their sketches, in bounded blocks.
+Components that may still be linked make a cluster, in which the members outside its largest component
+are compared with all others on their full sets, block by block, until they are joined. So no candidate
+link between components goes unseen, and no large group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectroloom.llm import textops as X
-from spectroloom.llm.blocks import block_pairs, runs
+from spectroloom.llm.blocks import block_pairs, bulk_blocks, runs
 from spectroloom.llm.common import checkpointed
 from spectroloom.llm.components import connected_components
 
@@ -37,6 +39,8 @@ MANTISSA = 26
 SIGMAS = 4.5
 #: Members of a block when a bucket is compared within itself.
 BLOCK = 512
+#: Ids that are broadcast at most to fetch their texts; more are joined.
+BROADCAST_IDS = 100_000
 
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
 
@@ -140,23 +144,77 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
+class _Joined:
+    """Which of the components in a task are known to be joined."""
+
+    def __init__(self, components: np.ndarray) -> None:
+        self.names, self.at = np.unique(components, return_inverse=True)
+        self.root = np.arange(len(self.names))
+
+    def roots(self) -> np.ndarray:
+        """Of every row."""
+        return self.root[self.at]
+
+    def join(self, i: int, k: int) -> bool:
+        """Join two rows' components; false if they were."""
+        a, b = self.root[self.at[i]], self.root[self.at[k]]
+        self.root[self.root == max(a, b)] = min(a, b)
+        return bool(a != b)
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Promising pairs of one pair of blocks whose members are in different components."""
+    """Of one pair of blocks, components with a promising pair: a forest of them."""
     for run in runs(batches, ["key", "lo", "hi"]):
         ids, comp, n, own = (run.column(k).to_numpy() for k in ("id", "component", "n", "own"))
-        r = _registers(run.column("sketch").combine_chunks())
+        if (comp == comp[0]).all():
+            continue
+        r, joined = _registers(run.column("sketch").combine_chunks()), _Joined(comp)
         lo, hi = np.flatnonzero(own == run.column("lo")[0].as_py()), np.flatnonzero(own == run.column("hi")[0].as_py())
         found = []
         for i in lo.tolist():
-            others = hi[(comp[hi] != comp[i]) & ((ids[hi] > ids[i]) | (own[i] != own[hi]))]
+            roots = joined.roots()
+            others = hi[roots[hi] != roots[i]]
             if len(others):
-                others = others[promising(r[i][None, :], r[others], n[i : i + 1], n[others])]
-                found += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in others]
+                for k in others[promising(r[i][None, :], r[others], n[i : i + 1], n[others])].tolist():
+                    if joined.join(i, k):
+                        found.append((comp[i], comp[k]))
         if found:
             a, b = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the components of one block of a cluster, on full sets: enough to join all that are linked."""
+    for run in runs(batches, ["cluster", "target", "query"]):
+        ids, comp, asks = (run.column(k).to_numpy(zero_copy_only=False) for k in ("id", "component", "asks"))
+        sets: list[np.ndarray] = []
+        for i, j, first, h in shingle_sets(run.column("text").combine_chunks()):
+            sets += [h[first[d] : first[d + 1]].copy() for d in range(j - i)]
+        n = np.array([len(x) for x in sets])
+        r = np.concatenate([sketches(np.array([0, len(x)]), x) for x in sets])
+        joined, found = _Joined(comp), []
+        targets = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks).tolist():
+            roots = joined.roots()
+            others = targets[roots[targets] != roots[i]]
+            others = others[promising(r[i][None, :], r[others], n[i : i + 1], n[others])] if len(others) else others
+            for k in others.tolist():
+                if joined.root[joined.at[i]] != joined.root[joined.at[k]] and linked(sets[i], sets[k]):
+                    joined.join(i, k)
+                    found.append((ids[i], ids[k]))
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """The link rule on two full sets."""
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(both) - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that are links on their full sets."""
     for batch in batches:
@@ -171,11 +229,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sets[int(new[i + d])] = h[first[d] : first[d + 1]].copy()
         keep = np.zeros(batch.num_rows, bool)
         for row, (a, b) in enumerate(zip(*(x.tolist() for x in ids))):
-            x, y = sets[a], sets[b]
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep[row] = 100 * common >= PERCENT * (len(x) + len(y) - common)
+            keep[row] = linked(sets[a], sets[b])
         yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
@@ -187,6 +241,25 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
+def _cluster_links(members: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components of ``members(key, id, component)`` whose buckets hold several."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    members = checkpointed(members.join(mixed, "key"))
+    rows = block_pairs(members.join(sketch, "id"), "key", "id", BLOCK)
+    forest = rows.mapInArrow(_cross, "a long, b long").distinct()
+    cluster = connected_components(forest).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    own = members.select("id", "component").distinct().join(cluster, "component")
+    own = _with_text(checkpointed(own), texts)
+    return bulk_blocks(own, "cluster", "component", "id", BLOCK).mapInArrow(_settle, "a long, b long")
+
+
+def _with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with the texts of their ids, which are broadcast if there are few."""
+    if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return checkpointed(texts.join(F.broadcast(rows), "id"))
+    return texts.join(rows, "id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the size of its shingle set, its component's smallest id, and whether it is that one.
 
@@ -212,13 +285,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     component = checkpointed(connected_components(links))
     members = bands.select("key", "id").join(component.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    members = members.join(mixed, "key").join(sketch, "id")
-    cross = block_pairs(members, "key", "id", BLOCK).mapInArrow(_cross, "a long, b long").distinct()
-    more = checkpointed(_links(cross, texts))
+    more = checkpointed(_cluster_links(members, sketch, texts))
     component = connected_components(links.unionAll(more))
 
     by_class = classes.join(component.select(F.col("node").alias("id"), "component"), "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n", "s1", "s2").join(by_class, ["s1", "s2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its near duplicates; rows without an id stay.
+
+    An id goes if none of its rows is kept.
+    """
+    gone = near_duplicates(docs, doc_id, text).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept")
+    gone = checkpointed(gone.select(F.col("doc_id").alias("gone_id")))
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[doc_id] == gone["gone_id"], "left_anti")
