@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spectroloom.llm import sql
 from spectroloom.llm.common import table
 from spectroloom.llm.decontaminate import find_contamination
+from spectroloom.llm.embedding_dedup import near_vectors
 from spectroloom.llm.html_extract import extract_text
 from spectroloom.llm.langid import fit_language_model, predict_language
 from spectroloom.llm.license_scan import scan_licenses
@@ -48,6 +49,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_language_id": op6_language_id,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": sql.OP2,
     "op5_benchmark_decontamination": sql.OP5,
+    "op8_embedding_dedup": sql.OP8,
     "op9_line_dedup": sql.OP9,
     "op10_minhash_dedup": sql.OP10,
 }

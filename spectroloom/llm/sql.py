@@ -51,3 +51,14 @@ b AS (SELECT host, list(line) AS gone FROM c JOIN t USING (host) WHERE n >= 3 AN
 k AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept FROM d LEFT JOIN b USING (host))
 SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k
 """
+
+OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM v),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) >= 0.9 * a.n * b.n WHERE a.n > 0 AND b.n > 0),
+r AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b),
+k AS (SELECT node, min(low) AS component_id FROM r GROUP BY node),
+c AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(c.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id JOIN k ON k.node = vec_id
+"""
