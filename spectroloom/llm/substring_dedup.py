@@ -28,7 +28,7 @@ WINDOW = 20
 BUCKET_WORDS = 600_000
 MIN_BUCKETS = 64
 #: Bytes of text that are hashed together; equal hashes among them are sent once.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _PACK = "bucket int, batch long, docs binary, known binary, hashes binary, at binary, more binary"
@@ -68,10 +68,10 @@ class _Batch:
     this asks for input in a settled order, as files or sorted partitions give it.
     """
 
-    def __init__(self, batch: pa.RecordBatch, i: int, w: X.Words) -> None:
-        n = len(w.first) - 1
+    def __init__(self, batch: pa.RecordBatch, i: int, first: np.ndarray) -> None:
+        n = len(first) - 1
+        self.start, self.first = i, first
         self.okey, self.fp = (np.asarray(batch.column(k))[i : i + n] for k in ("okey", "fp"))
-        self.first = w.first
         place = np.arange(1, n + 1).astype(np.uint64)
         self.name = int(X.mix(np.array([X.mix((X.mix(self.okey.astype(np.uint64)) ^ self.fp.astype(np.uint64)) + place).sum(dtype=np.uint64)]))[0] >> np.uint64(1))
 
@@ -158,10 +158,12 @@ def _mask(parts: list[bytes], n: int, reach: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _spread(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, X.Words, np.ndarray]]:
-    """Bounded parts of a batch with each word n-gram's document."""
-    for i, j, w in X.word_chunks(batch.column("text"), X.SPACED_WORDS, False, limit=BATCH_BYTES):
-        yield i, w, X.gram_starts(w.first, n, len(w.hashes))
+def _spread(batch: pa.RecordBatch, n: int) -> Iterator[tuple[_Batch, np.ndarray, np.ndarray]]:
+    """Bounded parts of a batch, their word hashes, and the words where an n-gram starts."""
+    for i, _, first, hashes in X.word_parts(batch.column("text"), X.SPACED_WORDS, False, BATCH_BYTES):
+        at = np.flatnonzero(X.gram_starts(first, n, len(hashes)))
+        if len(at):
+            yield _Batch(batch, i, first), hashes, at
 
 
 def _probes(n_buckets: int, block: int, bits: int):
@@ -169,18 +171,14 @@ def _probes(n_buckets: int, block: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, w, ok in _spread(batch, block):
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                h = X.grams(w.hashes, block)[at]
-                pos = at - w.first[np.searchsorted(w.first, at, "right") - 1]
+            for part, hashes, at in _spread(batch, block):
+                h = X.grams(hashes, block)[at]
+                pos = at - part.first[np.searchsorted(part.first, at, "right") - 1]
                 order = np.argsort(h)
                 new = np.r_[True, h[order[1:]] != h[order[:-1]]]
                 heads = np.flatnonzero(new)
                 again = np.diff(np.r_[heads, len(h)]) > 1
                 indexed = np.logical_or.reduceat(pos[order] % block == 0, heads)
-                part = _Batch(batch, i, w)
                 yield part.directory(at[order[again[np.cumsum(new) - 1]]], n_buckets)
                 yield part.entries(n_buckets, h[order[heads]], at[order[heads]], (indexed + 2 * again).astype(np.uint8), bits, ids=False)
 
@@ -207,24 +205,22 @@ def _windows(n_buckets: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column("runs").to_pylist()
-            for i, w, ok in _spread(batch, window):
-                at = np.flatnonzero(ok)
-                place = np.arange(len(w.hashes)) - np.repeat(w.first[:-1], w.counts())
-                missed = place % block == 0
-                for d in range(len(w.first) - 1):
-                    if runs[i + d]:
-                        own = slice(w.first[d], w.first[d + 1])
-                        missed[own] &= ~_mask(runs[i + d], own.stop - own.start, 1)
+            for part, hashes, at in _spread(batch, window):
+                first = part.first
+                missed = (np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))) % block == 0
+                for d in range(len(first) - 1):
+                    if runs[part.start + d]:
+                        own = slice(first[d], first[d + 1])
+                        missed[own] &= ~_mask(runs[part.start + d], own.stop - own.start, 1)
                 before = np.cumsum(np.r_[False, missed])
                 at = at[before[at + window - block + 1] == before[at]]  # a repeated window's own blocks are all hits
                 if not len(at):
                     continue
-                part = _Batch(batch, i, w)
-                h, g = X.grams(w.hashes, window, 3)[at], (X.grams(w.hashes, window, 4)[at] >> np.uint64(32)).astype(np.uint32)
-                doc = np.searchsorted(w.first, at, "right") - 1
-                first, later = _split(h, g, part.okey[doc], at - w.first[doc])
+                h, g = X.grams(hashes, window, 3)[at], (X.grams(hashes, window, 4)[at] >> np.uint64(32)).astype(np.uint32)
+                doc = np.searchsorted(first, at, "right") - 1
+                head, later = _split(h, g, part.okey[doc], at - first[doc])
                 yield part.directory(at[later], n_buckets)
-                yield part.entries(n_buckets, h[first], at[first], g[first], 64, ids=True)
+                yield part.entries(n_buckets, h[head], at[head], g[head], 64, ids=True)
 
     return run
 
@@ -288,10 +284,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     n_buckets = max(MIN_BUCKETS, -(-total // BUCKET_WORDS))
     bits = min(64, max(32, 8 * -(-(total.bit_length() + 12) // 8)))  # of a probe's hash: enough that few words match by chance
-    by_doc = rows.repartition("okey")
     hits = _runs(rows.select("okey", "fp", "text").mapInArrow(_probes(n_buckets, block, bits), _PACK), _hits(bits))
-    near = by_doc.join(hits, ["okey", "fp"]).select("okey", "fp", "text", "runs").sortWithinPartitions("okey", "fp")
+    # both joins read all columns, so that they share one exchange of the texts
+    near = rows.join(hits, ["okey", "fp"]).select("okey", "fp", "text", "runs", "doc_id").sortWithinPartitions("okey", "fp")
     gone = _runs(near.mapInArrow(_windows(max(MIN_BUCKETS, n_buckets // 8), window, block), _PACK), _repeats)
-    out = by_doc.join(gone, ["okey", "fp"], "left").select("doc_id", "text", "runs")
+    out = rows.join(gone, ["okey", "fp"], "left").select("doc_id", "text", "runs", "okey", "fp")
     schema = SCHEMA.replace("kept_sha256", "kept_text") if with_text else SCHEMA
     return out.mapInArrow(_kept(window, with_text), schema)

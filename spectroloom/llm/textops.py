@@ -153,6 +153,21 @@ def word_chunks(column: pa.Array, kind: np.ndarray, lower: bool, seed: int = 1,
         yield i, j, words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], kind, lower, seed)
 
 
+def word_parts(column: pa.Array, kind: np.ndarray, lower: bool, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(i, j, first, hashes)`` of parts of about ``limit`` bytes, tokenised a chunk at a time."""
+    begin, size, first, hashes = 0, 0, [np.zeros(1, np.int64)], []
+    end = 0
+    for _, end, w in word_chunks(column, kind, lower):
+        first.append(w.first[1:] + first[-1][-1])
+        hashes.append(w.hashes)
+        size += len(w.data)
+        if size >= limit:
+            yield begin, end, np.concatenate(first), np.concatenate(hashes)
+            begin, size, first, hashes = end, 0, [np.zeros(1, np.int64)], []
+    if hashes:
+        yield begin, end, np.concatenate(first), np.concatenate(hashes)
+
+
 def grams(hashes: np.ndarray, n: int, seed: int = 2) -> np.ndarray:
     """Hashes of every ``n`` consecutive words, regardless of where documents end."""
     if len(hashes) < n:
