@@ -1,0 +1 @@
+"""Spectral analytics on Spark: fixed-length vectors as array columns of DataFrames."""
