@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectroloom.llm import textops as X
-from spectroloom.llm.pieces import MODEL, TOKENIZERS, Vocabulary, forward, load_vocabulary, units, viterbi
+from spectroloom.llm.pieces import MODEL, TEXT_BYTES, TOKENIZERS, Vocabulary, forward, load_vocabulary, units, viterbi
 
 #: About how many documents of each language the model is fitted on (twice as many at most, by hash).
 SAMPLE_PER_LANG = 1500
@@ -37,8 +37,11 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def _lower(column: pa.Array) -> pa.Array:
-    return pc.utf8_lower(column.cast(pa.large_string()))
+def _parts(column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+    """Bounded slices of a text column, lower-cased."""
+    sizes = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
+    for i, j in X.chunks(np.r_[0, np.cumsum(sizes)], TEXT_BYTES):
+        yield i, j, pc.utf8_lower(column.slice(i, j - i))
 
 
 class LanguageModel:
@@ -48,9 +51,8 @@ class LanguageModel:
         self.languages, self.probability = languages, probability
 
     def log_likelihoods(self, v: Vocabulary, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-        data, offsets = X.text_buffer(_lower(column))
-        for i, j in X.chunks(offsets, 2 * X.CHUNK_BYTES):
-            u = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        for i, j, part in _parts(column):
+            u = units(*X.text_buffer(part))
             logs = forward(v, u, self.probability)
             sums = np.zeros((j - i, len(self.languages)))
             full = np.flatnonzero(np.diff(u.first))
@@ -94,9 +96,8 @@ def fit_language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 names = np.array(batch.column(0).to_pylist(), object)
                 for k, name in enumerate(languages):
                     column = batch.column(1).take(pa.array(np.flatnonzero(names == name)))
-                    data, offsets = X.text_buffer(_lower(column))
-                    for i, j in X.chunks(offsets):
-                        u = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    for _, _, part in _parts(column):
+                        u = units(*X.text_buffer(part))
                         first, ids, _ = viterbi(shared.value, u, scores.value[:, k])
                         times = np.bincount(u.which, minlength=len(u.starts))
                         counts[k] += np.bincount(ids, weights=np.repeat(times, np.diff(first)), minlength=counts.shape[1])
@@ -119,10 +120,9 @@ def _predictor(docs: DataFrame, model: LanguageModel, path: str, file: str):
         languages = np.array(fitted.value.languages, object)
         best, score = np.full(len(column), UNKNOWN, object), np.zeros(len(column))
         if len(languages):
-            letters = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
             for i, j, sums in fitted.value.log_likelihoods(v.value, column):
                 odds = np.exp(sums - sums.max(1, keepdims=True))
-                own = letters[i:j]
+                own = np.array([t.is_valid and _LETTER.search(t.as_py()) is not None for t in column.slice(i, j - i)], bool)
                 best[i:j][own] = languages[odds.argmax(1)][own]
                 score[i:j][own] = (odds.max(1) / odds.sum(1))[own]
         return best.tolist(), score

@@ -19,8 +19,9 @@ TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 #: What a byte-fallback piece scores below the least score of a piece.
 FALLBACK_PENALTY = 10.0
-#: Bytes of units that are worked on together.
-LATTICE_BYTES = 1 << 20
+#: Bytes of text whose units are gathered at once, and of distinct units that are worked on together.
+TEXT_BYTES = 1 << 20
+LATTICE_BYTES = 1 << 18
 SPACE = 0x20
 
 
@@ -148,7 +149,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> Units:
     first = np.searchsorted(starts, np.r_[begin, len(out)])
     if not len(starts):
         return Units(out, starts, ends, starts, first)
-    r = X.roller(7)
+    r = X.roller(1)
     h = r.spans(r.prefix(r.bytes[out]), starts, ends)
     _, index, which = np.unique(h, return_index=True, return_inverse=True)
     return Units(out, starts[index], ends[index], which.ravel(), first)

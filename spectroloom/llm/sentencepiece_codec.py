@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spectroloom.llm import textops as X
-from spectroloom.llm.pieces import MODEL, TOKENIZERS, Vocabulary, load_vocabulary, units, viterbi
+from spectroloom.llm.pieces import MODEL, TEXT_BYTES, TOKENIZERS, Vocabulary, load_vocabulary, units, viterbi
 
 SCHEMA = "doc_id long, n_pieces long, n_byte_pieces long, score double, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
@@ -23,7 +23,7 @@ SCHEMA = "doc_id long, n_pieces long, n_byte_pieces long, score double, ids_sha2
 def encode_column(v: Vocabulary, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """``(i, j, first, ids, scores)`` of texts i to j - 1: pieces of text k at first[k] on, and each text's score."""
     data, offsets = X.text_buffer(column)
-    for i, j in X.chunks(offsets, 2 * X.CHUNK_BYTES):
+    for i, j in X.chunks(offsets, TEXT_BYTES):
         u = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         first, ids, score = viterbi(v, u, v.scores)
         n = np.diff(first)[u.which]
