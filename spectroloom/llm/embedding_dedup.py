@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +57,7 @@ def bucket_codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, hash
     picks = list(itertools.product(range(choices), repeat=hashes))
     out = np.empty((n, tables, min(probes, len(picks))), np.int64)
     for t in range(tables):
-        cost, code = np.zeros((n, len(picks))), np.full((n, len(picks)), t * (1 << 20) + d, np.int64)
+        cost, code = np.zeros((n, len(picks))), np.full((n, len(picks)), t + 1, np.int64)
         for h in range(hashes):
             r = padded
             for _ in range(3):
@@ -70,7 +71,7 @@ def bucket_codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, hash
             code = code * (2 * width + 1) + axis[:, at]
         best = np.argsort(cost, 1, kind="stable")[:, : out.shape[2]]
         out[:, t] = np.take_along_axis(code, best, 1)
-    return out
+    return out + (d << 46)  # vectors of other lengths have other buckets
 
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -108,7 +109,11 @@ def _tight(kind: str, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cos = (_unit(batch.column("x").to_pylist(), kind) * _unit(batch.column("lead_x").to_pylist(), kind)).sum(1)
+                x, lead_x = batch.column("x"), batch.column("lead_x")
+                size, cos = np.asarray(pc.binary_length(x)), np.empty(batch.num_rows)
+                for n in np.unique(size):
+                    at = pa.array(np.flatnonzero(size == n))
+                    cos[size == n] = (_unit(x.take(at).to_pylist(), kind) * _unit(lead_x.take(at).to_pylist(), kind)).sum(1)
                 own, lead = (np.asarray(batch.column(k)) for k in ("rid", "lead_rid"))
                 vec, lead_vec = (np.asarray(batch.column(k)) for k in ("vec_id", "lead_vec"))
                 tight = cos >= near
