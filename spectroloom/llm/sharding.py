@@ -49,11 +49,15 @@ def _put(loads: Column, shard: Column, size: Column) -> Column:
     return F.transform(loads, lambda x, i: F.when(i == shard, x + size).otherwise(x))
 
 
+def _least(loads: Column) -> Column:
+    return (F.array_position(loads, F.array_min(loads)) - 1).cast("int")
+
+
 def rebalance(slot_map: DataFrame, slot_bytes: DataFrame, n_shards: int) -> DataFrame:
     """The next version of a map for slots of ``slot_bytes(slot, bytes)``, with few slots moved.
 
     Works on one array of all slots, whose number is fixed however many records there are. Slots that the
-    map does not know (parts of split slots, or shards that are gone) are placed like moved ones.
+    map does not know (parts of split slots, or those of shards that are gone) go to the shard with the least.
     """
     slots = slot_bytes.join(slot_map, "slot", "full").select("slot", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), "shard", F.max("version").over(W.partitionBy()).alias("version"))
     item = F.struct((-F.col("bytes")).alias("order"), "slot", "bytes", F.when(F.col("shard") < n_shards, F.col("shard")).alias("shard"))
@@ -63,17 +67,18 @@ def rebalance(slot_map: DataFrame, slot_bytes: DataFrame, n_shards: int) -> Data
     start = F.struct(_loads(n_shards).alias("loads"), F.array().cast(done).alias("done"), F.array().cast("array<struct<slot:bigint,bytes:bigint>>").alias("pool"))
 
     def keep(acc: Column, x: Column) -> Column:
-        stays = x["shard"].isNotNull() & (F.coalesce(F.get(acc["loads"], x["shard"]), F.lit(0)) + x["bytes"] <= share)
-        placed = F.array(F.struct(x["slot"].alias("slot"), x["shard"].alias("shard")))
+        shard = F.coalesce(x["shard"], _least(acc["loads"]))
+        stays = F.get(acc["loads"], shard) + x["bytes"] <= share
+        placed = F.array(F.struct(x["slot"].alias("slot"), shard.alias("shard")))
         waits = F.array(F.struct(x["slot"].alias("slot"), x["bytes"].alias("bytes")))
         return F.struct(
-            F.when(stays, _put(acc["loads"], x["shard"], x["bytes"])).otherwise(acc["loads"]).alias("loads"),
+            F.when(stays, _put(acc["loads"], shard, x["bytes"])).otherwise(acc["loads"]).alias("loads"),
             F.when(stays, F.concat(acc["done"], placed)).otherwise(acc["done"]).alias("done"),
             F.when(stays, acc["pool"]).otherwise(F.concat(acc["pool"], waits)).alias("pool"),
         )
 
     def place(acc: Column, x: Column) -> Column:
-        shard = (F.array_position(acc["loads"], F.array_min(acc["loads"])) - 1).cast("int")
+        shard = _least(acc["loads"])
         return F.struct(_put(acc["loads"], shard, x["bytes"]).alias("loads"), F.concat(acc["done"], F.array(F.struct(x["slot"].alias("slot"), shard.alias("shard")))).alias("done"))
 
     kept = one.select("version", F.aggregate("slots", start, keep).alias("k"))
