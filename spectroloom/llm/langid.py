@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectroloom.llm import textops as X
-from spectroloom.llm.pieces import MODEL, TEXT_BYTES, TOKENIZERS, Vocabulary, forward, load_vocabulary, units, viterbi
+from spectroloom.llm.pieces import MODEL, TEXT_BYTES, TOKENIZERS, Units, Vocabulary, forward, load_vocabulary, units, viterbi
 
 #: About how many documents of each language the model is fitted on (twice as many at most, by hash).
 SAMPLE_PER_LANG = 1500
@@ -44,16 +44,42 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
         yield i, j, pc.utf8_lower(column.slice(i, j - i))
 
 
+#: Units whose log probabilities a task keeps for later parts of its texts; others are computed again.
+KEPT_UNITS = 200_000
+
+
+class _Seen:
+    """Log probabilities of the units that came first, by their hashes; what is not kept is computed."""
+
+    def __init__(self, v: Vocabulary, probability: np.ndarray) -> None:
+        self.v, self.probability = v, probability
+        self.hashes, self.logs = np.zeros(0, np.uint64), np.zeros((0, probability.shape[1]))
+
+    def look_up(self, u: Units) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, u.hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == u.hashes if len(self.hashes) else np.zeros(len(u.hashes), bool)
+        out = np.empty((len(u.hashes), self.logs.shape[1]))
+        out[known] = self.logs[at[known]]
+        new = np.flatnonzero(~known)
+        out[new] = forward(self.v, u.only(new), self.probability)
+        new = new[: KEPT_UNITS - len(self.hashes)]
+        if len(new):
+            hashes = np.concatenate([self.hashes, u.hashes[new]])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.logs = hashes[order], np.concatenate([self.logs, out[new]])[order]
+        return out
+
+
 class LanguageModel:
     """Languages and the probability of each piece in each."""
 
     def __init__(self, languages: list[str], probability: np.ndarray) -> None:
         self.languages, self.probability = languages, probability
 
-    def log_likelihoods(self, v: Vocabulary, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    def log_likelihoods(self, seen: _Seen, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         for i, j, part in _parts(column):
             u = units(*X.text_buffer(part))
-            logs = forward(v, u, self.probability)
+            logs = seen.look_up(u)
             sums = np.zeros((j - i, len(self.languages)))
             full = np.flatnonzero(np.diff(u.first))
             if len(full):
@@ -116,11 +142,15 @@ def _predictor(docs: DataFrame, model: LanguageModel, path: str, file: str):
     v = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path, file))
     fitted = docs.sparkSession.sparkContext.broadcast(model)
 
+    held: list[_Seen] = []  # of a task
+
     def predict(column: pa.Array) -> tuple[list[str], np.ndarray]:
+        if not held:
+            held.append(_Seen(v.value, fitted.value.probability))
         languages = np.array(fitted.value.languages, object)
         best, score = np.full(len(column), UNKNOWN, object), np.zeros(len(column))
         if len(languages):
-            for i, j, sums in fitted.value.log_likelihoods(v.value, column):
+            for i, j, sums in fitted.value.log_likelihoods(held[0], column):
                 odds = np.exp(sums - sums.max(1, keepdims=True))
                 own = np.array([t.is_valid and _LETTER.search(t.as_py()) is not None for t in column.slice(i, j - i)], bool)
                 best[i:j][own] = languages[odds.argmax(1)][own]

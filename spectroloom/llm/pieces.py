@@ -7,6 +7,7 @@ step, and each match is an edge of its unit's lattice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,10 @@ MODEL = "piece_bpe_32k.model"
 #: What a byte-fallback piece scores below the least score of a piece.
 FALLBACK_PENALTY = 10.0
 #: Bytes of text whose units are gathered at once, and of distinct units that are worked on together.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 LATTICE_BYTES = 1 << 18
+#: Units above so many bytes (text without spaces) are worked on alone.
+LONG_UNIT = 512
 SPACE = 0x20
 
 
@@ -127,6 +130,11 @@ class Units:
     ends: np.ndarray
     which: np.ndarray  # the unit at each place of the texts
     first: np.ndarray  # of n + 1: text i has places first[i] to first[i + 1] - 1
+    hashes: np.ndarray  # of each unit, in rising order
+
+    def only(self, chosen: np.ndarray) -> Units:
+        """Some of the units, without places."""
+        return Units(self.data, self.starts[chosen], self.ends[chosen], chosen[:0], self.first[:0], self.hashes[chosen])
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> Units:
@@ -148,17 +156,17 @@ def units(data: np.ndarray, offsets: np.ndarray) -> Units:
     ends = np.r_[starts[1:], len(out)] if len(starts) else starts
     first = np.searchsorted(starts, np.r_[begin, len(out)])
     if not len(starts):
-        return Units(out, starts, ends, starts, first)
+        return Units(out, starts, ends, starts, first, np.zeros(0, np.uint64))
     r = X.roller(1)
     h = r.spans(r.prefix(r.bytes[out]), starts, ends)
-    _, index, which = np.unique(h, return_index=True, return_inverse=True)
-    return Units(out, starts[index], ends[index], which.ravel(), first)
+    hashes, index, which = np.unique(h, return_index=True, return_inverse=True)
+    return Units(out, starts[index], ends[index], which.ravel(), first, hashes)
 
 
 def _rows(u: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(units, bytes as rows, lengths)`` of bounded sets of units of like length."""
+    """``(units, bytes as rows, lengths)`` of bounded sets of units of like length, but for the long ones."""
     size = u.ends - u.starts
-    order = np.argsort(size, kind="stable")
+    order = np.argsort(size, kind="stable")[: int((size <= LONG_UNIT).sum())]
     i = 0
     while i < len(order):
         j = i + 1
@@ -212,6 +220,28 @@ def edges(v: Vocabulary, rows: np.ndarray, length: np.ndarray, reached) -> Itera
             yield p, p + 1, alone, v.byte_ids[rows[alone, p]]
 
 
+def _long_units(v: Vocabulary, u: Units) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """``(unit, bytes, edges)`` of the long units, edges by start: all starts advance through the trie together."""
+    for k in np.flatnonzero(u.ends - u.starts > LONG_UNIT).tolist():
+        raw = u.data[u.starts[k] : u.ends[k]]
+        walk = np.flatnonzero(_CHAR[raw] > 0)
+        need, state = _CHAR[raw[walk]], np.zeros(len(walk), np.int64)
+        single, found = np.zeros(len(raw), bool), []
+        for j in range(v.longest):
+            inside = walk + j < len(raw)
+            walk, need, state = walk[inside], need[inside], state[inside]
+            state, ok = v.trie.step(state, raw[walk + j])
+            walk, need, state = walk[ok], need[ok], state[ok].astype(np.int64)
+            hit = v.trie.value[state] >= 0
+            single[walk[hit & (need == j + 1)]] = True
+            found.append(np.stack([walk[hit], walk[hit] + j + 1, v.trie.value[state[hit]]]))
+        head = np.maximum.accumulate(np.where(_CHAR[raw] > 0, np.arange(len(raw)), 0))
+        alone = np.flatnonzero(~single[head])
+        found.append(np.stack([alone, alone + 1, v.byte_ids[raw[alone]]]))
+        edges = np.concatenate(found, 1)
+        yield k, len(raw), list(zip(*edges[:, np.argsort(edges[0], kind="stable")].tolist()))
+
+
 def viterbi(v: Vocabulary, u: Units, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best segmentation of each unit: ``(first, pieces, score)``, pieces of unit i at first[i] on."""
     n = len(u.starts)
@@ -234,6 +264,20 @@ def viterbi(v: Vocabulary, u: Units, scores: np.ndarray) -> tuple[np.ndarray, np
             owners.append(own[live])
             at[live] = back[live, at[live]]
             live = live[at[live] > 0]
+    weights = scores.tolist()
+    for k, size, found in _long_units(v, u):
+        best, back = [-np.inf] * (size + 1), [(0, 0)] * (size + 1)
+        best[0] = 0.0
+        for p, e, i in found:
+            value = best[p] + weights[i]
+            if value > best[e]:
+                best[e], back[e] = value, (p, i)
+        total[k], at, ids = best[size], size, []
+        while at:
+            at, i = back[at]
+            ids.append(i)
+        parts.append(np.array(ids, np.int32))
+        owners.append(np.full(len(ids), k))
     if not parts:
         return np.zeros(n + 1, np.int64), np.zeros(0, np.int32), total
     owner, ids = np.concatenate(owners)[::-1], np.concatenate(parts)[::-1]
@@ -270,4 +314,15 @@ def forward(v: Vocabulary, u: Units, probability: np.ndarray) -> np.ndarray:
             sums[r, e] += sums[r, p] * probability[ids]
         with np.errstate(divide="ignore"):
             out[own] = np.log(sums[np.arange(m), length]) + scale[:, None]
+    for unit, size, found in _long_units(v, u):
+        with np.errstate(divide="ignore"):
+            logs = np.log(probability).T.tolist()
+        for j, log_p in enumerate(logs):
+            held = [-np.inf] * (size + 1)
+            held[0] = 0.0
+            for p, e, i in found:
+                a, b = held[e], held[p] + log_p[i]
+                top = max(a, b)
+                held[e] = top if top == -np.inf else top + math.log1p(math.exp(-abs(a - b))) if min(a, b) > -np.inf else top
+            out[unit, j] = held[size]
     return out
