@@ -23,7 +23,7 @@ WINDOW = 10
 #: A shard's suffixes are sorted only if their first SEED words (fewer for shorter items) are a test item's.
 SEED = 5
 #: Bytes of text in a shard.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of test text that are broadcast at once; a larger test set is searched in several passes.
 BLOCK_BYTES = 32 << 20
 
@@ -120,7 +120,7 @@ def _cut(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _hits(tests: TestSet, text: pa.Array) -> Iterator[tuple[int, int, X.Words, np.ndarray, dict[int, set[int]]]]:
     """For each shard: its documents, words, a mask of hit words, and each document's items."""
-    for i, j, w in X.word_chunks(text, X.ALNUM_WORDS, True, limit=SHARD_BYTES):
+    for i, j, w in X.word_parts(text, X.ALNUM_WORDS, True, SHARD_BYTES):
         at, n, item = tests.occurrences(w)
         step = np.zeros(len(w.hashes) + 1, np.int32)
         np.add.at(step, at, 1)
@@ -239,7 +239,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
         def run(batches: Iterator[pa.RecordBatch], tests: TestSet = tests) -> Iterator[pa.RecordBatch]:
             start = np.searchsorted(tests.item, np.arange(len(tests.names)))
             for batch in batches:
-                for i, j, w in X.word_chunks(batch.column(1), X.ALNUM_WORDS, True, limit=SHARD_BYTES):
+                for i, j, w in X.word_parts(batch.column(1), X.ALNUM_WORDS, True, SHARD_BYTES):
                     ids = batch.column(0).slice(i, j - i).to_pylist()
                     found = [(tests.names[tests.item[s]], int(s - start[tests.item[s]]), ids[d], at, n) for s, d, at, n in tests.longest(w)]
                     columns = list(zip(*found)) or [()] * 5

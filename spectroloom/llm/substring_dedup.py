@@ -28,7 +28,7 @@ WINDOW = 20
 BUCKET_WORDS = 600_000
 MIN_BUCKETS = 64
 #: Bytes of text that are hashed together; equal hashes among them are sent once.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _PACK = "bucket int, batch long, docs binary, known binary, hashes binary, at binary, more binary"
@@ -160,10 +160,10 @@ def _mask(parts: list[bytes], n: int, reach: int) -> np.ndarray:
 
 def _spread(batch: pa.RecordBatch, n: int) -> Iterator[tuple[_Batch, np.ndarray, np.ndarray]]:
     """Bounded parts of a batch, their word hashes, and the words where an n-gram starts."""
-    for i, _, first, hashes in X.word_parts(batch.column("text"), X.SPACED_WORDS, False, BATCH_BYTES):
-        at = np.flatnonzero(X.gram_starts(first, n, len(hashes)))
+    for i, _, w in X.word_parts(batch.column("text"), X.SPACED_WORDS, False, BATCH_BYTES):
+        at = np.flatnonzero(X.gram_starts(w.first, n, len(w.hashes)))
         if len(at):
-            yield _Batch(batch, i, first), hashes, at
+            yield _Batch(batch, i, w.first), w.hashes, at
 
 
 def _probes(n_buckets: int, block: int, bits: int):

@@ -7,6 +7,7 @@ batch. Words and word sequences are compared by polynomial hashes whose byte val
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that numpy works on at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _U64 = np.uint64
 
@@ -85,16 +86,28 @@ def roller(seed: int) -> Roller:
     return _ROLLERS[seed]
 
 
+def release_memory() -> None:
+    """Give the system back what earlier batches have left in this worker's allocators.
+
+    Workers live through many stages, and an executor's memory limit counts what they hold unused.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; a null counts as empty."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    release_memory()
     if column.null_count:
         column = column.fill_null("")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = column.buffers()
-    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(off, kind)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
@@ -153,19 +166,19 @@ def word_chunks(column: pa.Array, kind: np.ndarray, lower: bool, seed: int = 1,
         yield i, j, words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], kind, lower, seed)
 
 
-def word_parts(column: pa.Array, kind: np.ndarray, lower: bool, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(i, j, first, hashes)`` of parts of about ``limit`` bytes, tokenised a chunk at a time."""
-    begin, size, first, hashes = 0, 0, [np.zeros(1, np.int64)], []
-    end = 0
+def word_parts(column: pa.Array, kind: np.ndarray, lower: bool, limit: int) -> Iterator[tuple[int, int, Words]]:
+    """``(i, j, words)`` of parts of about ``limit`` bytes, tokenised a chunk at a time; hashes only, no bytes."""
+    none = np.zeros(0, np.int64)
+    begin, end, size, first, hashes = 0, 0, 0, [np.zeros(1, np.int64)], []
     for _, end, w in word_chunks(column, kind, lower):
         first.append(w.first[1:] + first[-1][-1])
         hashes.append(w.hashes)
         size += len(w.data)
         if size >= limit:
-            yield begin, end, np.concatenate(first), np.concatenate(hashes)
+            yield begin, end, Words(none, none, none, np.concatenate(hashes), np.concatenate(first))
             begin, size, first, hashes = end, 0, [np.zeros(1, np.int64)], []
     if hashes:
-        yield begin, end, np.concatenate(first), np.concatenate(hashes)
+        yield begin, end, Words(none, none, none, np.concatenate(hashes), np.concatenate(first))
 
 
 def grams(hashes: np.ndarray, n: int, seed: int = 2) -> np.ndarray:
