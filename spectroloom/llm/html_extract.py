@@ -2,11 +2,12 @@
 
 Every element of a page is a node with a hidden label, content or not. A node's own potential comes from
 its tag, its class and id words, its text and its links; a pairwise potential ties it to its parent, by
-whether its tag and words are of a kind that holds an article, of one that is none, or of neither.
+whether its tag and words are of a kind that holds an article, of one that is none, or of neither. An
+element of the second kind, and what lies in it, is never content, however much text it has.
 Sum-product messages go up from the leaves and down from the root, which gives each node's exact
 marginal of being content. The potentials are log odds of counts over labelled pages: a few built-in ones
-that show every kind of block, and a bounded sample of the pages at hand whose own semantic elements
-label them.
+that show every kind of block, and a bounded sample of the distinct pages at hand whose own semantic
+elements label them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: About how many of the pages the potentials are fitted on (twice as many at most, by hash).
+#: About how many of the distinct pages the potentials are fitted on (twice as many at most, by hash).
 SAMPLE_PAGES = 2000
 #: What the elements of the built-in pages weigh together against those of the sample, which weigh 1.
 BUILT_IN_WEIGHT = 1.0
@@ -52,6 +53,11 @@ CHROME_TAGS = frozenset("nav header footer aside form button dialog menu select
 CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 KINDS = ("chrome", "holds", "other")
+#: Elements that hold others, and how a class of theirs begins that says what they have, not what they are (has-comments).
+CONTAINERS = frozenset("html body main article section div".split())
+HAS = frozenset("has with without no not is category tag".split())
+#: How a class ends that says in what state a part of an article is (comments-open).
+STATES = frozenset("open opened closed on off enabled disabled".split())
 
 #: Labelled pages: y="1" is content, y="0" is not, others are as their parents.
 BUILT_IN = [
@@ -70,10 +76,10 @@ _WORDS = re.compile(r"[a-z]+")
 class Page:
     """A page's elements in order, parents before children, and its text runs."""
 
-    __slots__ = ("tag", "parent", "words", "label", "runs", "breaks")
+    __slots__ = ("tag", "parent", "names", "words", "label", "runs", "breaks")
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.words, self.label = ["#page"], [-1], [()], [None]
+        self.tag, self.parent, self.names, self.words, self.label = ["#page"], [-1], [()], [()], [None]
         self.runs: list[tuple[int, str, int]] = []  # element, text, block
         self.breaks = 0
         stack, at = [0], 0
@@ -115,7 +121,7 @@ class Page:
             self._close(stack, ("p",), ("td", "th", "table", "button", "object"))
         if name in ENDS:
             self._close(stack, ENDS[name], ("ul", "ol", "dl", "table", "menu"))
-        words, label = (), None
+        names, label = (), None
         if attributes:
             found = []
             for key, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -123,13 +129,14 @@ class Page:
                 if key.lower() == "y":
                     label = value == "1"
                 elif key.lower() in ("hidden", "aria-hidden"):
-                    found += ["hidden"] * (value != "false")
+                    found += [("hidden",)] * (value != "false")
                 else:
-                    found += _WORDS.findall(value)
-            words = tuple(found)
+                    found += [tuple(_WORDS.findall(name)) for name in value.split()]
+            names = tuple(found)
         self.tag.append(name)
         self.parent.append(stack[-1])
-        self.words.append(words)
+        self.names.append(names)
+        self.words.append(tuple(w for name in names for w in name))
         self.label.append(label)
 
     def _close(self, stack: list[int], names: tuple[str, ...], stop: tuple[str, ...]) -> None:
@@ -142,10 +149,48 @@ class Page:
                 return
 
     def kind(self, k: int) -> str:
-        """Whether an element's tag or words say that it holds the article, or is no part of one."""
-        if self.tag[k] in CHROME_TAGS or any(w in CHROME or w == "hidden" for w in self.words[k]):
+        """Whether an element's tag or words say that it holds the article, or is no part of one.
+
+        A name that says what a container has or in what state it is does not say what it is. An article's
+        first telling name counts, and a main element or the whole page is never chrome by its words.
+        """
+        tag, words = self.tag[k], self.words[k]
+        holds = tag in CONTENT_TAGS or any(w in CONTENT_WORDS for w in words)
+        if tag in CHROME_TAGS or "hidden" in words:
             return "chrome"
-        return "holds" if self.tag[k] in CONTENT_TAGS or any(w in CONTENT_WORDS for w in self.words[k]) else "other"
+        if tag not in ("main", "html", "body"):
+            named = any(w in CONTENT_WORDS for name in self.names[k] for w in name if not CHROME.intersection(name))
+            for name in self.names[k]:
+                if not CHROME.intersection(name):
+                    if tag == "article" and CONTENT_WORDS.intersection(name) and name[0] not in HAS:
+                        break
+                elif not (name[0] in HAS and tag in CONTAINERS and len(name) > 1 or name[-1] in STATES and (named or tag == "article")):
+                    return "chrome"
+        return "holds" if holds else "other"
+
+    def kinds(self) -> list[str]:
+        """Each element's kind, chrome if it lies in chrome.
+
+        A main element is free of what it lies in, as are all that hold an article of forms around them.
+        On a page where no other element holds one, those in chrome other than an aside do.
+        """
+        own = [self.kind(k) for k in range(len(self.tag))]
+        forms = [t == "form" and not any(CHROME.intersection(name) for name in names) for t, names in zip(self.tag, self.names)]
+        out = self._shut(own, forms)
+        if not any(x == "holds" and t not in ("html", "body") for x, t in zip(out, self.tag)):
+            out = self._shut(own, [t not in RAW and t not in ("aside", "dialog") for t in self.tag])
+        return out
+
+    def _shut(self, own: list[str], loose: list[bool]) -> list[str]:
+        """Kinds with chrome handed down; what holds an article leaves chrome that is all ``loose``."""
+        out, shut = own[:], [0] * len(own)  # 0 outside chrome, 1 in loose chrome, 2 in other chrome
+        for k in range(1, len(own)):
+            around = shut[self.parent[k]]
+            if own[k] == "chrome":
+                shut[k] = max(around, 1 if loose[k] else 2)
+            elif around and not (self.tag[k] == "main" or around == 1 and own[k] == "holds"):
+                out[k], shut[k] = "chrome", around
+        return out
 
     def features(self) -> list[tuple[str, ...]]:
         """Of each element: its kind first, then tag, length of own text, part of its text that is linked, and words."""
@@ -163,12 +208,11 @@ class Page:
         for k in range(n - 1, 0, -1):
             total[self.parent[k]] += total[k]
             total_linked[self.parent[k]] += total_linked[k]
-        out = []
+        out, kinds = [], self.kinds()
         for k in range(n):
             words = [f"w:{w}" for w in dict.fromkeys(self.words[k]) if w not in CHROME and w not in CONTENT_WORDS and w != "hidden"]
-            kind = self.kind(k)
             links = 3 * total_linked[k] // max(total[k], 1)
-            out.append((kind, f"t:{self.tag[k]}", f"n:{min(own[k], 400).bit_length()}", f"l:{links}", *words))
+            out.append((kinds[k], f"t:{self.tag[k]}", f"n:{min(own[k], 400).bit_length()}", f"l:{links}", *words))
         return out
 
     def labels(self) -> list[bool] | None:
@@ -176,12 +220,13 @@ class Page:
         n = len(self.tag)
         if not any(x is not None for x in self.label) and not any(t in CONTENT_TAGS for t in self.tag):
             return None
-        out = [False] * n
+        out, kinds = [False] * n, self.kinds()
+        by_label = any(x is not None for x in self.label)
         for k in range(1, n):
             if self.label[k] is not None:
                 out[k] = self.label[k]
-            elif not any(x is not None for x in self.label):
-                out[k] = self.kind(k) != "chrome" and (self.tag[k] in CONTENT_TAGS or out[self.parent[k]])
+            elif not by_label:
+                out[k] = kinds[k] != "chrome" and (self.tag[k] in CONTENT_TAGS or out[self.parent[k]])
             else:
                 out[k] = out[self.parent[k]]
         return out
@@ -204,6 +249,7 @@ def _count(page: Page, weight: float, counts: Counter) -> None:
         for f in features:
             counts[_bucket(f), int(labels[k])] += weight
         counts[-1, int(labels[k])] += weight
+        kind = kind if page.kind(k) == "holds" else page.kind(k)
         counts[-2 - 2 * KINDS.index(kind) - int(labels[page.parent[k]]), int(labels[k])] += weight
 
 
@@ -215,6 +261,7 @@ class TreeModel:
         self.odds = {a: math.log(get(a, 1) / get(-1, 1)) - math.log(get(a, 0) / get(-1, 0)) for a, _ in counts if a >= 0}
         # of an element's kind: the probability of its label (last) given its parent's
         self.given = {kind: [[get(i - y, x) / (get(i - y, 0) + get(i - y, 1)) for x in (0, 1)] for y in (0, 1)] for kind, i in zip(KINDS, (-2, -4, -6))}
+        self.given["chrome"] = [[1.0, 0.0], [1.0, 0.0]]  # certain, so that no number of children outweighs it
         self.cache: dict[tuple[str, ...], float] = {}
 
     def evidence(self, features: tuple[str, ...]) -> float:
@@ -230,39 +277,42 @@ class TreeModel:
         """The probability of content of each element, by messages up and then down the tree."""
         n, parent = len(page.tag), page.parent
         features = page.features()
-        own = [(1.0, self.evidence(f)) for f in features]
-        own[0] = (1.0, 1e-12)  # the page itself is not the article
         given = [self.given[f[0]] for f in features]
-        up0, up1 = [x for x, _ in own], [x for _, x in own]
-        to0, to1 = [1.0] * n, [1.0] * n
+        # log odds of content: from the element and its children, and of each element's message to its parent
+        up = [math.log(self.evidence(f)) for f in features]
+        up[0] = math.log(1e-12)  # the page itself is not the article
+        to = [0.0] * n
         for k in range(n - 1, 0, -1):
-            scale = up0[k] + up1[k]
-            a, b = up0[k] / scale, up1[k] / scale
             (g00, g01), (g10, g11) = given[k]
-            up0[k], up1[k] = a, b
-            to0[k], to1[k] = g00 * a + g01 * b, g10 * a + g11 * b
-            p = parent[k]
-            up0[p] *= to0[k]
-            up1[p] *= to1[k]
-            if up0[p] + up1[p] < 1e-200:
-                up0[p], up1[p] = up0[p] * 1e200, up1[p] * 1e200
+            if g01 or g11:
+                a, b = _pair(up[k])
+                to[k] = math.log(g10 * a + g11 * b) - math.log(g00 * a + g01 * b)
+                up[parent[k]] += to[k]
         out = [0.0] * n
-        down = [(1.0, 1.0)] * n
+        down = [0.0] * n
         for k in range(n):
             if k:
-                p = parent[k]
-                d0, d1 = down[p]
-                # what the parent believes without this child's own message
-                q0, q1 = up0[p] * d0 / to0[k], up1[p] * d1 / to1[k]
-                s = q0 + q1
-                q0, q1 = (q0 / s, q1 / s) if s else (0.5, 0.5)
                 (g00, g01), (g10, g11) = given[k]
-                down[k] = (q0 * g00 + q1 * g10, q0 * g01 + q1 * g11)
-            a, b = up0[k] * down[k][0], up1[k] * down[k][1]
-            out[k] = b / (a + b) if a + b else 0.0
+                if not (g01 or g11):
+                    down[k] = -math.inf
+                    continue
+                # what the parent believes without this child's own message
+                p = parent[k]
+                q0, q1 = _pair(up[p] + down[p] - to[k])
+                down[k] = math.log(q0 * g01 + q1 * g11) - math.log(q0 * g00 + q1 * g10)
+            out[k] = _pair(up[k] + down[k])[1]
         return out
 
 
+def _pair(odds: float) -> tuple[float, float]:
+    """The probabilities of not content and of content."""
+    if odds > 0:
+        e = math.exp(-odds)
+        return e / (1 + e), 1 / (1 + e)
+    e = math.exp(odds)
+    return 1 / (1 + e), e / (1 + e)
+
+
 def main_text(model: TreeModel, source: str) -> str:
     """The content blocks' text: references decoded, white space as one space, blocks joined by two line feeds."""
     page = Page(source)
@@ -276,10 +326,10 @@ def main_text(model: TreeModel, source: str) -> str:
 
 
 def fit_tree_model(pages: DataFrame, html_column: str = "html", sample_pages: int = SAMPLE_PAGES) -> TreeModel:
-    """Potentials from the built-in pages and a bounded sample of the given ones that label themselves."""
+    """Potentials from the built-in pages and a bounded sample of the distinct given ones that label themselves."""
     rows = pages.select(pages[html_column].cast("string").alias("html")).where("html is not null")
-    every = max(1, rows.count() // sample_pages)
-    sample = rows.where(F.pmod(F.xxhash64("html"), F.lit(every)) == 0)
+    every = max(1, rows.select(F.xxhash64("html").alias("h")).distinct().count() // sample_pages)
+    sample = rows.where(F.pmod(F.xxhash64("html"), F.lit(every)) == 0).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()

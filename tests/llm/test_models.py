@@ -128,6 +128,31 @@ def test_main_text(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_chrome_outweighs_its_text(spark):
+    model = fit_tree_model(spark.read.parquet(f"{SF}/pages.parquet"))
+    said = "<p>" + "a reader has words and more of them to say here, at length " * 3 + "</p>"
+    for n in range(1, 11):
+        for start, end in (("<section class='comments'>", "</section>"), ("<aside>", "</aside>"), ("<div class='sidebar'>", "</div>"), ("<div class='cookie notice'>", "</div>"), ("<div id='comments'><div>", "</div></div>"), ("<div class='comments'><article>", "</article></div>"), ("<aside><div class='content'>", "</div></aside>")):
+            part = start + n * said + end
+            for source in (f"<article><h1>T</h1><p>Own.</p>{part}</article>", f"<body><article><h1>T</h1><p>Own.</p></article>{part}</body>"):
+                assert main_text(model, source) == "T\n\nOwn."
+    own = "<p>One line.</p>"
+    for source in (f"<article class='post has-comments'>{own}</article>", f"<body class='has-sidebar'><div class='wrap no-sidebar'><div class='post comments-open'>{own}", f"<form><div id='content'>{own}", f"<div class='menu-wrap'><article>{own}", f"<main class='search'>{own}"):
+        assert main_text(model, source) == "One line."
+    for source in (f"<article class='comment'>{own}", f"<div class='post-comments'>{own}", f"<p class='no-comments'>{own}", f"<div class='post' hidden>{own}"):
+        assert main_text(model, source) == ""
+    many = main_text(model, f"<article>{2000 * said}<aside>{2000 * said}</aside></article>")
+    assert many.count("at length") == 3 * 2000
+
+
+def test_fit_samples_distinct_pages(spark):
+    pages = [f"<body><main><p>Words {i}.</p></main><nav>Links</nav></body>" for i in range(20)]
+    once = spark.createDataFrame([(s,) for s in pages], "html string")
+    copies = spark.createDataFrame([(s,) for s in [*pages, *60 * pages[:1]]], "html string").repartition(3)
+    a, b = fit_tree_model(once, sample_pages=10), fit_tree_model(copies, sample_pages=10)
+    assert a.odds == pytest.approx(b.odds) and a.given["other"] == [pytest.approx(x) for x in b.given["other"]]
+
+
 def test_messages_match_enumeration():
     """Marginals of a small tree by summing over all labellings."""
     import itertools
