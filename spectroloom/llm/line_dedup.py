@@ -1,6 +1,7 @@
 """Boilerplate lines by their frequency within a site; DataFrame functions only.
 
 For each host, the pages that contain a line are divided by the host's pages; lines above a ratio go.
+Copies of a page may count as one, so that its lines are left for a deduplication of whole pages.
 """
 
 from __future__ import annotations
@@ -39,12 +40,16 @@ def _hosted(docs: DataFrame, host: str | Column, text: str) -> DataFrame:
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own.alias("host"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
 
 
-def boilerplate_lines(docs: DataFrame, host: str | Column = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``(host, line_key, n_pages, n_host_pages)`` of the lines above the ratio, counted over all pages."""
-    rows = _hosted(docs, host, text).select("host", "text")
+def boilerplate_lines(docs: DataFrame, host: str | Column = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+    """``(host, line_key, n_pages, n_host_pages)`` of the lines above the ratio, counted over all pages, or all distinct page texts."""
+    page = ["t1", "t2"] if copies_once else []
+    rows = _hosted(docs, host, text).select("host", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    lines = rows.select("host", *page, F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where("trim(line) != ''")
+    lines = lines.select("host", *page, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    if copies_once:
+        rows, lines = rows.select("host", *page).distinct(), lines.distinct()
     pages = rows.groupBy("host").agg(F.count("*").alias("n_host_pages"))
-    lines = rows.select("host", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where("trim(line) != ''")
-    counts = lines.select("host", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")).groupBy("host", "h1", "h2").agg(F.count("*").alias("n_pages"))
+    counts = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n_pages"))
     counts = counts.where(F.col("n_pages") >= min_pages).select("host", F.concat_ws(":", "h1", "h2").alias("line_key"), "n_pages")
     return counts.join(pages, "host").where(F.col("n_pages") > max_ratio * F.col("n_host_pages"))
 
@@ -67,15 +72,16 @@ def _kept_text() -> Column:
     return F.when(F.size("found") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str | Column = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str | Column = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """``docs`` with its columns, the text without boilerplate lines.
 
     Lines end at a line feed and are compared whole. Blank lines are never boilerplate. A page counts a
-    line once, and repeated rows count as pages of their own. A null host is a host of its own, shared
-    with the empty one. Null texts stay null; a text whose lines all go becomes empty. Other columns,
+    line once, and repeated rows count as pages of their own; with ``copies_once``, pages of a host with
+    equal texts (null as empty) count as one, so that many copies don't make their own lines boilerplate.
+    A null host is a host of its own, shared with the empty one. Null texts stay null; a text whose lines all go becomes empty. Other columns,
     whatever their names, pass through.
     """
-    rows = _with_boilerplate(_hosted(docs, host, text), boilerplate_lines(docs, host, text, max_ratio, min_pages))
+    rows = _with_boilerplate(_hosted(docs, host, text), boilerplate_lines(docs, host, text, max_ratio, min_pages, copies_once))
     kept = F.when(F.col("row").getField(text).isNotNull(), _kept_text())
     return rows.select(*[(kept if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 

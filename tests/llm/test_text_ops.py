@@ -14,6 +14,8 @@ from spectroloom.llm.minhash_dedup import keep_representatives, near_duplicates
 from spectroloom.llm.sharding import assign_shards, initial_map, load_map, rebalance, save_map
 from spectroloom.llm.substring_dedup import remove_repeats
 
+SF = "/root/testdata/sf0.001"
+
 
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
@@ -182,6 +184,19 @@ def test_line_dedup(spark, docs, rows, no_docs, odd_docs):
     assert [r.h for r in urls.collect()] == ["user.example.org", "", None]
 
 
+def test_pipeline_keeps_one_of_many_copies(spark):
+    import corpus_pipeline
+
+    own = lambda i: "\n".join(" ".join(f"w{i}x{k}y{j}" for j in range(12)) for k in range(3))
+    texts = [f"Home | About\n{own(i)}" for i in range(20)] + 10 * [f"Home | About\n{own(99)}"]
+    data = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(100 + i, own(55), "en", "small", 1) for i in range(3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    lines = corpus_pipeline.line_dedup(spark, docs, SF)
+    assert {r.doc_id: r.text for r in lines.collect()} == {r[0]: r[1].removeprefix("Home | About\n") for r in data}
+    kept = corpus_pipeline.minhash_dedup(spark, lines, SF).collect()
+    assert {r.doc_id for r in kept} == {*range(21), 100} and all(r.text for r in kept)
+
+
 def test_line_dedup_joined(docs, monkeypatch):
     import spectroloom.llm.line_dedup as L
 
