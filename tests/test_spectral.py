@@ -90,6 +90,19 @@ def test_grouped_fps_equals_steps(spark):
     assert got == want
 
 
+def test_large_groups_are_sampled_in_rounds(spark, monkeypatch):
+    import spectroloom.operators.preprocess as P
+
+    x, y = blobs(sizes=(60, 25, 20))
+    x = np.concatenate([x, x[:20]])  # ties
+    df = frame(spark, x, [*y.tolist(), *y[:20].tolist()], ", g int").withColumn("g", F.expr("nullif(g, 1)"))
+    rows = lambda: [tuple(r)[:3] for r in grouped_fps(df, "g", ratio=0.3).orderBy("group", "rank").collect()]
+    want = rows()
+    monkeypatch.setattr(P, "TILE_VALUES", 23 * 8)
+    monkeypatch.setattr(P, "CANDIDATES", 12)
+    assert rows() == want
+
+
 def test_kmeans_finds_blobs_on_any_partitioning(spark):
     x, y = blobs()
     df = frame(spark, x)
