@@ -74,11 +74,16 @@ def bucket_codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, hash
     return out + (d << 46)  # vectors of other lengths have other buckets
 
 
-def _unit(raw: list[bytes], kind: str) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, kind) for r in raw]).astype(np.float64)
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; each is brought near 1 by a power of two first, so that no square is too large or small."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    return _normal(np.stack([np.frombuffer(r, kind) for r in raw]).astype(np.float64))
+
+
 def _hash(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +91,13 @@ def _hash(kind: str):
             values = np.asarray(vectors.flatten().cast(pa.float64()).fill_null(np.nan))
             ends = np.cumsum(np.asarray(vectors.value_lengths().fill_null(0)).astype(np.int64))
             starts = np.r_[0, ends[:-1]].astype(np.int64)
-            with np.errstate(over="ignore", invalid="ignore"):
-                squares = np.r_[0.0, np.nancumsum(np.where(np.isfinite(values), values * values, 0))]
-                good = [e > s and bool(np.isfinite(values[s:e]).all()) and bool(values[s:e].any()) and math.isfinite(squares[e]) for s, e in zip(starts, ends)]
+            good = [e > s and bool(np.isfinite(values[s:e]).all()) and bool(values[s:e].any()) for s, e in zip(starts, ends)]
             by_size: dict[int, list[int]] = {}
             for k in np.flatnonzero(good).tolist():
                 by_size.setdefault(int(ends[k] - starts[k]), []).append(k)
             for size, rows in by_size.items():
                 x = np.stack([values[starts[k] : ends[k]] for k in rows])
-                codes = bucket_codes(x / np.sqrt((x * x).sum(1))[:, None])
+                codes = bucket_codes(_normal(x))
                 raw = [r.tobytes() for r in x.astype(kind)]
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(raw, pa.binary()), pa.array(codes[:, 0, 0]), pa.array(list(codes.reshape(len(rows), -1)), pa.list_(pa.int64()))], names=["rid", "vec_id", "m", "x", "main", "codes"])

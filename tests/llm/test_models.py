@@ -211,6 +211,15 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_huge_and_tiny_doubles(spark):
+    g = np.random.default_rng(4)
+    base = g.normal(size=(6, 16))
+    x = np.concatenate([base, base * 1e200, base * 1e-200, base[:1] * 1e300])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {r.vec_id: tuple(r)[1:] for r in near_vectors(df).collect()}
+    assert got == {i: (3 if i % 6 == 0 else 2, i % 6, i < 6) for i in range(len(x))}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
