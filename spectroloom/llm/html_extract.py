@@ -1,316 +1,334 @@
 """Main text of HTML pages by a tree-structured graphical model.
 
-Every element of a page is a node with a hidden label, content or not. A node's own potential comes from
-its tag, its class and id words, its text and its links; a pairwise potential ties it to its parent, by
-whether its tag and words are of a kind that holds an article, of one that is none, or of neither. An
-element of the second kind, and what lies in it, is never content, however much text it has.
-Sum-product messages go up from the leaves and down from the root, which gives each node's exact
-marginal of being content. The potentials are log odds of counts over labelled pages: a few built-in ones
-that show every kind of block, and a bounded sample of the distinct pages at hand whose own semantic
-elements label them.
+Every element of a page is a node with a hidden label: frame (it may hold the article), text (it is the
+article's), or chrome (it is neither, nor is what lies in it). A parent-child potential gives the chances of
+an element's label for each label of its parent, from its tag, names, links, text and place on the page; an
+element's own text is evidence for its label. Sum-product messages go up from the leaves and down from
+the root, which gives each node's exact marginals. All potentials are learned from labelled pages: many
+layouts drawn at random, or given ones. No word or tag decides by itself.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
-import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: About how many of the distinct pages the potentials are fitted on (twice as many at most, by hash).
+from spectroloom.llm.html_layouts import SAYINGS, labelled_pages
+from spectroloom.llm.html_tree import RAW, Page
+
+#: Labelled layouts that the potentials are fitted on when no pages are given.
+LAYOUTS = 3000
+#: About how many distinct given pages they are fitted on (twice as many at most, by hash).
 SAMPLE_PAGES = 2000
-#: What the elements of the built-in pages weigh together against those of the sample, which weigh 1.
-BUILT_IN_WEIGHT = 1.0
-#: Added to the weight of every count.
-SMOOTHING = 1e-3
-#: Bounds of an element's own log odds: below what ties it to a parent that is surely content or not.
-MAX_ODDS = 2.0
-#: Buckets of hashed features, which bound what the fit collects.
-BUCKETS = 1 << 14
+#: Weights of hashed features.
+BUCKETS = 1 << 15
+#: Steps and rate of the fit, and the weight of its penalty.
+STEPS, RATE, PENALTY = 160, 0.15, 2e-5
+#: How often a name counts as a feature, which lessens the penalty on its weight.
+NAME_WEIGHT = 3
+#: The greatest log odds of an element's own text.
+MAX_EVIDENCE = 2.0
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-# HTML's elements without an end tag, with raw text, and those that begin a block.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: A new start tag of the key ends an open element of these first.
-ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-_CLOSES_P = BLOCK - frozenset("body html head caption legend summary tbody td tfoot th thead tr li dd dt".split())
-
-# Words of class, id and role attributes that name parts of a page which are not the article.
-CHROME = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs byline captcha comment comments cookie cookies consent copyright dialog disqus disclaimer footer form gdpr header headerbar login masthead menu menubar meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing shop sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar tooltip topbar widget widgets".split()
-)
-#: Elements that are not the article, wherever they stand.
-CHROME_TAGS = frozenset("nav header footer aside form button dialog menu select label fieldset canvas audio video head".split()) | RAW
-#: Attribute words and elements that hold the article.
-CONTENT_WORDS = frozenset("article articlebody body content entry main post story text".split())
-CONTENT_TAGS = frozenset(("article", "main"))
-KINDS = ("chrome", "holds", "other")
-#: Elements that hold others, and how a class of theirs begins that says what they have, not what they are (has-comments).
-CONTAINERS = frozenset("html body main article section div".split())
+FRAME, TEXT, CHROME = range(3)
+LABELS = ("frame", "text", "chrome")
+
+# Elements whose text is no part of any article, and how elements are grouped in features.
+SILENT = RAW | frozenset("head select option button label canvas audio video svg dialog".split())
+GROUP = {t: g for g, tags in {"box": "div section article main ul ol dl table tbody tr td form aside nav header footer body html center fieldset menu details figure blockquote", "line": "p h1 h2 h3 h4 h5 h6 li dt dd pre figcaption caption th summary address legend", "in": "a b i em strong span code small u s br img sup sub abbr cite q font time mark kbd var tt big del ins"}.items() for t in tags.split()}
+#: Words that say what an element has, before a word, or in what state it is, behind one.
 HAS = frozenset("has with without no not is category tag".split())
-#: How a class ends that says in what state a part of an article is (comments-open).
 STATES = frozenset("open opened closed on off enabled disabled".split())
+_HINTS = frozenset(w for x in SAYINGS.values() for s in x for w in s.replace(".", "").replace("?", "").split())
 
-#: Labelled pages: y="1" is content, y="0" is not, others are as their parents.
-BUILT_IN = [
-    "<body y='0'><header y='0'><h1>Site</h1><p>Daily news</p></header><nav y='0'><ul><li><a>One</a></li><li><a>Two</a></li></ul></nav><article y='1'><h1>Title</h1><p>A long line of the article, with words.</p><p>Short.</p><ul><li>Point</li></ul><blockquote><p>Said so.</p></blockquote><aside y='0'><p>By the way</p></aside><div class='ad' y='0'>Buy now</div><section class='comments' y='0'><h2>Comments</h2><p>Nice one.</p></section></article><aside y='0'><h3>More</h3><p>Other things</p></aside><footer y='0'><p>Imprint</p></footer></body>",
-    "<body y='0'><div class='cookie notice' y='0'><p>We use cookies.</p><button>OK</button></div><div id='menu' y='0'><a>Home</a> <a>About</a></div><main y='1'><h1>Title</h1><p>Words of the text, and more of them.</p><h2>Part</h2><p>Some <b>strong</b> and <a>linked</a> words.</p><pre>code</pre><table><tr><td>1</td><td>2</td></tr></table><figure><figcaption>A picture</figcaption></figure><form y='0'><p>Your mail</p><input></form><nav y='0'><a>Next</a></nav></main><div class='sidebar' y='0'><p>Popular</p><ul><li><a>Thing</a></li></ul></div><div id='footer' y='0'>Rights</div></body>",
-    "<body y='0'><div class='header' y='0'><p>Paper</p></div><div class='content' y='1'><h1>Title</h1><p>First words of the piece.</p><p>And then others, at length.</p><div class='share' y='0'><a>Share</a></div><div><p>Inner words.</p></div></div><div class='comments' y='0'><div class='comment' y='0'><p>I read all of it and liked it.</p></div></div><div class='newsletter' y='0'><p>Subscribe</p></div></body>",
-    "<body y='0'><main y='1'><article><header y='0'><p>By us</p></header><h1>Title</h1><div class='entry'><div class='text'><p>Words of an entry.</p><p>More.</p></div></div><footer y='0'><p>Filed</p></footer></article><section class='comments' y='0'><article class='comment' y='0'><p>Not so.</p></article></section></main></body>",
-    "<body y='0'><ul class='nav' y='0'><li><a>One</a></li></ul><div class='post' y='1'><h2>Title</h2><p>Text of the post.</p><ol><li>One thing</li><li>Two things</li></ol></div><div class='related' y='0'><h3>See also</h3><p><a>Other</a></p></div><div class='banner' y='0'><p>Sale</p></div></body>",
-]
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|y|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[a-z]+")
-
-
-class Page:
-    """A page's elements in order, parents before children, and its text runs."""
-
-    __slots__ = ("tag", "parent", "names", "words", "label", "runs", "breaks")
-
-    def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.names, self.words, self.label = ["#page"], [-1], [()], [()], [None]
-        self.runs: list[tuple[int, str, int]] = []  # element, text, block
-        self.breaks = 0
-        stack, at = [0], 0
-        find = _TOKEN.search
-        while at < len(source):
-            m = find(source, at)
-            if m is None or m.start() > at:
-                end = len(source) if m is None else m.start()
-                self.runs.append((stack[-1], source[at:end], self.breaks))
-                if m is None:
-                    break
-            at = m.end()
-            name = m[2]
-            if name is None:
-                if m[0].startswith("<![CDATA["):
-                    self.runs.append((stack[-1], html.escape(m[0][9:].removesuffix("]]>")), self.breaks))
-                continue
-            name = name.lower()
-            if name in BLOCK:
-                self.breaks += 1
-            if m[1]:
-                if any(self.tag[x] == name for x in stack):
-                    while self.tag[stack.pop()] != name:
-                        pass
-                continue
-            self._open(stack, name, m[3])
-            if name == "br":
-                self.runs.append((stack[-1], " ", self.breaks))
-            if name in VOID or m[4] and name not in BLOCK and name not in RAW:
-                continue
-            stack.append(len(self.tag) - 1)
-            if name in RAW and name not in ("svg", "math", "object", "select", "option"):
-                close = re.compile(f"</{name}[^>]*>|$", re.I).search(source, at)
-                at = close.end()
-                stack.pop()
-
-    def _open(self, stack: list[int], name: str, attributes: str) -> None:
-        if name in _CLOSES_P and self.tag[stack[-1]] != "#page":
-            self._close(stack, ("p",), ("td", "th", "table", "button", "object"))
-        if name in ENDS:
-            self._close(stack, ENDS[name], ("ul", "ol", "dl", "table", "menu"))
-        names, label = (), None
-        if attributes:
-            found = []
-            for key, a, b, c in _ATTRIBUTE.findall(attributes):
-                value = (a or b or c).lower()
-                if key.lower() == "y":
-                    label = value == "1"
-                elif key.lower() in ("hidden", "aria-hidden"):
-                    found += [("hidden",)] * (value != "false")
-                else:
-                    found += [tuple(_WORDS.findall(name)) for name in value.split()]
-            names = tuple(found)
-        self.tag.append(name)
-        self.parent.append(stack[-1])
-        self.names.append(names)
-        self.words.append(tuple(w for name in names for w in name))
-        self.label.append(label)
-
-    def _close(self, stack: list[int], names: tuple[str, ...], stop: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in stop:
-                return
-
-    def kind(self, k: int) -> str:
-        """Whether an element's tag or words say that it holds the article, or is no part of one.
-
-        A name that says what a container has or in what state it is does not say what it is. An article's
-        first telling name counts, and a main element or the whole page is never chrome by its words.
-        """
-        tag, words = self.tag[k], self.words[k]
-        holds = tag in CONTENT_TAGS or any(w in CONTENT_WORDS for w in words)
-        if tag in CHROME_TAGS or "hidden" in words:
-            return "chrome"
-        if tag not in ("main", "html", "body"):
-            named = any(w in CONTENT_WORDS for name in self.names[k] for w in name if not CHROME.intersection(name))
-            for name in self.names[k]:
-                if not CHROME.intersection(name):
-                    if tag == "article" and CONTENT_WORDS.intersection(name) and name[0] not in HAS:
-                        break
-                elif not (name[0] in HAS and tag in CONTAINERS and len(name) > 1 or name[-1] in STATES and (named or tag == "article")):
-                    return "chrome"
-        return "holds" if holds else "other"
-
-    def kinds(self) -> list[str]:
-        """Each element's kind, chrome if it lies in chrome.
-
-        A main element is free of what it lies in, as are all that hold an article of forms around them.
-        On a page where no other element holds one, those in chrome other than an aside do.
-        """
-        own = [self.kind(k) for k in range(len(self.tag))]
-        forms = [t == "form" and not any(CHROME.intersection(name) for name in names) for t, names in zip(self.tag, self.names)]
-        out = self._shut(own, forms)
-        if not any(x == "holds" and t not in ("html", "body") for x, t in zip(out, self.tag)):
-            out = self._shut(own, [t not in RAW and t not in ("aside", "dialog") for t in self.tag])
-        return out
 
-    def _shut(self, own: list[str], loose: list[bool]) -> list[str]:
-        """Kinds with chrome handed down; what holds an article leaves chrome that is all ``loose``."""
-        out, shut = own[:], [0] * len(own)  # 0 outside chrome, 1 in loose chrome, 2 in other chrome
-        for k in range(1, len(own)):
-            around = shut[self.parent[k]]
-            if own[k] == "chrome":
-                shut[k] = max(around, 1 if loose[k] else 2)
-            elif around and not (self.tag[k] == "main" or around == 1 and own[k] == "holds"):
-                out[k], shut[k] = "chrome", around
-        return out
+def _names(group: str, kind: str, names: tuple[tuple[str, ...], ...]) -> Iterator[str]:
+    for words in names:
+        if words[0] in HAS and len(words) > 1:
+            yield f"{kind}has:{group}"
+        elif words[-1] in STATES and len(words) > 1:
+            yield f"{kind}state:{group}"
+        else:
+            for w in words:
+                yield f"{kind}:{group}:{w}"
+            yield f"{kind}end:{group}:{words[-1]}"
+            if len(words) > 1:
+                yield f"{kind}long:{group}:{words[-1]}"
+
+
+def _level(x: int) -> int:
+    return x and 1 + min(x, 4000).bit_length() // 2
 
-    def features(self) -> list[tuple[str, ...]]:
-        """Of each element: its kind first, then tag, length of own text, part of its text that is linked, and words."""
-        n = len(self.tag)
-        own, linked = [0] * n, [0] * n
-        inside = [False] * n
+
+class Nodes:
+    """What the model reads of each element of a page."""
+
+    __slots__ = ("keys", "hints", "own", "weight")
+
+    def __init__(self, page: Page) -> None:
+        tag, parent, n = page.tag, page.parent, len(page.tag)
+        own, linked, ends, inside = [0] * n, [0] * n, [0] * n, [False] * n
+        words: list[list[str]] = [[] for _ in range(n)]
+        for k in range(1, n):
+            inside[k] = tag[k] == "a" or inside[parent[k]]
+        for k, text, _ in page.runs:
+            size = len(text) - text.count(" ") - text.count("\n")
+            if size:
+                own[k] += size
+                ends[k] += text.count(". ") + text.count("? ") + text.count("! ") + (text.rstrip()[-1:] in ".!?…")
+                if inside[k]:
+                    linked[k] += size
+                if size < 80 and len(words[k]) < 12:
+                    words[k] += text.lower().split()[:12]
+        silent = [False] * n
         for k in range(1, n):
-            inside[k] = self.tag[k] == "a" or inside[self.parent[k]]
-        for k, text, _ in self.runs:
-            size = len(text) - text.count(" ")
-            own[k] += size
-            if inside[k]:
-                linked[k] += size
-        total, total_linked = own[:], linked[:]
+            silent[k] = tag[k] in SILENT or silent[parent[k]]
+            if silent[k]:
+                own[k] = linked[k] = ends[k] = 0
+        # running text: of elements with sentences or some length, out of links; inline elements count for their blocks
+        total, in_links, stops = own[:], linked[:], ends[:]
+        heading, special, children = [0] * n, [0] * n, [0] * n
         for k in range(n - 1, 0, -1):
-            total[self.parent[k]] += total[k]
-            total_linked[self.parent[k]] += total_linked[k]
-        out, kinds = [], self.kinds()
+            p = parent[k]
+            total[p] += total[k]
+            in_links[p] += in_links[k]
+            stops[p] += stops[k]
+            heading[p] |= heading[k] | (tag[k] == "h1") | (2 if tag[k] in ("h2", "h3", "h4") else 0)
+            special[p] |= special[k] | (1 if tag[k] in ("article", "main") else 0) | (2 if tag[k] in ("form", "input", "textarea") else 0)
+            children[p] += 1
+        prose = [0] * n
         for k in range(n):
-            words = [f"w:{w}" for w in dict.fromkeys(self.words[k]) if w not in CHROME and w not in CONTENT_WORDS and w != "hidden"]
-            links = 3 * total_linked[k] // max(total[k], 1)
-            out.append((kinds[k], f"t:{self.tag[k]}", f"n:{min(own[k], 400).bit_length()}", f"l:{links}", *words))
-        return out
-
-    def labels(self) -> list[bool] | None:
-        """Labels of the attribute ``y``, else of the page's semantic elements; none if it has neither."""
-        n = len(self.tag)
-        if not any(x is not None for x in self.label) and not any(t in CONTENT_TAGS for t in self.tag):
-            return None
-        out, kinds = [False] * n, self.kinds()
-        by_label = any(x is not None for x in self.label)
+            if GROUP.get(tag[k]) != "in" and not inside[k] and (own[k] + (total[k] - own[k] if GROUP.get(tag[k]) == "line" else 0) >= 50 or ends[k] and own[k] >= 25):
+                prose[k] = total[k] - in_links[k] if GROUP.get(tag[k]) == "line" else own[k]
+        before, seen = [0] * n, 0
+        for k in range(n):
+            before[k] = seen
+            seen += prose[k]
+        everything = max(seen, 1)
+        for k in range(n - 1, 0, -1):
+            prose[parent[k]] += prose[k]
+        head = next((k for k in range(n) if tag[k] == "h1"), n)
+        last_child: dict[int, int] = {}
+        left, right = [""] * n, [""] * n
+        same: Counter = Counter()
         for k in range(1, n):
-            if self.label[k] is not None:
-                out[k] = self.label[k]
-            elif not by_label:
-                out[k] = kinds[k] != "chrome" and (self.tag[k] in CONTENT_TAGS or out[self.parent[k]])
-            else:
-                out[k] = out[self.parent[k]]
-        return out
+            p = parent[k]
+            same[p, tag[k]] += 1
+            if p in last_child:
+                left[k] = tag[last_child[p]]
+                right[last_child[p]] = tag[k]
+            last_child[p] = k
+        self.keys: list[tuple] = [()] * n
+        self.hints: list[list[str]] = words
+        self.own: list[tuple[int, bool, bool] | None] = [None] * n
+        self.weight = [1.0] * n
+        first: dict[int, int] = {}  # of a box, its first heading or line with words
+        for k in range(n - 1, 0, -1):
+            if words[k]:
+                first[parent[k]] = k
+            elif k in first:
+                first[parent[k]] = first[k]
+        for k in range(n):
+            p = parent[k]
+            if k:
+                self.weight[k] = self.weight[p] / same[p, tag[k]]
+            if GROUP.get(tag[k]) == "box" and k in first:
+                self.hints[k] = words[k] + words[first[k]]
+            share = prose[k] / everything
+            self.keys[k] = (
+                tag[k],
+                tag[p] if k else "",
+                page.classes[k],
+                page.ids[k],
+                silent[k],
+                _level(own[k]),
+                _level(total[k]),
+                3 * in_links[k] // max(total[k], 1),
+                0 if not prose[k] else 1 + (share > 0.1) + (share > 0.3) + (share > 0.6) + (share > 0.9),
+                (before[k] > 0) + (before[k] + prose[k] >= seen) * 2,
+                heading[k],
+                special[k],
+                min(stops[k], 7).bit_length(),
+                min(children[k], 7).bit_length(),
+                0 if head == n else 1 if k < head else 2,
+                left[k],
+                right[k],
+                min(same[p, tag[k]], 7).bit_length() if k else 0,
+            )
+            if own[k] and not silent[k]:
+                self.own[k] = (_level(own[k]), inside[k], ends[k] > 0)
+
+
+def _features(key: tuple) -> list[str]:
+    tag, above, classes, ids, _, own, total, links, share, place, heading, special, stops, children, head, left, right, same = key
+    g = GROUP.get(tag, tag)
+    out = [f"t:{tag}", f"pt:{above}>{tag}", f"o:{g}:{own}", f"n:{g}:{total}", f"l:{g}:{links}", f"ln:{g}:{links}:{total}", f"s:{g}:{share}", f"sp:{g}:{share}:{place}", f"p:{g}:{place}", f"h:{g}:{heading}", f"hs:{g}:{heading}:{share}", f"x:{g}:{special}", f"xs:{g}:{special}:{share}", f"e:{g}:{stops}", f"es:{g}:{stops}:{links}:{total > 2}", f"c:{g}:{children}", f"hd:{g}:{head}", f"left:{g}:{left}", f"right:{g}:{right}", f"same:{g}:{same}:{own}", "bias"]
+    if not classes and not ids:
+        out.append(f"bare:{tag}:{share}")
+    names = [*_names(g, "c", classes), *_names(g, "c" if g == "box" else "i", ids)]  # an id is a mere anchor on a line, not on a box
+    out += NAME_WEIGHT * names
+    return out
 
 
 def _bucket(feature: str) -> int:
-    h = 2166136261
-    for c in feature.encode():
-        h = (h ^ c) * 16777619 & 0xFFFFFFFF
-    return h % BUCKETS
-
-
-def _count(page: Page, weight: float, counts: Counter) -> None:
-    labels = page.labels()
-    if labels is None:
-        return
-    for k, (kind, *features) in enumerate(page.features()):
-        if k == 0:
-            continue
-        for f in features:
-            counts[_bucket(f), int(labels[k])] += weight
-        counts[-1, int(labels[k])] += weight
-        kind = kind if page.kind(k) == "holds" else page.kind(k)
-        counts[-2 - 2 * KINDS.index(kind) - int(labels[page.parent[k]]), int(labels[k])] += weight
+    return zlib.crc32(feature.encode()) % BUCKETS
+
+
+def _hint_buckets(tag: str, words: list[str]) -> list[int]:
+    g = GROUP.get(tag, tag)
+    return [_bucket(f"w:{g}:{w}") for w in {x.strip(".,:?!") for x in words} if w in _HINTS]
 
 
 class TreeModel:
-    """Log odds of features for content, and log probabilities of a label given the parent's."""
-
-    def __init__(self, counts: dict[tuple[int, int], float]) -> None:
-        get = lambda a, b: counts.get((a, b), 0.0) + SMOOTHING
-        self.odds = {a: math.log(get(a, 1) / get(-1, 1)) - math.log(get(a, 0) / get(-1, 0)) for a, _ in counts if a >= 0}
-        # of an element's kind: the probability of its label (last) given its parent's
-        self.given = {kind: [[get(i - y, x) / (get(i - y, 0) + get(i - y, 1)) for x in (0, 1)] for y in (0, 1)] for kind, i in zip(KINDS, (-2, -4, -6))}
-        self.given["chrome"] = [[1.0, 0.0], [1.0, 0.0]]  # certain, so that no number of children outweighs it
-        self.cache: dict[tuple[str, ...], float] = {}
-
-    def evidence(self, features: tuple[str, ...]) -> float:
-        """The likelihood ratio of content of an element by itself, within bounds."""
-        value = self.cache.get(features)
-        if value is None:
-            value = math.exp(max(-MAX_ODDS, min(MAX_ODDS, sum(self.odds.get(_bucket(f), 0.0) for f in features[1:]))))
+    """Weights of features for each label of an element and its parent, and log odds of elements' own text."""
+
+    def __init__(self, weights: np.ndarray, evidence: dict[tuple | None, tuple[float, float, float]]) -> None:
+        # weights: (buckets, 4): a frame's child being frame, text or chrome, and a text's child being text
+        self.weights, self.own = weights, evidence
+        self.cache: dict[tuple, tuple[float, ...]] = {}
+
+    def given(self, key: tuple, hints: list[str]) -> tuple[tuple[float, float, float], tuple[float, float]]:
+        """The chances of an element's labels given that its parent is a frame, and given that it is text."""
+        if key[4]:
+            return (0.0, 0.0, 1.0), (0.0, 1.0)
+        score = self.cache.get(key)
+        if score is None:
+            score = tuple(self.weights[[_bucket(f) for f in _features(key)]].sum(0).tolist())
             if len(self.cache) < 1 << 16:
-                self.cache[features] = value
-        return value
+                self.cache[key] = score
+        a, b, c, t = score
+        if hints:
+            for at in _hint_buckets(key[0], hints):
+                w = self.weights[at]
+                a, b, c, t = a + w[0], b + w[1], c + w[2], t + w[3]
+        top = max(a, b, c)
+        a, b, c = math.exp(a - top), math.exp(b - top), math.exp(c - top)
+        s = a + b + c
+        t = 1 / (1 + math.exp(-max(-500.0, min(500.0, t))))
+        return (a / s, b / s, c / s), (t, 1 - t)
+
+    def evidence(self, own: tuple | None, weight: float) -> tuple[float, float, float]:
+        """Likelihoods of an element's own text under each label; like siblings share the weight of one."""
+        odds = self.own.get(own)
+        return tuple(math.exp(weight * x) for x in odds) if odds else (1.0, 1.0, 1.0)
 
     def marginals(self, page: Page) -> list[float]:
-        """The probability of content of each element, by messages up and then down the tree."""
+        """The probability of each element that it is the article's text, by messages up and then down the tree."""
         n, parent = len(page.tag), page.parent
-        features = page.features()
-        given = [self.given[f[0]] for f in features]
-        # log odds of content: from the element and its children, and of each element's message to its parent
-        up = [math.log(self.evidence(f)) for f in features]
-        up[0] = math.log(1e-12)  # the page itself is not the article
-        to = [0.0] * n
+        nodes = Nodes(page)
+        given = [self.given(key, hints) for key, hints in zip(nodes.keys, nodes.hints)]
+        up = [list(self.evidence(own, w)) for own, w in zip(nodes.own, nodes.weight)]
+        to: list[tuple[float, float, float]] = [(1.0, 1.0, 1.0)] * n
         for k in range(n - 1, 0, -1):
-            (g00, g01), (g10, g11) = given[k]
-            if g01 or g11:
-                a, b = _pair(up[k])
-                to[k] = math.log(g10 * a + g11 * b) - math.log(g00 * a + g01 * b)
-                up[parent[k]] += to[k]
-        out = [0.0] * n
-        down = [0.0] * n
+            (a, b, c), (t, x) = given[k]
+            f, g, h = up[k]
+            message = (a * f + b * g + c * h, t * g + x * h, h)
+            p = up[parent[k]]
+            p[0], p[1], p[2] = p[0] * message[0], p[1] * message[1], p[2] * message[2]
+            top = max(p)
+            p[0], p[1], p[2] = p[0] / top, p[1] / top, p[2] / top
+            to[k] = message
+        out, belief = [0.0] * n, [(0.0, 0.0, 0.0)] * n
         for k in range(n):
+            (a, b, c), (t, x) = given[k]
             if k:
-                (g00, g01), (g10, g11) = given[k]
-                if not (g01 or g11):
-                    down[k] = -math.inf
-                    continue
                 # what the parent believes without this child's own message
-                p = parent[k]
-                q0, q1 = _pair(up[p] + down[p] - to[k])
-                down[k] = math.log(q0 * g01 + q1 * g11) - math.log(q0 * g00 + q1 * g10)
-            out[k] = _pair(up[k] + down[k])[1]
+                q = [v / m if m else 0.0 for v, m in zip(belief[parent[k]], to[k])]
+            else:
+                q = [1.0, 0.0, 0.0]
+            f, g, h = up[k]
+            y = (q[0] * a * f, (q[0] * b + q[1] * t) * g, (q[0] * c + q[1] * x + q[2]) * h)
+            total = sum(y) or 1.0
+            belief[k] = (y[0] / total, y[1] / total, y[2] / total)
+            out[k] = belief[k][1]
         return out
 
 
-def _pair(odds: float) -> tuple[float, float]:
-    """The probabilities of not content and of content."""
-    if odds > 0:
-        e = math.exp(-odds)
-        return e / (1 + e), 1 / (1 + e)
-    e = math.exp(odds)
-    return 1 / (1 + e), e / (1 + e)
+def labels(page: Page) -> list[int] | None:
+    """Labels by the attribute ``y``, handed down; none if the page has no such attribute. A text without markup is text."""
+    if len(page.tag) == 1 and page.runs:
+        return [TEXT]
+    if not any(page.label):
+        return None
+    out = [FRAME] * len(page.tag)
+    for k in range(1, len(out)):
+        above = out[page.parent[k]]
+        out[k] = LABELS.index(page.label[k]) if page.label[k] in LABELS else above
+        if above == CHROME or above == TEXT and out[k] == FRAME:
+            out[k] = above
+    return out
+
+
+def fit(sources: Iterable[str]) -> TreeModel:
+    """Potentials from labelled pages: logistic regressions of an element's label for each label of its parent."""
+    seen: Counter = Counter()  # how often: features, label of the parent and of the element
+    own: Counter = Counter()  # elements' own text, by label
+    index: dict[tuple, tuple[int, ...]] = {}
+    for source in sources:
+        page = Page(source)
+        y = labels(page)
+        if y is None:
+            continue
+        nodes = Nodes(page)
+        for k, key in enumerate(nodes.keys):
+            above = y[page.parent[k]] if k else FRAME
+            if not key[4]:
+                own[nodes.own[k], y[k]] += 1
+            if key[4] or above == CHROME:
+                continue
+            if key not in index:
+                index[key] = tuple(_bucket(f) for f in _features(key))
+            seen[(*index[key], *_hint_buckets(key[0], nodes.hints[k])), above, y[k]] += 1
+    weights = np.zeros((BUCKETS, 4))
+    for above, columns in ((FRAME, (0, 1, 2)), (TEXT, (3,))):
+        rows = [(features, y, n) for (features, under, y), n in seen.items() if under == above]
+        if rows:
+            size = np.array([len(r[0]) for r in rows])
+            names, at = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+            times = np.array([r[2] for r in rows], float)
+            weights[np.ix_(names, columns)] = _regress(at, np.cumsum(size) - size, size, len(names), np.array([r[1] for r in rows]), times, len(columns))
+    total = [sum(n for (_, label), n in own.items() if label == y) for y in range(3)]
+    kinds = {o for o, _ in own}
+    evidence = {}
+    for o in kinds:
+        odds = np.log([(own[o, y] + 0.5) / (total[y] + 0.5 * len(kinds)) for y in range(3)])
+        odds = np.clip(odds - odds.max(), -MAX_EVIDENCE, 0.0)
+        evidence[o] = tuple(odds.tolist())
+    return TreeModel(weights.astype(np.float32).astype(np.float64), evidence)
+
+
+def _regress(at: np.ndarray, start: np.ndarray, size: np.ndarray, n_features: int, target: np.ndarray, times: np.ndarray, n_columns: int) -> np.ndarray:
+    """Weights of a logistic regression on rows of feature numbers, by gradient steps of adapted size."""
+    w = np.zeros((n_features, n_columns))
+    mean, square = np.zeros_like(w), np.zeros_like(w)
+    y = (target[:, None] == (np.arange(3) if n_columns == 3 else TEXT)).astype(float)
+    for step in range(1, STEPS + 1):
+        score = np.add.reduceat(w[at], start, axis=0)
+        if n_columns == 3:
+            p = np.exp(score - score.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+        else:
+            p = 1 / (1 + np.exp(-np.clip(score, -60, 60)))
+        error = np.repeat((p - y) * times[:, None], size, axis=0)
+        g = np.stack([np.bincount(at, weights=error[:, c], minlength=n_features) for c in range(n_columns)], 1) / times.sum() + PENALTY * w
+        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+        w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+@functools.cache
+def built_in_model(n_layouts: int = LAYOUTS) -> TreeModel:
+    return fit(labelled_pages(n_layouts))
 
 
 def main_text(model: TreeModel, source: str) -> str:
@@ -325,31 +343,20 @@ def main_text(model: TreeModel, source: str) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
-def fit_tree_model(pages: DataFrame, html_column: str = "html", sample_pages: int = SAMPLE_PAGES) -> TreeModel:
-    """Potentials from the built-in pages and a bounded sample of the distinct given ones that label themselves."""
-    rows = pages.select(pages[html_column].cast("string").alias("html")).where("html is not null")
-    every = max(1, rows.select(F.xxhash64("html").alias("h")).distinct().count() // sample_pages)
-    sample = rows.where(F.pmod(F.xxhash64("html"), F.lit(every)) == 0).distinct()
+def fit_tree_model(labelled: DataFrame | None = None, html_column: str = "html", sample_pages: int = SAMPLE_PAGES) -> TreeModel:
+    """Potentials from labelled pages, whose elements say by ``y`` whether they are frame, text or chrome.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for source in batch.column(0).to_pylist():
-                _count(Page(source), 1.0, counts)
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array([counts[k] for k in keys], pa.float64())], names=["feature", "label", "n"])
-
-    found = sample.mapInArrow(run, "feature long, label long, n double").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()
-    sampled = {(r["feature"], r["label"]): r["n"] for r in found}
-    built_in: Counter = Counter()
-    for source in BUILT_IN:
-        _count(Page(source), 1.0, built_in)
-    counts: Counter = Counter()
-    for part, weight in ((sampled, 1.0), (built_in, BUILT_IN_WEIGHT)):
-        total = part.get((-1, 0), 0.0) + part.get((-1, 1), 0.0)
-        for key, n in part.items():
-            counts[key] += weight * n / total
-    return TreeModel(counts)
+    Without any, from the layouts drawn here. Of given ones, a sample of about ``sample_pages`` distinct
+    pages is taken by hash; null pages, those without a label and repeated ones add nothing, and an empty
+    table gives the layouts' model.
+    """
+    if labelled is None:
+        return built_in_model()
+    rows = labelled.select(labelled[html_column].cast("string").alias("html")).where("html is not null")
+    every = max(1, rows.select(F.xxhash64("html").alias("h")).distinct().count() // sample_pages)
+    sample = rows.where(F.pmod(F.xxhash64("html"), F.lit(every)) == 0).distinct().limit(2 * sample_pages)
+    pages = sorted(r["html"] for r in sample.collect())
+    return fit(pages) if any(labels(Page(p)) for p in pages) else built_in_model()
 
 
 def extract_text(pages: DataFrame, model: TreeModel | None = None, page_id: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
@@ -358,8 +365,7 @@ def extract_text(pages: DataFrame, model: TreeModel | None = None, page_id: str
     A null or empty page has the empty text. Rows are read on their own: repeated rows and null ids keep
     their rows. ``n_chars`` counts code points.
     """
-    model = model or fit_tree_model(pages, html_column)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast(model or built_in_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

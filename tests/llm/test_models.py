@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from spectroloom.llm import pieces as P
 from spectroloom.llm import textops as X
 from spectroloom.llm.embedding_dedup import bucket_codes, hadamard, near_vectors
-from spectroloom.llm.html_extract import TreeModel, Page, extract_text, fit_tree_model, main_text
 from spectroloom.llm.langid import fit_language_model, held_out, keep_identified, predict_language
 from spectroloom.llm.sentencepiece_codec import decode, encode, round_trip
 
@@ -108,70 +107,6 @@ def test_language_id(spark, docs, no_docs, odd_docs):
     assert spark.range(1).select(held_out(F.lit(None).cast("long")).alias("h")).first().h is False
 
 
-PAGES = {
-    "<body><header><h1>Site</h1></header><article><h1>T</h1><p>Hello <i>big</i> world &amp; all<br>next</p><p>x</p><aside>promo</aside><div class='comments'><p>a reader's words, quite a few of them</p></div><form><label>Mail</label></form></article><footer>f</footer>": "T\n\nHello big world & all next\n\nx",
-    "<body><div class='cookie-notice'>We use cookies</div><div id='content'><h1>T</h1><p>One.</p><p>Two &lt;3</div><div class='sidebar'><p>Related words</p></div>": "T\n\nOne.\n\nTwo <3",
-    "<main><p>a</p><script>if (1<2) {'</p>'}</script><!-- <p>no</p> --><div class=advertisement><p>buy this now please</p></div><ul><li>p1<li>p2</ul></main>": "a\n\np1\n\np2",
-    "": "",
-    "<p": "",
-    "<article><p>" + "long " * 30000 + "</article>": "long " * 29999 + "long",
-}
-
-
-def test_main_text(spark):
-    model = fit_tree_model(spark.read.parquet(f"{SF}/pages.parquet"))
-    for source, text in PAGES.items():
-        assert main_text(model, source) == text
-    rows = [(i, f"u{i}", s, 0) for i, s in enumerate(PAGES)] + [(None, None, None, 1), (3, "u", "<main>x</main>", 2), (3, "u", "<main>x</main>", 2)]
-    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int"), model).collect()
-    assert sorted(len(r.text) for r in got) == sorted(r.n_chars for r in got) == sorted([*map(len, PAGES.values()), 0, 1, 1])
-    assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_chrome_outweighs_its_text(spark):
-    model = fit_tree_model(spark.read.parquet(f"{SF}/pages.parquet"))
-    said = "<p>" + "a reader has words and more of them to say here, at length " * 3 + "</p>"
-    for n in range(1, 11):
-        for start, end in (("<section class='comments'>", "</section>"), ("<aside>", "</aside>"), ("<div class='sidebar'>", "</div>"), ("<div class='cookie notice'>", "</div>"), ("<div id='comments'><div>", "</div></div>"), ("<div class='comments'><article>", "</article></div>"), ("<aside><div class='content'>", "</div></aside>")):
-            part = start + n * said + end
-            for source in (f"<article><h1>T</h1><p>Own.</p>{part}</article>", f"<body><article><h1>T</h1><p>Own.</p></article>{part}</body>"):
-                assert main_text(model, source) == "T\n\nOwn."
-    own = "<p>One line.</p>"
-    for source in (f"<article class='post has-comments'>{own}</article>", f"<body class='has-sidebar'><div class='wrap no-sidebar'><div class='post comments-open'>{own}", f"<form><div id='content'>{own}", f"<div class='menu-wrap'><article>{own}", f"<main class='search'>{own}"):
-        assert main_text(model, source) == "One line."
-    for source in (f"<article class='comment'>{own}", f"<div class='post-comments'>{own}", f"<p class='no-comments'>{own}", f"<div class='post' hidden>{own}"):
-        assert main_text(model, source) == ""
-    many = main_text(model, f"<article>{2000 * said}<aside>{2000 * said}</aside></article>")
-    assert many.count("at length") == 3 * 2000
-
-
-def test_fit_samples_distinct_pages(spark):
-    pages = [f"<body><main><p>Words {i}.</p></main><nav>Links</nav></body>" for i in range(20)]
-    once = spark.createDataFrame([(s,) for s in pages], "html string")
-    copies = spark.createDataFrame([(s,) for s in [*pages, *60 * pages[:1]]], "html string").repartition(3)
-    a, b = fit_tree_model(once, sample_pages=10), fit_tree_model(copies, sample_pages=10)
-    assert a.odds == pytest.approx(b.odds) and a.given["other"] == [pytest.approx(x) for x in b.given["other"]]
-
-
-def test_messages_match_enumeration():
-    """Marginals of a small tree by summing over all labellings."""
-    import itertools
-
-    page = Page("<div class='content'><p>some words here</p><ul><li><a>x</a></ul></div><nav><a>y</a></nav>")
-    model = TreeModel({(-1, 0): 5.0, (-1, 1): 4.0, (-2, 0): 3.0, (-3, 0): 1.0, (-4, 1): 2.0, (-5, 1): 2.0, (-6, 0): 2.0, (-6, 1): 1.0, (-7, 1): 3.0, (-7, 0): 1.0, (7, 1): 1.0})
-    n, features = len(page.tag), page.features()
-    own = [(1.0, 1e-12), *((1.0, model.evidence(f)) for f in features[1:])]
-    total, content = 0.0, [0.0] * n
-    for y in itertools.product((0, 1), repeat=n):
-        w = own[0][y[0]]
-        for k in range(1, n):
-            w *= own[k][y[k]] * model.given[features[k][0]][y[page.parent[k]]][y[k]]
-        total += w
-        for k in range(n):
-            content[k] += w * y[k]
-    assert np.allclose(model.marginals(page), [c / total for c in content], atol=1e-9)
-
-
 def test_hadamard_keeps_norms():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1)) and np.allclose(hadamard(hadamard(x)), x)
