@@ -136,6 +136,8 @@ class _Layouts:
         if long and self.chance(0.4):
             body = self.pick([f"<div>{body}</div>", f"<article>{body}</article>", f"<div class='{self.pick(TEXT_NAMES)}'>{body}</div>"])
         tag = tag or self.pick("div div section section ul" if kind != "share" else "div div p span ul")
+        if tag in ("p", "span"):  # these hold no blocks
+            body = re.sub(r"</?(?:p|div|h\d|ul|li)>", " ", body)
         if tag == "ul":
             body = f"<li>{body}</li>" if "<li>" not in body else body
         names = [name, self.random_name() if self.chance(0.2) else "", self.pick(TEXT_NAMES) if self.chance(0.05) and name else ""]
@@ -247,7 +249,7 @@ class _Layouts:
             if self.chance(0.12):
                 tag = "form"
                 names = [n for n in names if not any(w in n for w in NAMES["form"].split())]
-            y = "text" if lines and k == 0 and tag != "main" else "frame"
+            y = "text" if lines and k == 0 else "frame"
             body = f"<{tag}{self.attributes(y, names)}>{body}</{tag}>"
             if outside and self.chance(0.5):
                 body = outside.pop() + body
