@@ -2,12 +2,13 @@ import hashlib
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest_llm import ALNUM, LOWER, SPACED
 from spectroloom.llm import components as C
-from spectroloom.llm.decontaminate import find_contamination, longest_matches, remove_contaminated
+from spectroloom.llm.decontaminate import find_contamination, longest_matches, remove_contaminated, suffix_array
 from spectroloom.llm.license_scan import BASE_PHRASES, SuffixAutomaton, scan_licenses
 from spectroloom.llm.line_dedup import boilerplate_lines, drop_boilerplate, line_report, url_host
 from spectroloom.llm.minhash_dedup import keep_representatives, near_duplicates
@@ -91,20 +92,24 @@ def test_substring_dedup_odd_rows(odd_docs, no_docs):
 
 def brute_contamination(rows, items):
     windows = {}
-    for name, text in items:
-        w = ALNUM.findall((text or "").translate(LOWER))
+    texts = [(str(name), ALNUM.findall((text or "").translate(LOWER))) for name, text in items]
+    for name, w in texts:
         for k in range(len(w) - min(10, len(w)) + 1 if w else 0):
-            windows.setdefault(tuple(w[k : k + min(10, len(w))]), set()).add(str(name))
+            windows.setdefault(tuple(w[k : k + min(10, len(w))]), []).append((name, w, k))
     out = {}
     for doc_id, text, *_ in rows:
-        w, hit, found = ALNUM.findall((text or "").translate(LOWER)), set(), set()
+        w, hit, found, best = ALNUM.findall((text or "").translate(LOWER)), set(), set(), []
         for n in {len(k) for k in windows}:
             for k in range(len(w) - n + 1):
-                own = windows.get(tuple(w[k : k + n]))
-                if own:
+                for name, item, j in windows.get(tuple(w[k : k + n]), ()):
                     hit |= set(range(k, k + n))
-                    found |= own
-        out[doc_id] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+                    found.add(name)
+                    m = n
+                    while k + m < len(w) and j + m < len(item) and w[k + m] == item[j + m]:
+                        m += 1
+                    best.append((-m, k, name))
+        n, at, name = min(best, default=(0, None, None))
+        out[doc_id] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), -n, at, name)
     return out
 
 
@@ -119,15 +124,53 @@ def test_decontamination(spark, docs, rows, no_docs, odd_docs, block):
     clean = remove_contaminated(docs, bench, block_bytes=block)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.select("doc_id").collect()} == {k for k, v in want.items() if not v[4]}
     assert find_contamination(no_docs, bench, block_bytes=block).count() == 0
-    assert find_contamination(odd_docs, bench, block_bytes=block).count() == 6
+    odd = Counter((r.doc_id, r.n_words, r.n_hit) for r in find_contamination(odd_docs, spark.createDataFrame([(7, "w3 w4"), (8, "w3 W4 w5"), (9, "w4")], "item_id int, text string"), block_bytes=block and min(block, 6)).collect())
+    assert odd == Counter([(None, 30, 3), (None, 0, 0), (5, 30, 3), (5, 30, 3), (5, 5, 0), (9, 30, 3)])
     assert not any(r.contaminated for r in find_contamination(docs, bench.limit(0)).collect())
+    assert remove_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("depth", [1, 2, 7, 200])
+def test_suffix_arrays(depth):
+    import random
 
+    g = random.Random(depth)
+    docs = [[g.randrange(4) for _ in range(g.randrange(40))] for _ in range(12)]
+    docs += [docs[0], docs[1][:5] + docs[0], [1] * 60, [1] * 60]
+    first = np.cumsum([0, *map(len, docs)])
+    flat = np.array([w for d in docs for w in d], np.uint64)
+    tails = {int(first[i]) + k: d[k : k + depth] for i, d in enumerate(docs) for k in range(len(d))}
+    order = suffix_array(flat, first, depth).tolist()
+    assert sorted(order) == sorted(tails) and [tails[p] for p in order] == sorted(tails.values())
 
-def test_longest_matches(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x c d e f g h i j k l m n o p q")], "doc_id long, text string")
-    bench = spark.createDataFrame([("t", "b c d e f g h i j k l m n o p z")], "item_id string, text string")
-    got = {r.item_word: (r.doc_id, r.doc_word, r.n_words) for r in longest_matches(docs, bench).collect()}
-    assert got[0] == (1, 1, 7) and got[1] == (2, 1, 14)
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_longest_matches(spark, block):
+    import random
+
+    g = random.Random(5)
+    # places where many suffixes agree on far more words than a window has
+    base = [f"w{g.randrange(30)}" for _ in range(60)]
+    texts = [" ".join(base[:12]), " ".join(base[:30]), " ".join(base[:29] + ["z"]), "q " + " ".join(base[5:50]), " ".join(base[:30]), " ".join(["a"] * 40), None, ""]
+    docs = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    items = [("s", " ".join(base[:30])), ("t", " ".join(base[3:60])), ("u", " ".join(["a"] * 25)), ("v", "w1 nowhere")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {(r.item_id, r.item_word): (r.doc_id, r.doc_word, r.n_words) for r in longest_matches(docs, bench, block_bytes=block).collect()}
+    want = {}
+    for name, text in items:
+        w = text.split()
+        for k in range(len(w)):
+            best = (0, 0, 0)
+            for d, t in enumerate(texts):
+                v = (t or "").split()
+                for j in range(len(v)):
+                    n = 0
+                    while k + n < len(w) and j + n < len(v) and w[k + n] == v[j + n]:
+                        n += 1
+                    best = max(best, (n, -(len(texts) - d), -j))
+            if len(w) - k >= min(10, len(w)) <= best[0]:
+                want[name, k] = (-best[1], -best[2], best[0])
+    assert got == want and got["s", 0] == (4, 0, 30)
 
 
 def shingles(text):
