@@ -15,10 +15,10 @@ h AS (SELECT p.doc_id, p.i, p.m, k.item_id, k.words FROM p JOIN k ON k.m = p.m A
 n AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, (i + m)::BIGINT)) AS x FROM h) GROUP BY doc_id),
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS names FROM h GROUP BY doc_id),
 o AS (SELECT h.doc_id, h.i, h.m, h.item_id, j.id, j.i - h.i AS shift FROM h JOIN (SELECT id, item_id, m, i, w[i:i + m - 1] AS words FROM s) j ON j.item_id = h.item_id AND j.m = h.m AND j.words = h.words),
-l AS (SELECT doc_id, item_id, min(i) - 1 AS at, count(*) + any_value(m) - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, id, shift ORDER BY i) AS run FROM o) GROUP BY doc_id, item_id, id, shift, run),
-f AS (SELECT doc_id, n, at, item_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at, item_id) AS r FROM l) WHERE r = 1)
+l AS (SELECT doc_id, item_id, min(i) - 1 AS place, count(*) + any_value(m) - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, id, shift ORDER BY i) AS run FROM o) GROUP BY doc_id, item_id, id, shift, run),
+f AS (SELECT doc_id, n, place, item_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place, item_id) AS r FROM l) WHERE r = 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(f.n, 0)::BIGINT AS longest_match, f.at::BIGINT AS longest_at, f.item_id AS longest_item
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(f.n, 0)::BIGINT AS longest_match, f.place::BIGINT AS longest_at, f.item_id AS longest_item
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN f USING (doc_id)
 """
 
