@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spectroloom.llm import sql
-from spectroloom.llm.common import table
+from spectroloom.llm.common import shared_folder, table
 from spectroloom.llm.decontaminate import find_contamination
 from spectroloom.llm.embedding_dedup import near_vectors
 from spectroloom.llm.html_extract import extract_text
@@ -33,7 +33,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(table(spark, sf_dir, "documents"))
+    return assign_shards(table(spark, sf_dir, "documents"), map_path=shared_folder(spark, "slot-map"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 Records hash into a fixed number of virtual slots by their text, so equal texts lie together. The bytes of
 each slot are summed, and a versioned map gives each slot its shard. Version 0 deals slots out in turn;
 rebalancing edits it into the next version: slots stay where they are while their shard is below an even
-share, and the rest go, largest first, to the shard with the least. A slot too heavy for that is split
-by document first.
+share, and the rest go, largest first, to the shard with the least. A text whose copies are too heavy for
+that is split by document first; whatever else is in its slot stays together by text.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +19,12 @@ from spectroloom.llm.common import checkpointed
 
 #: Virtual slots.
 SLOTS = 4096
-#: A slot above this part of a shard's even share is split, into parts of about a quarter of that.
+#: Copies of one text above this part of a shard's even share are split by document, into parts of about a quarter of that.
 HEAVY = 0.5
 #: Cells of a shard's documents in which places are numbered.
 CELLS = 1024
+#: The rows of a text that has more than one in so many of all rows are dealt over cells one by one.
+HOT_ROWS = 512
 
 
 def initial_map(spark: SparkSession, n_shards: int, n_slots: int = SLOTS) -> DataFrame:
@@ -29,8 +32,27 @@ def initial_map(spark: SparkSession, n_shards: int, n_slots: int = SLOTS) -> Dat
     return spark.range(n_slots).select(F.lit(0).alias("version"), F.col("id").alias("slot"), F.pmod("id", F.lit(n_shards)).cast("int").alias("shard"))
 
 
+def stored_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of the map under ``path``; none if nothing is stored there."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return []
+        raise
+    return sorted(r["version"] for r in stored.select("version").distinct().collect())
+
+
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Add a version of the map to those under ``path``; earlier versions stay."""
+    """Add a version of the map to those under ``path``; earlier versions stay, and one that exists is refused.
+
+    An empty map adds nothing; a map of several versions is refused as well.
+    """
+    new = [r["version"] for r in slot_map.select("version").distinct().limit(2).collect()]
+    if len(new) > 1:
+        raise ValueError("a map has one version")
+    if set(new) & set(stored_versions(slot_map.sparkSession, path)):
+        raise ValueError(f"version {new[0]} is stored under {path} already")
     slot_map.write.mode("append").partitionBy("version").parquet(path)
 
 
@@ -87,32 +109,51 @@ def rebalance(slot_map: DataFrame, slot_bytes: DataFrame, n_shards: int) -> Data
 
 
 def slot_records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_shards: int = 8, n_slots: int = SLOTS) -> DataFrame:
-    """``(doc_id, size, text_crc32, virtual_slot, cell)`` of every document; heavy slots are split."""
+    """``(doc_id, size, text_crc32, virtual_slot, cell)`` of every document.
+
+    Documents of one text share a virtual slot, unless they are ``HEAVY`` together: such a text has slots
+    of its own, which its documents are dealt over by id. A slot whose other texts are too heavy is split
+    by text. Null texts count as empty; null ids and repeated rows keep their rows. Cells only spread
+    the numbering of places.
+    """
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"), F.xxhash64(body).alias("h"))
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"), F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("line"))
     rows = checkpointed(rows)
-    slot = F.pmod("h", F.lit(n_slots))
-    rows = rows.select("doc_id", "size", "text_crc32", slot.alias("first_slot"), F.xxhash64("doc_id", "h").alias("own"))
-    slots = rows.groupBy("first_slot").agg(F.sum("size").alias("bytes"))
-    share = F.sum("bytes").over(W.partitionBy()) / n_shards
-    heavy = slots.select("first_slot", "bytes", share.alias("share")).where(F.col("bytes") > HEAVY * F.col("share"))
-    parts = heavy.select("first_slot", F.ceil(4 * F.col("bytes") / (HEAVY * F.col("share"))).alias("parts"))
-    rows = rows.join(F.broadcast(parts), "first_slot", "left")  # at most one row for each of the fixed slots
-    part = F.coalesce(F.pmod(F.shiftrightunsigned("own", 10), "parts"), F.lit(0))
-    return rows.select("doc_id", "size", "text_crc32", (F.col("first_slot") + n_slots * part).alias("virtual_slot"), F.pmod("own", F.lit(CELLS)).cast("int").alias("cell"))
-
-
-def assign_shards(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text: str = "text", n_slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
+    texts = rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    totals = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
+    limit = F.lit(HEAVY * (totals["bytes"] or 0) / n_shards)
+    hot = texts.where((F.col("bytes") > limit) | (F.col("n") * HOT_ROWS > totals["n"]))  # n_shards / HEAVY and HOT_ROWS rows at most
+    hot = hot.select("h", F.when(F.col("bytes") > limit, F.ceil(4 * F.col("bytes") / limit)).alias("parts"), F.lit(True).alias("hot"))
+    hot = checkpointed(hot.withColumn("nth", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("h"))))
+    rows = rows.join(F.broadcast(hot), "h", "left").withColumn("first_slot", F.pmod("h", F.lit(n_slots)))
+    others = rows.where("parts is null").groupBy("first_slot").agg(F.sum("size").alias("slot_bytes"))
+    split = others.where(F.col("slot_bytes") > limit).select("first_slot", F.ceil(4 * F.col("slot_bytes") / limit).alias("text_parts"))
+    rows = rows.join(F.broadcast(split), "first_slot", "left")  # at most one row for each of the fixed slots
+    own = F.xxhash64("doc_id", "h")
+    by_text = F.coalesce(F.pmod(F.xxhash64("h"), "text_parts"), F.lit(0))
+    by_row = F.lit(1 << 20) * F.col("nth") + F.pmod(F.shiftrightunsigned(own, 10), "parts")
+    cell = F.pmod(F.when(F.col("hot"), F.xxhash64("line")).otherwise(own), F.lit(CELLS)).cast("int")
+    return rows.select("doc_id", "size", "text_crc32", (F.col("first_slot") + n_slots * F.coalesce(by_row, by_text)).alias("virtual_slot"), cell.alias("cell"))
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text: str = "text", n_slots: int = SLOTS, slot_map: DataFrame | None = None, map_path: str | None = None) -> DataFrame:
     """One row per document: its shard, by near-equal bytes, and its place there.
 
     The size is the text's UTF-8 bytes and 1; null texts count as empty. ``slot`` numbers the documents of
     a shard from 0 without gaps. Equal texts share a shard unless they are more than about half of one.
-    Null and repeated ids are allowed: every row is placed. ``slot_map`` is the version to edit (version 0
-    if none).
+    Null and repeated ids are allowed: every row is placed. ``slot_map`` is the version to edit; without
+    one, the last one stored under ``map_path``, or version 0. With ``map_path`` the version edited, if
+    it is new, and its successor are stored there.
     """
+    spark = docs.sparkSession
     rows = checkpointed(slot_records(docs, doc_id, text, n_shards, n_slots))
-    before = slot_map if slot_map is not None else initial_map(docs.sparkSession, n_shards, n_slots)
+    stored = stored_versions(spark, map_path) if map_path else []
+    before = slot_map if slot_map is not None else load_map(spark, map_path) if stored else initial_map(spark, n_shards, n_slots)
+    if map_path and not stored:
+        save_map(before, map_path)
     edited = checkpointed(rebalance(before, rows.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("size").alias("bytes")), n_shards))
+    if map_path:
+        save_map(edited, map_path)
     placed = rows.join(F.broadcast(edited.withColumnRenamed("slot", "virtual_slot")), "virtual_slot")  # a row for each virtual slot: a fixed number
     cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     start = F.sum("n").over(W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")

@@ -259,6 +259,37 @@ def test_sharding(docs, rows, no_docs, odd_docs):
     assert assign_shards(no_docs).count() == 0 and assign_shards(odd_docs).count() == 6
 
 
+def greedy(loads_by_slot, shard_of, n_shards):
+    """The map's edit by hand: largest slots first, kept where they fit, the rest to the least loaded shard."""
+    share = -(-sum(loads_by_slot.values()) // n_shards)
+    loads, out, pool = [0] * n_shards, {}, []
+    for slot, size in sorted(loads_by_slot.items(), key=lambda x: (-x[1], x[0])):
+        shard = shard_of.get(slot, loads.index(min(loads)))
+        if loads[shard] + size <= share:
+            loads[shard] += size
+            out[slot] = shard
+        else:
+            pool.append((slot, size))
+    for slot, size in pool:
+        out[slot] = loads.index(min(loads))
+        loads[out[slot]] += size
+    return out
+
+
+def test_sharding_matches_brute_force(spark):
+    data = [(i, "x" * (i * 37 % 90)) for i in range(400)] + [(1000 + i, "same text " * 40) for i in range(60)] + [(None, None), (7, "x")]
+    got = assign_shards(spark.createDataFrame(data, "doc_id long, text string").repartition(3), n_slots=64).collect()
+    loads = Counter({s: 0 for s in range(64)})
+    for r in got:
+        loads[r.virtual_slot] += r["size"]
+    assert {r.virtual_slot: r.shard for r in got}.items() <= greedy(loads, {s: s % 8 for s in range(64)}, 8).items()
+    assert {(r.virtual_slot, r.map_version) for r in got} and {r.map_version for r in got} == {1}
+    by_shard = Counter()
+    for r in got:
+        by_shard[r.shard] += r["size"]
+    assert max(by_shard.values()) < 1.1 * min(by_shard.values())
+
+
 def test_sharding_balances_and_splits(spark):
     data = [(i, "same text " * 30 if i % 3 == 0 else "t" * (1 + i * 7 % 400)) for i in range(3000)]
     loads = Counter()
@@ -267,6 +298,46 @@ def test_sharding_balances_and_splits(spark):
     assert len(loads) == 8 and max(loads.values()) < 1.02 * min(loads.values())
 
 
+def test_sharding_keeps_groups_of_a_heavy_slot(spark):
+    """Beside one hot text, groups of equal texts in its slot stay whole."""
+    hot = "hot text " * 20
+    names = spark.range(4000).selectExpr("concat('group ', id) AS t").union(spark.createDataFrame([(hot,)], "t string"))
+    slots = {r.t: r.s for r in names.select("t", F.pmod(F.xxhash64("t"), F.lit(64)).alias("s")).collect()}
+    same = [t for t, s in slots.items() if s == slots[hot] and t != hot][:20]
+    data = [(i, hot) for i in range(3000)] + [(5000 + 4 * k + j, t) for k, t in enumerate(same) for j in range(4)] + [(9000 + i, f"other {i} " * 5) for i in range(400)]
+    got = assign_shards(spark.createDataFrame(data, "doc_id long, text string"), n_slots=64).collect()
+    where, loads = {}, Counter()
+    for r in got:
+        where.setdefault(r.text_crc32, set()).add(r.shard)
+        loads[r.shard] += r["size"]
+    assert len(same) == 20 and all(len(where[zlib.crc32(t.encode())]) == 1 for t in same)
+    assert len(where[zlib.crc32(hot.encode())]) == 8 and max(loads.values()) < 1.05 * min(loads.values())
+
+
+def test_sharding_deals_repeated_rows_over_cells(spark):
+    from spectroloom.llm.sharding import slot_records
+
+    for text in ("", "some text"):
+        df = spark.createDataFrame([(1, text)] * 3000 + [(i, f"t{i}") for i in range(1000)], "doc_id long, text string").repartition(4)
+        cells = slot_records(df).groupBy("cell").count().agg(F.max("count")).first()[0]
+        assert cells < 40
+        got = assign_shards(df).collect()
+        for shard in {r.shard for r in got}:
+            own = sorted(r.slot for r in got if r.shard == shard)
+            assert own == list(range(len(own)))
+
+
+def test_shards_by_a_stored_map(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    one = assign_shards(docs, map_path=path).select("doc_id", "shard", "map_version").collect()
+    two = assign_shards(docs, map_path=path).select("doc_id", "shard", "map_version").collect()
+    assert {r.map_version for r in one} == {1} and {r.map_version for r in two} == {2}
+    assert {r.doc_id: r.shard for r in one} == {r.doc_id: r.shard for r in two}  # nothing has to move
+    with pytest.raises(ValueError):
+        save_map(load_map(spark, path), path)
+    assert load_map(spark, path, 0).count() == 4096
+
+
 def test_slot_map_versions(spark, tmp_path):
     v0 = initial_map(spark, 4, 64)
     slot_bytes = spark.range(64).selectExpr("id AS slot", "1000 + id * 10 AS bytes")
