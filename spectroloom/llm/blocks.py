@@ -44,16 +44,18 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def bulk_blocks(members: DataFrame, key: str, group: str, member: str, size: int) -> DataFrame:
+def bulk_blocks(members: DataFrame, key: str, group: str, member: str, size: int, weight: str | None = None, most: int = 1) -> DataFrame:
     """Blocks in which every two members of a bucket from different groups meet, leaving out its largest group's own pairs.
 
     Members outside the bucket's largest group ask (``asks``), in blocks ``query``; all members are told, in
     blocks ``target``. A row goes to as many blocks as the other side has, so no task holds more than
     about two blocks and no pair within the largest group is looked at. Buckets of one group give no row.
+    Blocks have about ``size`` members, and about ``most`` of their ``weight`` in sum, if that is given.
     """
-    sizes = members.groupBy(key, group).agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy(key).agg(F.sum("n").alias("all"), F.max(F.struct("n", F.col(group).alias("g"))).alias("bulk")).where(F.col("all") > F.col("bulk.n"))
-    blocks = F.ceil(F.col("all") / size).cast("int"), F.ceil((F.col("all") - F.col("bulk.n")) / size).cast("int")
+    load = F.sum(weight) / most if weight else F.lit(0.0)
+    sizes = members.groupBy(key, group).agg(F.count("*").alias("n"), load.alias("load"))
+    sizes = sizes.groupBy(key).agg(F.sum("n").alias("all"), F.sum("load").alias("load"), F.max(F.struct("n", F.col(group).alias("g"), "load")).alias("bulk")).where(F.col("all") > F.col("bulk.n"))
+    blocks = F.ceil(F.greatest(F.col("all") / size, "load")).cast("int"), F.ceil(F.greatest((F.col("all") - F.col("bulk.n")) / size, F.col("load") - F.col("bulk.load"))).cast("int")
     rows = members.join(sizes.select(key, F.col("bulk.g").alias("bulk"), blocks[0].alias("targets"), blocks[1].alias("queries")), key)
     own = {n: F.pmod(F.xxhash64(member), F.col(n)).cast("int") for n in ("targets", "queries")}
     every = {n: F.sequence(F.lit(0), F.col(n) - 1) for n in own}

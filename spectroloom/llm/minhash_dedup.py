@@ -10,7 +10,8 @@ compared with its smallest member only, which joins most of a group in one linea
 members this leaves in different components are screened again by their sketches, in bounded blocks.
 Components that may still be linked make a cluster, in which the members outside its largest component
 are compared with all others on their full sets, block by block, until they are joined. So no candidate
-link between components goes unseen, and no large group is expanded into all its pairs.
+link between components goes unseen, and no large group is expanded into all its pairs. A bucket's smallest
+member goes to as many tasks as the bucket's size asks for, so no task gets a whole large group.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ SHINGLE = 5
 PERCENT = 75
 #: Registers of a sketch, and of a band.
 REGISTERS, BAND = 128, 4
-#: Bits of a register: leading zeros (6) and mantissa.
-MANTISSA = 26
+#: Bits of a register's mantissa; leading zeros have the other six.
+MANTISSA = 10
 #: Standard errors that an estimate may lie below the limit before a candidate is dropped unseen.
 SIGMAS = 4.5
-#: Members of a block when a bucket is compared within itself.
-BLOCK = 512
+#: Members of a block when a bucket is compared within itself, and shingles of all of them, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Ids that are broadcast at most to fetch their texts; more are joined.
 BROADCAST_IDS = 100_000
 
@@ -74,8 +75,8 @@ def sketches(first: np.ndarray, h: np.ndarray) -> np.ndarray:
     np.minimum.at(least, doc * REGISTERS + (h & np.uint64(REGISTERS - 1)).astype(np.int64), h >> np.uint64(11))
     fraction, exponent = np.frexp(least.astype(np.float64))
     zeros = np.where(least > 0, 53 - exponent, 53)
-    mantissa = np.maximum((fraction - 0.5) * (2 << MANTISSA), 0).astype(np.uint32)
-    out = ((zeros + 1).astype(np.uint32) << np.uint32(MANTISSA)) | np.minimum(mantissa, (1 << MANTISSA) - 1).astype(np.uint32)
+    mantissa = np.clip((fraction - 0.5) * (2 << MANTISSA), 0, (1 << MANTISSA) - 1).astype(np.uint16)
+    out = ((zeros + 1).astype(np.uint16) << np.uint16(MANTISSA)) | mantissa
     out[least == 1 << 53] = 0
     return out.reshape(n, REGISTERS)
 
@@ -96,8 +97,8 @@ def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     n, m = np.maximum(n, m).astype(float), np.minimum(n, m).astype(float)
     ratio = np.divide(n, m, out=np.ones_like(n), where=m > 0)
     both = REGISTERS * -np.expm1(-n / REGISTERS) * -np.expm1(-m / REGISTERS)
-    # two values of scales 1 : ratio share leading zeros and mantissa with chance near 0.17 * 2**-MANTISSA * 4 * ratio / (1 + ratio)**2 a bucket, at fullest
-    return np.minimum(both, REGISTERS * 0.169919487159739093975 * 2.0 ** -(MANTISSA - 6) * 4 * ratio / (1 + ratio) ** 2)
+    # the smallest of n and of m hashes share their leading zeros with chance 0.17 if n = m, less by 4 * ratio / (1 + ratio)**2 if not, and then the mantissa with chance 2**-MANTISSA
+    return both * 0.17 * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,24 +117,25 @@ def promising(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
 
 
 def _registers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "s1", "s2", "sketch"]
+    names = ["doc_id", "k", "n", "s1", "s2", "sketch"]
     for batch in batches:
-        for i, j, first, h in shingle_sets(batch.column(1)):
+        for i, j, first, h in shingle_sets(batch.column(2)):
             total = [np.r_[np.uint64(0), np.cumsum(X.mix(h + np.uint64(k)), dtype=np.uint64)] for k in (1, 2)]
             sums = [(t[first[1:]] - t[first[:-1]]).view(np.int64) for t in total]
             rows = sketches(first, h)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), *map(pa.array, sums), pa.array([r.tobytes() for r in rows], pa.binary())], names=names)
+            own = [batch.column(k).slice(i, j - i) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first)), *map(pa.array, sums), pa.array([r.tobytes() for r in rows], pa.binary())], names=names)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = band_keys(_registers(batch.column("sketch"))) if batch.num_rows else np.zeros((0, 1), np.int64)
         row, band = np.nonzero(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), batch.column("id").take(pa.array(row))], names=["key", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), batch.column("k").take(pa.array(row))], names=["key", "k"])
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             n, m = (np.asarray(batch.column(k)) for k in ("n_a", "n_b"))
             keep = promising(_registers(batch.column("sketch_a")), _registers(batch.column("sketch_b")), n, m)
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
+            yield batch.filter(pa.array(keep)).select(["a", "b", "salt", "id_a", "id_b"])
 
 
 class _Joined:
@@ -165,7 +167,7 @@ class _Joined:
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one pair of blocks, components with a promising pair: a forest of them."""
     for run in runs(batches, ["key", "lo", "hi"]):
-        ids, comp, n, own = (run.column(k).to_numpy() for k in ("id", "component", "n", "own"))
+        comp, n, own = (run.column(k).to_numpy() for k in ("component", "n", "own"))
         if (comp == comp[0]).all():
             continue
         r, joined = _registers(run.column("sketch").combine_chunks()), _Joined(comp)
@@ -184,9 +186,9 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the components of one block of a cluster, on full sets: enough to join all that are linked."""
+    """Pairs of the components of one block of a cluster that are linked on full sets: enough to join all that are."""
     for run in runs(batches, ["cluster", "target", "query"]):
-        ids, comp, asks = (run.column(k).to_numpy(zero_copy_only=False) for k in ("id", "component", "asks"))
+        comp, asks = (run.column(k).to_numpy(zero_copy_only=False) for k in ("component", "asks"))
         sets: list[np.ndarray] = []
         for i, j, first, h in shingle_sets(run.column("text").combine_chunks()):
             sets += [h[first[d] : first[d + 1]].copy() for d in range(j - i)]
@@ -201,7 +203,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in others.tolist():
                 if joined.root[joined.at[i]] != joined.root[joined.at[k]] and linked(sets[i], sets[k]):
                     joined.join(i, k)
-                    found.append((ids[i], ids[k]))
+                    found.append((comp[i], comp[k]))
         if found:
             a, b = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -216,48 +218,51 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that are links on their full sets."""
+    """The links of each leader, which comes before its members, on full sets."""
+    group, leader, leader_id = None, np.zeros(0, np.uint64), 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = [np.asarray(batch.column(k)) for k in ("a", "b")]
-        sets: dict[int, np.ndarray] = {}
-        for side, texts in zip(ids, ("text_a", "text_b")):
-            new, at = np.unique(side, return_index=True)
-            for i, j, first, h in shingle_sets(batch.column(texts).take(pa.array(at))):
-                for d in range(j - i):
-                    sets[int(new[i + d])] = h[first[d] : first[d + 1]].copy()
-        keep = np.zeros(batch.num_rows, bool)
-        for row, (a, b) in enumerate(zip(*(x.tolist() for x in ids))):
-            keep[row] = linked(sets[a], sets[b])
-        yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs confirmed on the texts of both."""
-    by_id = texts.repartition("id")
-    rows = pairs.join(by_id.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(by_id.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
-
-
-def _cluster_links(members: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between components of ``members(key, id, component)`` whose buckets hold several."""
+        a, salt, leads, ids = (batch.column(k).to_pylist() for k in ("a", "salt", "leads", "id"))
+        found = []
+        for i, j, first, h in shingle_sets(batch.column("text")):
+            for d in range(j - i):
+                own = h[first[d] : first[d + 1]]
+                if leads[i + d]:
+                    group, leader, leader_id = (a[i + d], salt[i + d]), own.copy(), ids[i + d]
+                elif group == (a[i + d], salt[i + d]) and linked(leader, own):
+                    found.append((leader_id, ids[i + d]))
+        x, y = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+
+def _texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(k, text)`` for the distinct ``keys(k)``, once each however many rows have it; few keys are broadcast."""
+    keys = checkpointed(keys)
+    if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return rows.select("k", "text").join(keys, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+
+
+def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs of a leader and a member that are links on the texts of both, as document ids."""
+    pairs = checkpointed(pairs)
+    leaders = pairs.select("a", "salt", "id_a").distinct()
+    texts = _texts(rows, leaders.select(F.col("a").alias("k")).unionAll(pairs.select(F.col("b").alias("k"))).distinct())
+    members = pairs.join(texts.withColumnRenamed("k", "b"), "b").select("a", "salt", F.lit(False).alias("leads"), F.col("id_b").alias("id"), "text")
+    leading = leaders.join(texts.withColumnRenamed("k", "a"), "a").select("a", "salt", F.lit(True).alias("leads"), F.col("id_a").alias("id"), "text")
+    groups = members.unionAll(leading).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("leads"))
+    return groups.mapInArrow(_confirm, "a long, b long")
+
+
+def _cluster_links(members: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links between components of ``members(key, k, component)`` whose buckets hold several."""
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     members = checkpointed(members.join(mixed, "key"))
-    rows = block_pairs(members.join(sketch, "id"), "key", "id", BLOCK)
-    forest = rows.mapInArrow(_cross, "a long, b long").distinct()
+    blocks = block_pairs(members.join(classes.select("k", "n", "sketch"), "k"), "key", "k", BLOCK)
+    forest = blocks.mapInArrow(_cross, "a long, b long").distinct()
     cluster = connected_components(forest).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    own = members.select("id", "component").distinct().join(cluster, "component")
-    own = _with_text(checkpointed(own), texts)
-    return bulk_blocks(own, "cluster", "component", "id", BLOCK).mapInArrow(_settle, "a long, b long")
-
-
-def _with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rows`` with the texts of their ids, which are broadcast if there are few."""
-    if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        return checkpointed(texts.join(F.broadcast(rows), "id"))
-    return texts.join(rows, "id")
+    own = checkpointed(members.select("k", "component").distinct().join(cluster, "component").join(classes.select("k", "n"), "k"))
+    own = checkpointed(own.join(_texts(rows, own.select("k")), "k"))
+    return bulk_blocks(own, "cluster", "component", "k", BLOCK, "n", BLOCK_SHINGLES).mapInArrow(_settle, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,24 +273,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows share a component; rows of one id with different texts are classes of their own that carry that
     id. A null id takes no part in links: its component is null and it is kept.
     """
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    signed = checkpointed(rows.mapInArrow(_sign, "doc_id long, n long, s1 long, s2 long, sketch binary"))
+    body = docs[text].cast("string")
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[doc_id].cast("long"), body).alias("k"), body.alias("text"))
+    signed = checkpointed(rows.mapInArrow(_sign, "doc_id long, k long, n long, s1 long, s2 long, sketch binary"))
     full = signed.where("n > 0 and doc_id is not null")
-    classes = checkpointed(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
-    sketch = classes.select("id", "n", "sketch")
-    texts = rows.select(F.col("doc_id").alias("id"), "text")
-
-    bands = classes.select("id", "sketch").mapInArrow(_bands, "key long, id long")
-    shared = bands.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
-    bands = checkpointed(bands.join(shared.select("key", "a"), "key"))
-    star = bands.where("id != a").select("a", F.col("id").alias("b")).distinct()
-    side = {k: sketch.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"}
-    star = star.join(side["b"], "b").join(side["a"], "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-    links = checkpointed(_links(star.mapInArrow(_screen, "a long, b long"), texts))
+    one = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "k")).alias("one"), F.first("sketch").alias("sketch"))
+    classes = checkpointed(one.select("s1", "s2", "n", F.col("one.doc_id").alias("id"), F.col("one.k").alias("k"), "sketch"))
+
+    bands = classes.select("k", "sketch").mapInArrow(_bands, "key long, k long")
+    shared = bands.groupBy("key").agg(F.min("k").alias("a"), F.count("*").alias("size")).where("size > 1")
+    bands = checkpointed(bands.join(shared, "key"))
+    salts = F.ceil(F.max("size") / BLOCK).cast("int").alias("salts")
+    star = bands.where("k != a").groupBy("a", F.col("k").alias("b")).agg(salts).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    leaders = bands.where("k = a").groupBy("a").agg(salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    side = {x: classes.select(F.col("k").alias(x), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
+    star = star.join(side["b"], "b").join(leaders.join(side["a"], "a"), ["a", "salt"])
+    screened = star.select("a", "b", "salt", "id_a", "id_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_screen, "a long, b long, salt int, id_a long, id_b long")
+    links = checkpointed(_links(screened, rows))
 
     component = checkpointed(connected_components(links))
-    members = bands.select("key", "id").join(component.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = checkpointed(_cluster_links(members, sketch, texts))
+    settled = classes.select("k", "id").join(component.select(F.col("node").alias("id"), "component"), "id", "left").select("k", F.coalesce("component", "id").alias("component"))
+    more = checkpointed(_cluster_links(bands.select("key", "k").join(settled, "k"), classes, rows))
     component = connected_components(links.unionAll(more))
 
     by_class = classes.join(component.select(F.col("node").alias("id"), "component"), "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))

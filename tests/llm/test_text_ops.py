@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest_llm import ALNUM, LOWER, SPACED
 from spectroloom.llm import components as C
+from spectroloom.llm import minhash_dedup as M
 from spectroloom.llm.decontaminate import find_contamination, longest_matches, remove_contaminated, suffix_array
 from spectroloom.llm.license_scan import BASE_PHRASES, SuffixAutomaton, scan_licenses
 from spectroloom.llm.line_dedup import boilerplate_lines, drop_boilerplate, line_report, url_host
@@ -178,7 +179,9 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_minhash(docs, rows, no_docs, odd_docs):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_minhash(docs, rows, no_docs, odd_docs, broadcast, monkeypatch):
+    monkeypatch.setattr(M, "BROADCAST_IDS", broadcast)
     sets = {r[0]: shingles(r[1]) for r in rows}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     low = components(sets, links)
@@ -191,6 +194,65 @@ def test_minhash(docs, rows, no_docs, odd_docs):
     assert odd == Counter({(None, None, True): 2, (5, 5, True): 3, (9, 5, False): 1})
 
 
+def test_minhash_of_repeated_rows_and_ids(spark, monkeypatch):
+    """Repeated rows are one class, whose text is read once; two texts of one id are two classes."""
+    base = [f"w{i}" for i in range(60)]
+    near = base[:59] + ["other"]
+    data = [(1, " ".join(base))] * 200 + [(2, " ".join(near))] * 200 + [(3, "x y z"), (3, " ".join(base[:55] + ["p"] * 5)), (4, "x y z"), (5, "alone in here")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    seen = []
+    links = M._links
+    monkeypatch.setattr(M, "_links", lambda pairs, rows: seen.append(pairs.count()) or links(pairs, rows))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == Counter({(1, 56, 1, True): 200, (2, 56, 1, False): 200, (3, 1, 1, False): 1, (3, len(shingles(data[401][1])), 1, False): 1, (4, 1, 1, False): 1, (5, 1, 5, True): 1})
+    assert seen[0] <= 3
+
+
+def test_minhash_splits_a_hot_leader(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 300)
+    base = [f"w{i}" for i in range(120)]
+    data = [(i, " ".join(base[:100] + [f"x{i}"] + base[100:])) for i in range(150)] + [(1000 + i, " ".join(base[:70] + [f"y{i}_{j}" for j in range(9)] + base[70:])) for i in range(20)]
+    got = by_id(near_duplicates(spark.createDataFrame(data, "doc_id long, text string")))
+    sets = {k: shingles(t) for k, t in data}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert {k: r.component_id for k, r in got.items()} == components(sets, links)
+
+
+def test_candidates_at_the_limit():
+    """Pairs at similarity 0.75 share a band, and their sketches let them pass, whatever the size of the sets."""
+    g = np.random.default_rng(2)
+    for size in (8, 16, 40, 400, 4000):
+        n = 600 if size < 1000 else 100
+        met = passed = 0
+        for _ in range(n):
+            h = g.integers(0, 1 << 64, size, dtype=np.uint64)
+            a, b = np.sort(h[: size * 7 // 8]), np.sort(h[size // 8 :])
+            r = [M.sketches(np.array([0, len(x)]), x) for x in (a, b)]
+            keys = [M.band_keys(x)[0] for x in r]
+            met += bool(((keys[0] == keys[1]) & (keys[0] != 0)).any())
+            passed += bool(M.promising(*r, np.array([len(a)]), np.array([len(b)]))[0])
+        assert met == passed == n
+    assert r[0].dtype == np.uint16 and r[0].nbytes == 256
+
+
+def test_collision_correction():
+    """Registers of sets without a common shingle agree about as often as the correction says."""
+    g = np.random.default_rng(3)
+    bits = M.MANTISSA
+    M.MANTISSA = 4  # so that enough of them do
+    try:
+        for n, m in ((2000, 2000), (6000, 2000)):
+            same = 0
+            for _ in range(200):
+                r = [M.sketches(np.array([0, k]), g.integers(0, 1 << 64, k, dtype=np.uint64)) for k in (n, m)]
+                same += int(((r[0] == r[1]) & (r[0] > 0)).sum())
+            want = 200 * M.expected_collisions(np.array([n]), np.array([m]))[0]
+            assert 0.7 * want < same < 1.3 * want
+    finally:
+        M.MANTISSA = bits
+
+
 def test_minhash_joins_chains(spark):
     """Each text is near its neighbours only, so no single leader joins the group."""
     words = [f"w{i}" for i in range(400)]
