@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectroloom.llm import textops as X
+from spectroloom.llm.common import checkpointed
 from spectroloom.llm.pieces import MODEL, TEXT_BYTES, TOKENIZERS, Units, Vocabulary, forward, load_vocabulary, units, viterbi
 
 #: About how many documents of each language the model is fitted on (twice as many at most, by hash).
@@ -107,7 +108,7 @@ def fit_language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return LanguageModel([], np.zeros((0, 0)))
     every = F.create_map(*[F.lit(x) for k in languages for x in (k, max(1, sizes[k] // sample_per_lang))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.get(F.map_values(F.map_filter(every, lambda k, _: k == F.col("lang"))), F.lit(0))) == 0)
-    sample = sample.select("lang", "text").repartition(4 * spark.sparkContext.defaultParallelism)
+    sample = checkpointed(sample.select("lang", "text").repartition(4 * spark.sparkContext.defaultParallelism))  # bounded, and read in each round
     v = load_vocabulary(path, model)
     shared = spark.sparkContext.broadcast(v)
     prior = _prior(v)
@@ -179,7 +180,11 @@ def predict_language(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_i
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = 0.5, path: str = TOKENIZERS, file: str = MODEL) -> DataFrame:
-    """The rows whose text has a language with at least ``min_score``; all their columns."""
+    """The rows whose text has a language with at least ``min_score``; all their columns, whatever their names.
+
+    Null texts and those without a letter go, as do all rows if there was nothing to learn from. Rows are
+    judged on their own, so repeated rows go or stay together.
+    """
     predict, place = _predictor(docs, model, path, file), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,8 +31,8 @@ def _lines(text: Column) -> Column:
 
 
 def _line_key(line: Column) -> Column:
-    """128 bits of a line's content."""
-    return F.concat_ws(":", F.xxhash64(line), F.xxhash64(line, F.lit(1)))
+    """128 bits of a line's content: a second hash that starts from another seed."""
+    return F.concat_ws(":", F.xxhash64(line), F.xxhash64(F.lit(1), line))
 
 
 def _hosted(docs: DataFrame, host: str | Column, text: str) -> DataFrame:
@@ -41,11 +41,15 @@ def _hosted(docs: DataFrame, host: str | Column, text: str) -> DataFrame:
 
 
 def boilerplate_lines(docs: DataFrame, host: str | Column = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
-    """``(host, line_key, n_pages, n_host_pages)`` of the lines above the ratio, counted over all pages, or all distinct page texts."""
+    """``(host, line_key, n_pages, n_host_pages)`` of the lines above the ratio, counted over all pages, or all distinct page texts.
+
+    A null host counts as the empty one, a null text as a page without lines; blank lines are left out,
+    and repeated rows are pages of their own unless ``copies_once``. An empty table gives no line.
+    """
     page = ["t1", "t2"] if copies_once else []
     rows = _hosted(docs, host, text).select("host", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     lines = rows.select("host", *page, F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where("trim(line) != ''")
-    lines = lines.select("host", *page, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    lines = lines.select("host", *page, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     if copies_once:
         rows, lines = rows.select("host", *page).distinct(), lines.distinct()
     pages = rows.groupBy("host").agg(F.count("*").alias("n_host_pages"))

@@ -314,9 +314,11 @@ def forward(v: Vocabulary, u: Units, probability: np.ndarray) -> np.ndarray:
             sums[r, e] += sums[r, p] * probability[ids]
         with np.errstate(divide="ignore"):
             out[own] = np.log(sums[np.arange(m), length]) + scale[:, None]
+    logs: list[list[float]] = []
     for unit, size, found in _long_units(v, u):
-        with np.errstate(divide="ignore"):
-            logs = np.log(probability).T.tolist()
+        if not logs:
+            with np.errstate(divide="ignore"):
+                logs = np.log(probability).T.tolist()
         for j, log_p in enumerate(logs):
             held = [-np.inf] * (size + 1)
             held[0] = 0.0

@@ -30,8 +30,10 @@ def encode_column(v: Vocabulary, column: pa.Array) -> Iterator[tuple[int, int, n
         start = np.cumsum(n) - n
         place = np.arange(n.sum()) - np.repeat(start - first[:-1][u.which], n)
         total = np.r_[0, np.cumsum(n)]
-        sums = np.r_[0.0, np.cumsum(score[u.which])]
-        yield i, j, total[u.first], ids[place], sums[u.first[1:]] - sums[u.first[:-1]]
+        sums, full = np.zeros(j - i), np.flatnonzero(np.diff(u.first))
+        if len(full):  # each text's own sum, whatever lies beside it
+            sums[full] = np.add.reduceat(score[u.which], u.first[full])
+        yield i, j, total[u.first], ids[place], sums
 
 
 class Decoder:

@@ -80,6 +80,8 @@ def rebalance(slot_map: DataFrame, slot_bytes: DataFrame, n_shards: int) -> Data
 
     Works on one array of all slots, whose number is fixed however many records there are. Slots that the
     map does not know (parts of split slots, or those of shards that are gone) go to the shard with the least.
+    Slots without bytes, or with null ones, weigh nothing; ties go to the smaller slot and shard; an empty
+    map and an empty table give an empty version 0. Both tables have a slot once.
     """
     slots = slot_bytes.join(slot_map, "slot", "full").select("slot", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), "shard", F.max("version").over(W.partitionBy()).alias("version"))
     item = F.struct((-F.col("bytes")).alias("order"), "slot", "bytes", F.when(F.col("shard") < n_shards, F.col("shard")).alias("shard"))
