@@ -38,8 +38,8 @@ REGISTERS, BAND = 128, 4
 MANTISSA = 10
 #: Standard errors that an estimate may lie below the limit before a candidate is dropped unseen.
 SIGMAS = 4.5
-#: Members of a block when a bucket is compared within itself, and shingles of all of them, about.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Members of a block when a bucket is compared within itself, and bytes of their texts, about.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Ids that are broadcast at most to fetch their texts; more are joined.
 BROADCAST_IDS = 100_000
 
@@ -67,27 +67,44 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int
         yield i, j, np.searchsorted(doc, np.arange(j - i + 1)), h
 
 
-def sketches(first: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Registers, one row for each document: 0 for an empty bucket, else leading zeros + 1 and the mantissa."""
+def minima(first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The smallest hash in each bucket, 53 bits of it, one row for each document; 1 << 53 for an empty bucket."""
     n = len(first) - 1
     least = np.full(n * REGISTERS, 1 << 53, np.uint64)
     doc = np.repeat(np.arange(n), np.diff(first))
     np.minimum.at(least, doc * REGISTERS + (h & np.uint64(REGISTERS - 1)).astype(np.int64), h >> np.uint64(11))
+    return least.reshape(n, REGISTERS)
+
+
+def registers_of(least: np.ndarray) -> np.ndarray:
+    """Compressed registers: 0 for an empty bucket, else leading zeros + 1 and the mantissa."""
     fraction, exponent = np.frexp(least.astype(np.float64))
     zeros = np.where(least > 0, 53 - exponent, 53)
     mantissa = np.clip((fraction - 0.5) * (2 << MANTISSA), 0, (1 << MANTISSA) - 1).astype(np.uint16)
     out = ((zeros + 1).astype(np.uint16) << np.uint16(MANTISSA)) | mantissa
     out[least == 1 << 53] = 0
-    return out.reshape(n, REGISTERS)
+    return out
+
+
+def sketches(first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Registers, one row for each document."""
+    return registers_of(minima(first, h))
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """A key for each band of each sketch; 0 where all its registers are empty."""
+def band_keys(registers: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """A key for each band of each sketch; 0 where all its registers are empty.
+
+    A band of a short document may have one register only, which too many others would equal by chance;
+    where any is empty, the uncompressed minima count as well.
+    """
     n = len(registers)
-    parts = registers.reshape(n, REGISTERS // BAND, BAND).astype(np.uint64)
+    shape = (n, REGISTERS // BAND, BAND)
+    parts, whole = registers.reshape(shape).astype(np.uint64), least.reshape(shape)
     out = np.zeros(parts.shape[:2], np.uint64) + np.arange(1, REGISTERS // BAND + 1, dtype=np.uint64)
+    sparse = ~parts.all(2)
     for k in range(BAND):
         out = X.mix(out + parts[:, :, k])
+        out[sparse] = X.mix(out[sparse] + whole[:, :, k][sparse])
     out[~parts.any(2)] = 0
     return out.view(np.int64)
 
@@ -121,21 +138,24 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "k", "n", "s1", "s2", "sketch"]
+    names = ["doc_id", "k", "n", "s1", "s2", "sketch", "keys"]
     for batch in batches:
         for i, j, first, h in shingle_sets(batch.column(2)):
             total = [np.r_[np.uint64(0), np.cumsum(X.mix(h + np.uint64(k)), dtype=np.uint64)] for k in (1, 2)]
             sums = [(t[first[1:]] - t[first[:-1]]).view(np.int64) for t in total]
-            rows = sketches(first, h)
+            least = minima(first, h)
+            rows = registers_of(least)
+            keys = pa.array([r.tobytes() for r in band_keys(rows, least)], pa.binary())
             own = [batch.column(k).slice(i, j - i) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first)), *map(pa.array, sums), pa.array([r.tobytes() for r in rows], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first)), *map(pa.array, sums), pa.array([r.tobytes() for r in rows], pa.binary()), keys], names=names)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = band_keys(_registers(batch.column("sketch"))) if batch.num_rows else np.zeros((0, 1), np.int64)
+        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.int64)
         row, band = np.nonzero(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), batch.column("k").take(pa.array(row))], names=["key", "k"])
+        own = [batch.column(k).take(pa.array(row)) for k in ("k", "id")]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), *own], names=["key", "k", "id"])
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +280,9 @@ def _cluster_links(members: DataFrame, classes: DataFrame, rows: DataFrame) -> D
     blocks = block_pairs(members.join(classes.select("k", "n", "sketch"), "k"), "key", "k", BLOCK)
     forest = blocks.mapInArrow(_cross, "a long, b long").distinct()
     cluster = connected_components(forest).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    own = checkpointed(members.select("k", "component").distinct().join(cluster, "component").join(classes.select("k", "n"), "k"))
-    own = checkpointed(own.join(_texts(rows, own.select("k")), "k"))
-    return bulk_blocks(own, "cluster", "component", "k", BLOCK, "n", BLOCK_SHINGLES).mapInArrow(_settle, "a long, b long")
+    own = checkpointed(members.select("k", "component").distinct().join(cluster, "component"))
+    own = checkpointed(own.join(_texts(rows, own.select("k")), "k").withColumn("bytes", F.octet_length("text")))
+    return bulk_blocks(own, "cluster", "component", "k", BLOCK, "bytes", BLOCK_BYTES).mapInArrow(_settle, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,14 +295,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     body = docs[text].cast("string")
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[doc_id].cast("long"), body).alias("k"), body.alias("text"))
-    signed = checkpointed(rows.mapInArrow(_sign, "doc_id long, k long, n long, s1 long, s2 long, sketch binary"))
+    signed = checkpointed(rows.mapInArrow(_sign, "doc_id long, k long, n long, s1 long, s2 long, sketch binary, keys binary"))
     full = signed.where("n > 0 and doc_id is not null")
-    one = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "k")).alias("one"), F.first("sketch").alias("sketch"))
-    classes = checkpointed(one.select("s1", "s2", "n", F.col("one.doc_id").alias("id"), F.col("one.k").alias("k"), "sketch"))
+    one = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "k")).alias("one"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    classes = checkpointed(one.select("s1", "s2", "n", F.col("one.doc_id").alias("id"), F.col("one.k").alias("k"), "sketch", "keys"))
 
-    bands = classes.select("k", "sketch").mapInArrow(_bands, "key long, k long")
-    shared = bands.groupBy("key").agg(F.min("k").alias("a"), F.count("*").alias("size")).where("size > 1")
-    bands = checkpointed(bands.join(shared, "key"))
+    bands = classes.select("k", "id", "keys").mapInArrow(_bands, "key long, k long, id long")
+    shared = bands.groupBy("key").agg(F.min(F.struct("id", "k")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    bands = checkpointed(bands.select("key", "k").join(shared.select("key", F.col("least.k").alias("a"), "size"), "key"))
     salts = F.ceil(F.max("size") / BLOCK).cast("int").alias("salts")
     star = bands.where("k != a").groupBy("a", F.col("k").alias("b")).agg(salts).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     leaders = bands.where("k = a").groupBy("a").agg(salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")

@@ -210,7 +210,7 @@ def test_minhash_of_repeated_rows_and_ids(spark, monkeypatch):
 
 def test_minhash_splits_a_hot_leader(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 8)
-    monkeypatch.setattr(M, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(M, "BLOCK_BYTES", 3000)
     base = [f"w{i}" for i in range(120)]
     data = [(i, " ".join(base[:100] + [f"x{i}"] + base[100:])) for i in range(150)] + [(1000 + i, " ".join(base[:70] + [f"y{i}_{j}" for j in range(9)] + base[70:])) for i in range(20)]
     got = by_id(near_duplicates(spark.createDataFrame(data, "doc_id long, text string")))
@@ -228,8 +228,9 @@ def test_candidates_at_the_limit():
         for _ in range(n):
             h = g.integers(0, 1 << 64, size, dtype=np.uint64)
             a, b = np.sort(h[: size * 7 // 8]), np.sort(h[size // 8 :])
-            r = [M.sketches(np.array([0, len(x)]), x) for x in (a, b)]
-            keys = [M.band_keys(x)[0] for x in r]
+            least = [M.minima(np.array([0, len(x)]), x) for x in (a, b)]
+            r = [M.registers_of(x) for x in least]
+            keys = [M.band_keys(x, y)[0] for x, y in zip(r, least)]
             met += bool(((keys[0] == keys[1]) & (keys[0] != 0)).any())
             passed += bool(M.promising(*r, np.array([len(a)]), np.array([len(b)]))[0])
         assert met == passed == n
