@@ -21,4 +21,6 @@ def normal(h: Column) -> Column:
 
 
 def normal_vector(seed: int | str, row: Column, size: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: normal(digest(seed, row, i)))
+    """Standard normals, with one digest for each: they are made first, as each is read twice."""
+    digests = F.transform(F.sequence(F.lit(0), size - 1), lambda i: digest(seed, row, i))
+    return F.transform(digests, normal)

@@ -43,7 +43,7 @@ def added(x: Column, y: Column) -> Column:
 
 def center(x: Column) -> Column:
     """Row mean moved to 0."""
-    return let(total(x) / F.size(x), lambda m: F.transform(x, lambda v: v - m))
+    return let(x, lambda c: let(total(c) / F.size(c), lambda m: F.transform(c, lambda v: v - m)))
 
 
 def snv_struct(x: Column, eps: float = 1e-12) -> Column:

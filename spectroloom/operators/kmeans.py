@@ -138,8 +138,7 @@ class CosineKMeans:
 
     def fit(self, df: DataFrame, row_id: str = "row_id", x: str = "x", init: np.ndarray | None = None) -> CosineKMeans:
         rows = vectors(df, row_id, x).persist()
-        validate(rows)
-        if rows.count() < self.n_components:
+        if validate(rows, least=self.n_components) is None:
             raise ValueError("fewer rows than clusters")
         start = init if init is not None else seed_centroids(rows, self.n_components, self.random_state)
         self.centroids, self.inertia_, self.n_iter_ = fit_models(rows, {0: start}, self.tol, self.max_iter)[0]

@@ -53,6 +53,13 @@ def masked_sse(df: DataFrame, recon: str = "x_recon", x: str = "x", masked: str
     return df.withColumns({"_error": error, "_count": count}).groupBy(*(by or [])).agg(value.alias("loss"))
 
 
+def masked_losses_by(df: DataFrame, by: list[str], recon: str = "x_recon", x: str = "x", masked: str = "masked") -> DataFrame:
+    """The losses ``sum``, ``mean`` and ``batch_mean`` of each group of ``by`` from one aggregation."""
+    error, count = row_loss(F.col(recon), F.col(x), F.col(masked))
+    sums = df.withColumns({"_error": error, "_count": count}).groupBy(*by).agg(F.coalesce(F.sum("_error"), F.lit(0.0)).alias("sum"), F.sum("_count").alias("_masked"), F.count("*").alias("_rows"))
+    return sums.select(*by, "sum", (F.col("sum") / F.greatest("_masked", F.lit(1))).alias("mean"), (F.col("sum") / F.col("_rows")).alias("batch_mean"))
+
+
 def masked_mse(df: DataFrame, recon: str = "x_recon", x: str = "x", masked: str = "masked", reduction: str = "mean", by: list[str] | None = None) -> DataFrame:
     """``masked_sse`` that averages over masked positions by default."""
     return masked_sse(df, recon, x, masked, reduction, by)
@@ -65,12 +72,26 @@ def evaluate(df: DataFrame, loss: str = "mse", reduction: str = "mean", batch: s
     """
     if loss not in ("mse", "sse"):
         raise ValueError(f"unknown loss {loss!r}")
-    losses = masked_sse(df, recon, x, masked, reduction, [batch]).join(df.groupBy(batch).agg(F.count("*").alias("n")), batch)
+    if reduction not in ("sum", "mean", "batch_mean"):
+        raise ValueError(f"unknown reduction {reduction!r}")
+    error, count = row_loss(F.col(recon), F.col(x), F.col(masked))
+    sums = df.select(F.col(batch).alias("batch"), error.alias("error"), count.alias("count")).groupBy("batch").agg(F.sum("error").alias("s"), F.sum("count").alias("masked"), F.count("*").alias("n"))
+    by = {"sum": F.lit(1), "mean": F.greatest("masked", F.lit(1)), "batch_mean": F.col("n")}[reduction]
+    losses = sums.select("n", (F.coalesce("s", F.lit(0.0)) / by).alias("loss"))
     return losses.agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"), F.sum("n").alias("n_rows"))
 
 
-def fixed_visible(df: DataFrame, visible: list[bool]) -> DataFrame:
-    """One visible mask for every row, as ``visible`` and ``masked``."""
+def fixed_visible(df: DataFrame, visible: list[bool] | DataFrame, row_id: str = "row_id") -> DataFrame:
+    """One visible mask for every row, or each row's own from ``(row_id, visible)``, as ``visible`` and ``masked``.
+
+    A row that such a table has no mask for is an error when it is read; a repeated id gives the row a
+    copy for each of its masks.
+    """
+    if isinstance(visible, DataFrame):
+        own = visible.select(F.col(row_id), F.col("visible").cast("array<boolean>").alias("visible"))
+        out = df.join(own, row_id, "left")
+        found = F.coalesce("visible", F.raise_error(F.lit("a row has no mask")).cast("array<boolean>"))
+        return out.withColumn("visible", found).withColumn("masked", F.transform("visible", lambda v: ~v))
     if not all(isinstance(v, bool) for v in visible):
         raise TypeError("the mask must be boolean")
     return df.withColumns({"visible": F.array(*map(F.lit, visible)), "masked": F.array(*[F.lit(not v) for v in visible])})

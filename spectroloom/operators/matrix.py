@@ -32,15 +32,15 @@ def vectors(df: DataFrame, row_id: str, x: str) -> DataFrame:
     return df.select(F.col(row_id).cast("long").alias("row_id"), F.col(x).cast("array<double>").alias("x"))
 
 
-def validate(df: DataFrame, x: str = "x") -> int:
-    """The common length of the rows; an error if they differ, are empty, or hold NULL, NaN or infinity."""
+def validate(df: DataFrame, x: str = "x", least: int = 1) -> int | None:
+    """The common length of the rows, or none if there are fewer than ``least``; an error if lengths differ, or for empty rows, NULL, NaN or infinity."""
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     r = df.agg(F.count("*").alias("n"), F.min(F.size(x)).alias("lo"), F.max(F.size(x)).alias("hi"), F.coalesce(F.max((F.col(x).isNull() | bad).cast("int")), F.lit(0)).alias("bad")).first()
     if r["n"] == 0:
         raise ValueError("no rows")
     if r["bad"] or r["lo"] != r["hi"] or r["lo"] < 1:
         raise ValueError("vectors must be finite and of one length")
-    return r["lo"]
+    return r["lo"] if r["n"] >= least else None
 
 
 def check_broadcast(rows: int, dimensions: int) -> None:

@@ -6,8 +6,8 @@ import numpy as np
 
 
 def decays(name: str) -> bool:
-    """Whether weight decay applies: not to biases, norms and tokens."""
-    return not (name.endswith(".bias") or "norm" in name or name in ("cls_token", "pos_embed"))
+    """Whether weight decay applies: not to norms, tokens and biases, but for the joint bias of queries, keys and values."""
+    return name.endswith("qkv.bias") or not (name.endswith(".bias") or "norm" in name or name in ("cls_token", "pos_embed"))
 
 
 class AdamW:

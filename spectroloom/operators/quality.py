@@ -12,21 +12,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectroloom.functions import vectors as V
-from spectroloom.operators.matrix import check_broadcast, matrix, unit
+from spectroloom.operators.matrix import MAX_BROADCAST_VALUES, check_broadcast, matrix, unit
 
 
 def silhouette_samples_cosine(df: DataFrame, row_id: str = "row_id", x: str = "x", label: str = "label", eps: float = 1e-12) -> DataFrame:
     """``(row_id, label, silhouette)`` of every row; labels may be any integers.
 
     A row alone in its cluster has 0, a zero row is at distance 1 from everything, and with a single
-    cluster every other row is NaN. Cluster sums are added up on the executors; tasks get one vector for
-    each cluster, whose number is checked.
+    cluster every other row is NaN. A row whose label is null, or whose vector is null or holds a null or
+    non-finite value, belongs to no cluster and has a null silhouette. Cluster sums are added up on the
+    executors; tasks get one vector for each cluster, whose number is checked before any reaches the driver.
     """
     rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(x).cast("array<double>").alias("x"), F.col(label).cast("long").alias("label"))
+    good = F.col("label").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    left_out = rows.where("not good").select("row_id", "label", F.lit(None).cast("double").alias("silhouette"))
+    rows = rows.where("good").select("row_id", "x", "label")
     sums = rows.groupBy("label").agg(Summarizer.sum(array_to_vector(V.l2_normalize(F.col("x"), eps))).alias("s"), F.count("*").alias("n"))
-    sums = sums.select("label", vector_to_array("s").alias("s"), "n").orderBy("label").collect()
-    if not sums:
-        return rows.select("row_id", "label", F.lit(None).cast("double").alias("silhouette"))
+    sums = sums.select("label", vector_to_array("s").alias("s"), "n").limit(MAX_BROADCAST_VALUES + 1)
+    first = sums.select(F.size("s").alias("d")).first()
+    if first is None:
+        return left_out
+    sums = sorted(sums.limit(MAX_BROADCAST_VALUES // max(first["d"], 1) + 1).collect(), key=lambda r: r["label"])
     s = np.array([r["s"] for r in sums])
     check_broadcast(*s.shape)
     shared = df.sparkSession.sparkContext.broadcast((np.array([r["label"] for r in sums]), s, np.array([float(r["n"]) for r in sums])))
@@ -45,7 +52,7 @@ def silhouette_samples_cosine(df: DataFrame, row_id: str = "row_id", x: str = "x
                 value = np.where(alone, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-12))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(value)], names=["row_id", "label", "silhouette"])
 
-    return rows.mapInArrow(score, "row_id long, label long, silhouette double")
+    return rows.mapInArrow(score, "row_id long, label long, silhouette double").unionAll(left_out)
 
 
 def silhouette_score_cosine(df: DataFrame, row_id: str = "row_id", x: str = "x", label: str = "label", eps: float = 1e-12) -> float:

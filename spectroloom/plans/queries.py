@@ -13,7 +13,7 @@ from spectroloom.functions import rng
 from spectroloom.functions import vectors as V
 from spectroloom.operators.augment import SpectraAugmenter, SpectraAugmenterConfig
 from spectroloom.operators.kmeans import CosineKMeans, elbow_ckmeans
-from spectroloom.operators.masks import evaluate, masked_mse, masked_sse, patch_mask
+from spectroloom.operators.masks import evaluate, masked_losses_by, masked_mse, patch_mask
 from spectroloom.operators.matrix import unit
 from spectroloom.operators.network import AutoencoderConfig, MaskedAutoencoder
 from spectroloom.operators.preprocess import SNVScaler, cosine_fps_downsample, grouped_fps
@@ -179,11 +179,10 @@ def _recon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for reduction in ("sum", "mean", "batch_mean"):
-        part = masked_sse(_recon(spark, sf_dir), reduction=reduction, by=["label"]).select("label", F.lit(reduction).alias("reduction"), rounded("loss").alias("loss"))
-        out = part if out is None else out.unionAll(part)
-    return out
+    """All three reductions, from one aggregation of the rows."""
+    losses = masked_losses_by(_recon(spark, sf_dir), by=["label"])
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("reduction"), F.col(r).alias("loss")) for r in ("sum", "mean", "batch_mean")])).alias("r")
+    return losses.select("label", each).select("label", "r.reduction", rounded("r.loss").alias("loss"))
 
 
 def masked_mse_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +230,14 @@ def vmf_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BIC of mixtures of 1 to 4 components after STEPS steps from the first rows, and the least one."""
     rows = S.embeddings(spark, sf_dir)
     ks, scores, _, at, _, best = elbow_vmf(rows, 4, tol=0.0, max_iter=STEPS, mus=first_rows(rows, 4))
-    return elbow_table(spark, ks, scores, at).select("k", rounded("score", 3).alias("bic"), (F.col("k") == best).alias("is_best"))
+    return elbow_table(spark, ks, scores, at).select("k", rounded("score", 3).alias("bic"), "is_elbow", (F.col("k") == best).alias("is_best"))
+
+
+def vmf_elbow_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the mean negative log likelihood."""
+    rows = S.embeddings(spark, sf_dir)
+    ks, scores, _, at, _, best = elbow_vmf(rows, 4, criterion="nll", tol=0.0, max_iter=STEPS, mus=first_rows(rows, 4))
+    return elbow_table(spark, ks, scores, at).select("k", rounded("score", 5).alias("nll"), "is_elbow", (F.col("k") == best).alias("is_best"))
 
 
 def fps_k12(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,5 +290,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     snv, snv_stats, snv_inverse, snv_part_month, spectra_part_month, spectra_supplier_month, spectra_user_hour, l2_normalize, cosine_to_first_rows,
     cosine_assign, kmeans_lloyd_t4, kmeans_fit, elbow_kmeans, silhouette_samples, silhouette_by_label, silhouette_part_size, fractional_shift, tangent_noise,
     shift_augmented, augmented_angles, patch_masks, masked_losses, masked_mse_by_label, evaluate_batches, lr_schedule, ema_fold, vmf_em_t3, vmf_posterior,
-    vmf_elbow, fps_k12, fps_by_label, extract_latents, reconstruction_loss, stream_scores,
+    vmf_elbow, vmf_elbow_nll, fps_k12, fps_by_label, extract_latents, reconstruction_loss, stream_scores,
 )}

@@ -114,6 +114,19 @@ p{tag}{t + 1} AS MATERIALIZED (SELECT k, mu, kappa, pi, {_log_c('kappa', d)} AS
     return ",\n".join(out)
 
 
+def _vmf_elbow(criterion: str, places: int) -> str:
+    """Scores of 1 to 4 components, the least one, and the bend of the negated scores' running minimum by central differences."""
+    score = {"bic": lambda k: f"-2 * sum(ll) + {k * 64 + k - 1} * ln(count(*))", "nll": lambda k: "-sum(ll) / count(*)"}[criterion]
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, {score(k)} AS s FROM (SELECT DISTINCT row_id, ll FROM zk{k}_{STEPS})" for k in range(1, 5))
+    return f"""WITH {V}, {U}, {', '.join(_em(k, STEPS, f'k{k}_') for k in range(1, 5))},
+b AS MATERIALIZED ({rows}),
+w AS (SELECT k, min(-s) OVER (ORDER BY k) AS y FROM b),
+z AS (SELECT list((y - lo) / (hi - lo + 1e-12) ORDER BY k) AS y FROM w, (SELECT min(y) AS lo, max(y) AS hi FROM w)),
+g AS (SELECT [(y[2] - y[1]) * 3, (y[3] - y[1]) * 1.5, (y[4] - y[2]) * 1.5, (y[4] - y[3]) * 3] AS d FROM z),
+e AS (SELECT i AS bend FROM (SELECT i, abs((d[i + 2] - d[i]) * 1.5) / pow(1 + d[i + 1] * d[i + 1], 1.5) AS c FROM g, (SELECT unnest([1, 2]) AS i)) ORDER BY c DESC, i LIMIT 1)
+SELECT k, {_r('s', places)} AS {criterion}, k - 1 = bend AS is_elbow, s = min(s) OVER () AS is_best FROM b, e"""
+
+
 def _fps(k: int) -> str:
     out = ["f0 AS MATERIALIZED (SELECT u.row_id, 1.0 - list_dot_product(u.x, f.x) AS d FROM u, u f WHERE f.row_id = 0 AND u.row_id <> 0)", "s0 AS (SELECT 0::BIGINT AS row_id)"]
     for t in range(1, k):
@@ -165,7 +178,8 @@ ORACLE_SQL: dict[str, str] = {
     "ema_fold": f"WITH {PART}, {_LIST} SELECT row_id, {_r('list_reduce(x, lambda a, b: a * 0.9::DOUBLE + b * (1.0::DOUBLE - 0.9::DOUBLE))', 4)} AS ema FROM pl",
     "vmf_em_t3": f"WITH {V}, {U}, {_em(MIX, STEPS)} SELECT k, {_r('kappa', 4)} AS kappa, {_r('pi', 4)} AS pi, {_r('log_c', 4)} AS log_c, {_r(f'(SELECT sum(ll) FROM (SELECT DISTINCT row_id, ll FROM z{STEPS - 1}))', 4)} AS loglik FROM p{STEPS}",
     "vmf_posterior": f"WITH {V}, {U}, {_em(MIX, STEPS)} SELECT row_id, arg_max(k, lp) AS label, {_r('max(g)', 5)} AS gamma, {_r('any_value(ll)', 4)} AS loglik FROM z{STEPS} GROUP BY row_id",
-    "vmf_elbow": f"WITH {V}, {U}, {', '.join(_em(k, STEPS, f'k{k}_') for k in range(1, 5))}, b AS ({' UNION ALL '.join(f'SELECT {k} AS k, -2 * sum(ll) + {k * 64 + k - 1} * ln(count(*)) AS bic FROM (SELECT DISTINCT row_id, ll FROM zk{k}_{STEPS})' for k in range(1, 5))}) SELECT k, {_r('bic', 3)} AS bic, bic = min(bic) OVER () AS is_best FROM b",
+    "vmf_elbow": _vmf_elbow("bic", 3),
+    "vmf_elbow_nll": _vmf_elbow("nll", 5),
     "fps_k12": _fps(12),
     "stream_scores": f"WITH {V}, {U}, {L}, {SNV}, y AS (SELECT row_id, list((v - mu) / sd ORDER BY pos) AS y FROM s GROUP BY row_id) SELECT y.row_id, arg_max(u.row_id::INT, list_dot_product(y.y, u.x)) AS label FROM y, u WHERE u.row_id < {K} GROUP BY y.row_id",
 }

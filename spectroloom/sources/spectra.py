@@ -28,8 +28,12 @@ def spectra(df: DataFrame, row_id: str, channel: Column, value: Column, size: in
     """Long records as zero-filled vectors: the sum of ``value`` at each channel 0 to ``size`` - 1.
 
     Two aggregations: sums by (row, channel), with partial sums before the shuffle, then one map a row.
+    Records without a row id or a channel (a null date, say) add nothing and make no row; a channel
+    outside the range is an error.
     """
-    sums = df.groupBy(F.col(row_id).cast("long").alias("row_id"), channel.cast("int").alias("channel")).agg(value.alias("v"))
+    found = df.select("*", F.col(row_id).cast("long").alias("_row"), channel.cast("int").alias("_channel")).where("_row is not null and _channel is not null")
+    inside = F.when(F.col("_channel").between(0, size - 1), F.col("_channel")).otherwise(F.raise_error(F.lit(f"a channel is not in 0 to {size - 1}")).cast("int"))
+    sums = found.groupBy(F.col("_row").alias("row_id"), inside.alias("channel")).agg(value.alias("v"))
     held = sums.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "v"))).alias("m"))
     return held.select("row_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0))).alias("x"))
 

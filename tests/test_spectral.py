@@ -312,3 +312,40 @@ def test_spectra_history_and_stream(spark, tmp_path):
     score.write_stream(scored, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     want = {r.row_id: r.label for r in model.predict(SNVScaler().transform(df), x="y").collect()}
     assert {r.row_id: r.label for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_channels_of_null_and_wild_records(spark):
+    import datetime
+
+    from spectroloom.sources.spectra import spectra
+
+    day = datetime.datetime(2020, 3, 1)
+    df = spark.createDataFrame([(1, day, 2.0), (1, None, 5.0), (None, day, 7.0), (2, None, 1.0)], "k long, at timestamp, v double")
+    got = spectra(df, "k", F.month("at") - 1, F.sum("v"), 12).collect()
+    assert [(r.row_id, r.x) for r in got] == [(1, [0.0, 0.0, 2.0] + [0.0] * 9)]
+    with pytest.raises(Exception, match="channel"):
+        spectra(df, "k", F.month("at") + 20, F.sum("v"), 12).collect()
+
+
+def test_silhouettes_of_null_rows(spark):
+    from spectroloom.operators.quality import silhouette_samples_cosine
+
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (3, [0.0, 1.0], 1)]
+    odd = [(4, None, 0), (5, [1.0, 0.0], None), (6, [1.0, None], 0), (7, [float("nan"), 1.0], 9)]
+    schema = "row_id long, x array<double>, label long"
+    want = {r.row_id: r.silhouette for r in silhouette_samples_cosine(spark.createDataFrame(rows, schema)).collect()}
+    got = {r.row_id: r.silhouette for r in silhouette_samples_cosine(spark.createDataFrame(rows + odd, schema)).collect()}
+    assert got == want | {k: None for k, _, _ in odd}
+    assert [r.silhouette for r in silhouette_samples_cosine(spark.createDataFrame(odd, schema)).collect()] == [None] * 4
+    assert silhouette_samples_cosine(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_visible_masks_by_row(spark):
+    from spectroloom.operators.masks import fixed_visible
+
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "row_id long, x array<double>")
+    masks = spark.createDataFrame([(2, [False, True]), (1, [True, True])], "row_id long, visible array<boolean>")
+    got = {r.row_id: (r.visible, r.masked) for r in fixed_visible(rows, masks).collect()}
+    assert got == {1: ([True, True], [False, False]), 2: ([False, True], [True, False])}
+    with pytest.raises(Exception, match="mask"):
+        fixed_visible(rows, masks.where("row_id = 1")).collect()
