@@ -84,6 +84,13 @@ def test_codec_round_trip(docs, rows, no_docs, odd_docs):
     assert decode(encoded.limit(1).select(F.lit(1).alias("doc_id"), F.lit(None).cast("array<int>").alias("ids"))).first().text == ""
 
 
+def test_scores_do_not_depend_on_the_batch(docs, rows, vocabulary):
+    one = {r.doc_id: (r.score, r.ids) for r in encode(docs.coalesce(1)).collect()}
+    assert {r.doc_id: (r.score, r.ids) for r in encode(docs.repartition(7)).collect()} == one
+    for score, ids in one.values():
+        assert score == pytest.approx(sum(vocabulary.scores[i] for i in ids), abs=1e-6)
+
+
 def test_language_id(spark, docs, no_docs, odd_docs):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     model = fit_language_model(table)
