@@ -181,5 +181,12 @@ ORACLE_SQL: dict[str, str] = {
     "vmf_elbow": _vmf_elbow("bic", 3),
     "vmf_elbow_nll": _vmf_elbow("nll", 5),
     "fps_k12": _fps(12),
+    "fps_by_label": f"""WITH RECURSIVE {V}, w AS MATERIALIZED (SELECT row_id, label, list_transform(x, lambda q: q / (sqrt(list_dot_product(x, x)) + 1e-12)) AS x FROM v),
+z AS (SELECT label, least(greatest(1, round_even(count(*) * 0.1::DOUBLE, 0)), count(*)) AS k FROM w GROUP BY label),
+s AS (SELECT label, row_id, x, 9.0::DOUBLE AS d, 0 AS rank, row_id = min(row_id) OVER (PARTITION BY label) AS pick FROM w
+      UNION ALL
+      SELECT label, row_id, x, d, rank, row_number() OVER (PARTITION BY label ORDER BY d DESC, row_id) = 1 AS pick
+      FROM (SELECT a.label, a.row_id, a.x, least(a.d, 1.0 - list_dot_product(a.x, b.x)) AS d, a.rank + 1 AS rank FROM s a JOIN s b ON b.label = a.label AND b.pick JOIN z ON z.label = a.label WHERE NOT a.pick AND a.rank + 1 < z.k))
+SELECT label, rank::INT AS rank, row_id FROM s WHERE pick""",
     "stream_scores": f"WITH {V}, {U}, {L}, {SNV}, y AS (SELECT row_id, list((v - mu) / sd ORDER BY pos) AS y FROM s GROUP BY row_id) SELECT y.row_id, arg_max(u.row_id::INT, list_dot_product(y.y, u.x)) AS label FROM y, u WHERE u.row_id < {K} GROUP BY y.row_id",
 }
