@@ -14,7 +14,7 @@ def _r(e: str, places: int = 6) -> str:
     return f"round({e}, {places}) + 0.0"
 
 
-def _grid(table: str, key: str, channel: str, value: str, size: int) -> str:
+def _grid(table: str, key: str, channel: str, value: str, size: int | str) -> str:
     """A zero-filled spectrum in long form, as ``l``."""
     return f"""g AS (SELECT {key} AS row_id, ({channel})::INT AS pos, {value} AS v FROM {table} GROUP BY 1, 2),
 l AS (SELECT k.row_id, p.pos::INT AS pos, coalesce(g.v, 0.0)::DOUBLE AS v FROM (SELECT DISTINCT row_id FROM g) k CROSS JOIN (SELECT unnest(range(0, {size})) AS pos) p
@@ -22,7 +22,8 @@ l AS (SELECT k.row_id, p.pos::INT AS pos, coalesce(g.v, 0.0)::DOUBLE AS v FROM (
 
 
 PART = _grid("lineitem", "l_partkey", "month(l_shipdate) - 1", "sum(l_extendedprice)", 12)
-SUPPLIER = _grid("lineitem", "l_suppkey", "month(l_shipdate) - 1", "sum(l_extendedprice)", 12)
+_MONTH = "year(l_shipdate) * 12 + month(l_shipdate)"
+SUPPLIER = _grid("lineitem", "l_suppkey", f"{_MONTH} - (SELECT min({_MONTH}) FROM lineitem)", "sum(l_extendedprice)", f"(SELECT max({_MONTH}) - min({_MONTH}) + 1 FROM lineitem)")
 HOUR = _grid("events", "user_id", "hour(ts)", "count(*)", 24)
 
 

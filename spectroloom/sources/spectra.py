@@ -44,8 +44,10 @@ def part_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier's revenue by month of the year."""
-    return spectra(table(spark, sf_dir, "lineitem"), "l_suppkey", F.month("l_shipdate") - 1, F.sum("l_extendedprice"), 12)
+    """Each supplier's revenue by calendar month, from the table's first to its last."""
+    lines, month = table(spark, sf_dir, "lineitem"), F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    first, last = lines.agg(F.min(month), F.max(month)).first()
+    return spectra(lines, "l_suppkey", month - (first or 0), F.sum("l_extendedprice"), (last or 0) - (first or 0) + 1)
 
 
 def user_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
