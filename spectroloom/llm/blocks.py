@@ -47,9 +47,10 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 def bulk_blocks(members: DataFrame, key: str, group: str, member: str, size: int, weight: str | None = None, most: int = 1) -> DataFrame:
     """Blocks in which every two members of a bucket from different groups meet, leaving out its largest group's own pairs.
 
-    Members outside the bucket's largest group ask (``asks``), in blocks ``query``; all members are told, in
-    blocks ``target``. A row goes to as many blocks as the other side has, so no task holds more than
-    about two blocks and no pair within the largest group is looked at. Buckets of one group give no row.
+    Members outside the bucket's largest group ask (``asks``), in blocks ``query``; all members are told
+    (``tells``), in blocks ``target``. A row goes to as many blocks as the other side has, and once where it
+    both asks and is told, so no task holds more than about two blocks and no pair within the largest group
+    is looked at. Buckets of one group give no row.
     Blocks have about ``size`` members, and about ``most`` of their ``weight`` in sum, if that is given.
     """
     load = F.sum(weight) / most if weight else F.lit(0.0)
@@ -59,8 +60,10 @@ def bulk_blocks(members: DataFrame, key: str, group: str, member: str, size: int
     rows = members.join(sizes.select(key, F.col("bulk.g").alias("bulk"), blocks[0].alias("targets"), blocks[1].alias("queries")), key)
     own = {n: F.pmod(F.xxhash64(member), F.col(n)).cast("int") for n in ("targets", "queries")}
     every = {n: F.sequence(F.lit(0), F.col(n) - 1) for n in own}
-    told = F.transform(every["queries"], lambda q: F.struct(F.lit(False).alias("asks"), own["targets"].alias("target"), q.alias("query")))
-    asked = F.transform(every["targets"], lambda t: F.struct(F.lit(True).alias("asks"), t.alias("target"), own["queries"].alias("query")))
-    spread = F.when(F.col(group) == F.col("bulk"), told).otherwise(F.concat(told, asked))
-    rows = rows.withColumn("at", F.explode(spread)).select(*members.columns, (F.col(group) == F.col("bulk")).alias("in_bulk"), "at.asks", "at.target", "at.query")
+    in_bulk = F.col(group) == F.col("bulk")
+    told = F.transform(every["queries"], lambda q: F.struct((~in_bulk & (q == own["queries"])).alias("asks"), F.lit(True).alias("tells"), own["targets"].alias("target"), q.alias("query")))
+    others = F.filter(every["targets"], lambda t: t != own["targets"])
+    asked = F.transform(others, lambda t: F.struct(F.lit(True).alias("asks"), F.lit(False).alias("tells"), t.alias("target"), own["queries"].alias("query")))
+    spread = F.when(in_bulk, told).otherwise(F.concat(told, asked))
+    rows = rows.withColumn("at", F.explode(spread)).select(*members.columns, in_bulk.alias("in_bulk"), "at.asks", "at.tells", "at.target", "at.query")
     return rows.repartition(key, "target", "query").sortWithinPartitions(key, "target", "query", "asks", member)

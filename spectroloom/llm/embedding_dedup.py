@@ -4,8 +4,9 @@ A hash rotates a vector (random signs and a fast Hadamard transform, three times
 with the largest coordinate; two of them make a table's bucket. Multiprobe puts a vector into the few
 likeliest buckets of each table. Of the members of a bucket, those near the first one are a tight class:
 any two of them are linked, by the triangle inequality of angles, and are counted without being
-compared. All other pairs of a bucket are verified in double precision, block by block, each pair in the
-first bucket it shares.
+compared. All other pairs of a bucket are compared block by block: first by vectors rounded to a byte a
+coordinate, whose error is bounded, so that no link is lost; the few that may be links are verified on
+the whole vectors in double precision, each pair in the first bucket it shares.
 """
 
 from __future__ import annotations
@@ -84,6 +85,22 @@ def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     return _normal(np.stack([np.frombuffer(r, kind) for r in raw]).astype(np.float64))
 
 
+def rounded(u: np.ndarray) -> np.ndarray:
+    """Unit vectors in a byte a coordinate, after their scale and the length of what rounding took off."""
+    scale = (np.abs(u).max(1, keepdims=True) / 127).astype(np.float32)
+    q = np.rint(u / scale).astype(np.int8)
+    off = np.sqrt(((u - q * scale.astype(np.float64)) ** 2).sum(1, keepdims=True))
+    return np.concatenate([np.hstack([scale, off.astype(np.float32)]).view(np.uint8), q.view(np.uint8)], 1)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rounded unit vectors, ``a`` x ``b``, can have the cosine; true of all that have it."""
+    (sa, ea), (sb, eb) = (x[:, :8].copy().view(np.float32).T.astype(np.float64) for x in (a, b))
+    qa, qb = (x[:, 8:].view(np.int8).astype(np.float32) for x in (a, b))
+    cos = (qa * sa[:, None].astype(np.float32)) @ (qb * sb[:, None].astype(np.float32)).T
+    return cos + (ea[:, None] + eb + 3 * ea[:, None] * eb) >= threshold - 1e-4  # the last for single precision
+
+
 def _hash(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,10 +114,11 @@ def _hash(kind: str):
                 by_size.setdefault(int(ends[k] - starts[k]), []).append(k)
             for size, rows in by_size.items():
                 x = np.stack([values[starts[k] : ends[k]] for k in rows])
-                codes = bucket_codes(_normal(x))
+                unit = _normal(x)
+                codes, small = bucket_codes(unit), [r.tobytes() for r in rounded(unit)]
                 raw = [r.tobytes() for r in x.astype(kind)]
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(raw, pa.binary()), pa.array(codes[:, 0, 0]), pa.array(list(codes.reshape(len(rows), -1)), pa.list_(pa.int64()))], names=["rid", "vec_id", "m", "x", "main", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(raw, pa.binary()), pa.array(small, pa.binary()), pa.array(codes[:, 0, 0]), pa.array(list(codes.reshape(len(rows), -1)), pa.list_(pa.int64()))], names=["rid", "vec_id", "m", "x", "small", "main", "codes"])
 
     return run
 
@@ -120,7 +138,29 @@ def _tight(kind: str, threshold: float):
                 own, lead = (np.asarray(batch.column(k)) for k in ("rid", "lead_rid"))
                 vec, lead_vec = (np.asarray(batch.column(k)) for k in ("vec_id", "lead_vec"))
                 tight = cos >= near
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("rid", "vec_id", "m", "x", "codes")), pa.array(np.where(tight, lead, own)), pa.array(np.where(tight, lead_vec, vec))], names=["rid", "vec_id", "m", "x", "codes", "cls", "lead_vec"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("rid", "vec_id", "m", "x", "small", "codes")), pa.array(np.where(tight, lead, own)), pa.array(np.where(tight, lead_vec, vec))], names=["rid", "vec_id", "m", "x", "small", "codes", "cls", "lead_vec"])
+
+    return run
+
+
+def _screen(threshold: float):
+    """The members of one pair of blocks that may have a link there to another class, in the parts they may have it in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["bucket", "target", "query"]):
+            asks, tells, bulk, cls, rid = (table.column(k).to_numpy(zero_copy_only=False) for k in ("asks", "tells", "in_bulk", "cls", "rid"))
+            if not (asks.any() and tells.any()):
+                continue
+            small = np.stack([np.frombuffer(r, np.uint8) for r in table.column("small").to_pylist()])
+            q, t = np.flatnonzero(asks), np.flatnonzero(tells)
+            near = may_link(small[q], small[t], threshold) & (cls[q][:, None] != cls[t]) & (bulk[t] | (rid[q][:, None] < rid[t]))
+            asks, tells = np.zeros((2, len(rid)), bool)
+            asks[q], tells[t] = near.any(1), near.any(0)
+            at = pa.array(np.flatnonzero(asks | tells))
+            if len(at):
+                names = ["bucket", "target", "query", "rid", "cls", "in_bulk"]
+                out = table.select(names).take(at).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(asks).take(at), pa.array(tells).take(at)], names=[*names, "asks", "tells"])
 
     return run
 
@@ -130,13 +170,11 @@ def _verify(kind: str, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["bucket", "target", "query"]):
-            asks, bulk, cls, rid, vec, m = (table.column(k).to_numpy(zero_copy_only=False) for k in ("asks", "in_bulk", "cls", "rid", "vec_id", "m"))
-            if asks.all() or not asks.any():
-                continue
+            asks, tells, bulk, cls, rid, vec, m = (table.column(k).to_numpy(zero_copy_only=False) for k in ("asks", "tells", "in_bulk", "cls", "rid", "vec_id", "m"))
             x = _unit(table.column("x").to_pylist(), kind)
             codes = np.array(table.column("codes").to_pylist(), np.int64).reshape(len(x), TABLES, -1)
             bucket = table.column("bucket")[0].as_py()
-            q, t = np.flatnonzero(asks), np.flatnonzero(~asks)
+            q, t = np.flatnonzero(asks), np.flatnonzero(tells)
             i, k = np.nonzero(x[q] @ x[t].T >= threshold - 1e-12)
             i, k = q[i], t[k]
             keep = (cls[i] != cls[k]) & (bulk[k] | (rid[i] < rid[k]))
@@ -194,14 +232,17 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     rows = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[embedding].cast(T.ArrayType(held)).alias("v"))
     rows = rows.groupBy("vec_id", "v").agg(F.count("*").alias("m")).select(F.xxhash64("vec_id", "v").alias("rid"), "vec_id", "v", "m")
     rows = checkpointed(rows)
-    hashed = checkpointed(rows.where("vec_id is not null and v is not null").mapInArrow(_hash(kind), "rid long, vec_id long, m long, x binary, main long, codes array<long>"))
+    hashed = checkpointed(rows.where("vec_id is not null and v is not null").mapInArrow(_hash(kind), "rid long, vec_id long, m long, x binary, small binary, main long, codes array<long>"))
 
     lead = hashed.groupBy("main").agg(F.min(F.struct("vec_id", "rid", "x")).alias("lead")).select("main", F.col("lead.vec_id").alias("lead_vec"), F.col("lead.rid").alias("lead_rid"), F.col("lead.x").alias("lead_x"))
-    tight = hashed.join(lead, "main").mapInArrow(_tight(kind, threshold), "rid long, vec_id long, m long, x binary, codes array<long>, cls long, lead_vec long")
+    lead = checkpointed(lead)  # both sides of the join are plain exchanges, whose large parts adaptive execution splits
+    tight = hashed.join(lead, "main").mapInArrow(_tight(kind, threshold), "rid long, vec_id long, m long, x binary, small binary, codes array<long>, cls long, lead_vec long")
     tight = checkpointed(tight)
 
-    entries = tight.select(F.explode("codes").alias("bucket"), "rid", "vec_id", "m", "x", "codes", "cls")
-    found = bulk_blocks(entries, "bucket", "cls", "rid", BLOCK).mapInArrow(_verify(kind, threshold), "rid long, vec_id long, n long, joined long")
+    entries = tight.select(F.explode("codes").alias("bucket"), "rid", "cls", "small")
+    near = bulk_blocks(entries, "bucket", "cls", "rid", BLOCK).mapInArrow(_screen(threshold), "bucket long, target int, query int, rid long, cls long, in_bulk boolean, asks boolean, tells boolean")
+    near = near.join(tight.select("rid", "vec_id", "m", "x", "codes"), "rid").repartition("bucket", "target", "query").sortWithinPartitions("bucket", "target", "query")
+    found = near.mapInArrow(_verify(kind, threshold), "rid long, vec_id long, n long, joined long")
     found = checkpointed(found.groupBy("rid", "vec_id", "joined").agg(F.sum("n").alias("n")))
 
     edges = tight.select(F.col("vec_id").alias("a"), F.col("lead_vec").alias("b")).unionAll(found.select(F.col("vec_id").alias("a"), F.col("joined").alias("b")))

@@ -208,14 +208,14 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of the components of one block of a cluster that are linked on full sets: enough to join all that are."""
     for run in runs(batches, ["cluster", "target", "query"]):
-        comp, asks = (run.column(k).to_numpy(zero_copy_only=False) for k in ("component", "asks"))
+        comp, asks, tells = (run.column(k).to_numpy(zero_copy_only=False) for k in ("component", "asks", "tells"))
         sets: list[np.ndarray] = []
         for i, j, first, h in shingle_sets(run.column("text").combine_chunks()):
             sets += [h[first[d] : first[d + 1]].copy() for d in range(j - i)]
         n = np.array([len(x) for x in sets])
         r = np.concatenate([sketches(np.array([0, len(x)]), x) for x in sets])
         joined, found = _Joined(comp), []
-        targets = np.flatnonzero(~asks)
+        targets = np.flatnonzero(tells)
         for i in np.flatnonzero(asks).tolist():
             roots = joined.roots()
             others = targets[roots[targets] != roots[i]]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spectroloom.llm import pieces as P
 from spectroloom.llm import textops as X
-from spectroloom.llm.embedding_dedup import bucket_codes, hadamard, near_vectors
+from spectroloom.llm.embedding_dedup import bucket_codes, hadamard, may_link, near_vectors, rounded
 from spectroloom.llm.langid import fit_language_model, held_out, keep_identified, predict_language
 from spectroloom.llm.sentencepiece_codec import decode, encode, round_trip
 
@@ -119,16 +119,33 @@ def test_hadamard_keeps_norms():
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1)) and np.allclose(hadamard(hadamard(x)), x)
 
 
-def test_recall_at_the_threshold():
-    g = np.random.default_rng(1)
-    x = g.normal(size=(2000, 64))
+def _pairs_at(cosine, n, d, seed):
+    g = np.random.default_rng(seed)
+    x = g.normal(size=(n, d))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = g.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    a, b = bucket_codes(x), bucket_codes(0.9 * x + math.sqrt(0.19) * z)
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * z
+
+
+@pytest.mark.parametrize(("d", "least"), [(64, 0.99), (384, 0.95), (768, 0.95), (1536, 0.95)])
+def test_recall_at_the_threshold(d, least):
+    x, y = _pairs_at(0.9, 2000 if d == 64 else 400, d, 1)
+    a, b = bucket_codes(x), bucket_codes(y)
     met = (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3))
-    assert met.mean() > 0.99
+    assert met.mean() > least
+
+
+@pytest.mark.parametrize("d", [1, 2, 24, 64, 1536])
+def test_rounded_vectors_lose_no_link(d):
+    for cosine in (0.9, 0.9000001, 0.95, 1.0):
+        x, y = _pairs_at(cosine, 200, d, d) if d > 1 else (np.ones((5, 1)), np.ones((5, 1)))
+        spiked = np.vstack([x, y, np.eye(d)[:1] * 0.999999 + np.full((1, d), 1e-9)])
+        spiked /= np.linalg.norm(spiked, axis=1, keepdims=True)
+        maybe = may_link(rounded(spiked), rounded(spiked), 0.9)
+        assert maybe[spiked @ spiked.T >= 0.9].all()
+        assert not maybe[spiked @ spiked.T < 0.8].any()
 
 
 def test_near_vectors(spark):
