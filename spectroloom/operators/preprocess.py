@@ -20,6 +20,8 @@ from spectroloom.operators.matrix import matrix, validate, vectors
 TILE_VALUES = 1 << 20
 #: Rows of a larger group that a round picks from, and picks of a round in all groups together (one a group at least).
 CANDIDATES, ROUND_PICKS = 1024, 4096
+#: Rows that a sample without groups picks one a job, each compared with all before it; a larger one keeps distances.
+STEPS = 64
 
 
 class SNVScaler:
@@ -47,8 +49,8 @@ def cosine_fps_downsample(df: DataFrame, row_id: str = "row_id", x: str = "x", r
     """Farthest-point sampling by cosine: ``(rank, row_id, x)`` in the order of selection, rows as they were.
 
     The first row is ``init`` or a seeded draw; each next one is farthest from all before it (ties: smallest
-    id). One job a step: each batch compares its rows with the selected ones and sends its farthest, so the
-    driver holds the selected rows only. ``grouped_fps`` takes many picks a round in large groups.
+    id). Up to ``STEPS`` rows take one job a step: each batch compares its rows with the selected ones and
+    sends its farthest. Larger samples keep each row's distance and pick many rows a round, the same ones.
     """
     rows = vectors(df, row_id, x)
     n = rows.count()
@@ -65,9 +67,10 @@ def cosine_fps_downsample(df: DataFrame, row_id: str = "row_id", x: str = "x", r
     first = rows.where(F.col("row_id") == start).select("x").first()
     if first is None:
         raise ValueError(f"no row {start}")
+    if min(size, n) > STEPS:
+        return _fps_rounds(rows.withColumn("group", F.lit("all")), {"all": min(size, n)}, eps, start).select("rank", "row_id", "x")
     held = rows.persist()
-    normal = lambda v: np.asarray(v) / (np.linalg.norm(v) + eps)
-    ids, chosen = [start], [normal(first[0])]
+    ids, chosen = [start], [_normal(np.array([first[0]]), eps)[0]]
     while len(ids) < min(size, n):
         selected, taken = np.array(chosen), np.array(ids)
 
@@ -76,8 +79,8 @@ def cosine_fps_downsample(df: DataFrame, row_id: str = "row_id", x: str = "x", r
                 m = matrix(batch.column(1))
                 if not len(m):
                     continue
-                u = m / (np.sqrt((m * m).sum(1, keepdims=True)) + eps)
-                d = 1.0 - np.clip(u @ selected.T, -1.0, 1.0).max(1)
+                u = _normal(m, eps)
+                d = np.min([_far(u, v) for v in selected], axis=0)
                 rid = np.asarray(batch.column(0))
                 d[np.isin(rid, taken)] = -np.inf
                 best = np.lexsort((rid, -d))[:1]
@@ -85,7 +88,7 @@ def cosine_fps_downsample(df: DataFrame, row_id: str = "row_id", x: str = "x", r
 
         far = held.mapInArrow(farthest, "d double, row_id long, x array<double>").agg(F.max(F.struct("d", -F.col("row_id"), "x")).alias("m")).first()["m"]
         ids.append(-far[1])
-        chosen.append(normal(far[2]))
+        chosen.append(_normal(np.array([far[2]]), eps)[0])
     held.unpersist()
     order = df.sparkSession.createDataFrame([(i, int(r)) for i, r in enumerate(ids)], "rank int, row_id long")
     return rows.join(F.broadcast(order), "row_id").select("rank", "row_id", "x")
@@ -139,8 +142,8 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def _fps_rounds(rows: DataFrame, size: dict[str | None, int], eps: float) -> DataFrame:
-    """Samples of ``size`` rows of each group, many picks a round.
+def _fps_rounds(rows: DataFrame, size: dict[str | None, int], eps: float, start: int | None = None) -> DataFrame:
+    """Samples of ``size`` rows of each group, many picks a round, from ``start`` or the smallest id on.
 
     Each round takes the rows of a group that are farthest from its picks so far. Distances only get less,
     so a row of these is the next pick as long as it comes before the last of them as they were. Rows with
@@ -149,7 +152,9 @@ def _fps_rounds(rows: DataFrame, size: dict[str | None, int], eps: float) -> Dat
     spark, schema = rows.sparkSession, "group string, row_id long, uid long, x array<double>, d double"
     folder = f"{_shared_folder(spark)}/fps-{uuid.uuid4().hex}"
     each = max(1, ROUND_PICKS // len(size))
-    rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("d", F.lit(float("inf"))).select("group", "row_id", "uid", "x", "d").write.parquet(f"{folder}/0")
+    far = F.lit(float("inf"))
+    far = far if start is None else F.when(F.col("row_id") == start, far).otherwise(F.lit(1e300))  # others come after it
+    rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("d", far).select("group", "row_id", "uid", "x", "d").write.parquet(f"{folder}/0")
     done, turn = dict.fromkeys(size, 0), 0
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

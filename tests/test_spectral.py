@@ -78,6 +78,16 @@ def test_fps_on_a_circle(spark):
     assert [sample_size(10, r) for r in (0, 0.1, 0.25, 1)] == [1, 1, 2, 10]
 
 
+@pytest.mark.parametrize("start", [{"init": 37}, {"seed": 5}])
+def test_large_fps_equals_steps(spark, monkeypatch, start):
+    x = np.random.default_rng(8).normal(size=(150, 6))
+    x[20:24] = x[20]  # ties
+    rows = lambda: [tuple(r)[:2] for r in cosine_fps_downsample(frame(spark, x), k=20, **start).orderBy("rank").collect()]
+    steps = rows()
+    monkeypatch.setattr("spectroloom.operators.preprocess.STEPS", 3)
+    assert rows() == steps and len(steps) == 20
+
+
 def test_grouped_fps_equals_steps(spark):
     x, y = blobs()
     df = frame(spark, x, y.tolist(), ", g int")
