@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spectroloom.llm import sql
 from spectroloom.llm.common import shared_folder, table
+from spectroloom.llm.centroid_clusters import centroid_clusters
 from spectroloom.llm.decontaminate import find_contamination
 from spectroloom.llm.embedding_dedup import near_vectors
 from spectroloom.llm.html_extract import extract_text
@@ -61,6 +62,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +86,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_embedding_dedup": sql.OP8,
     "op9_line_dedup": sql.OP9,
     "op10_minhash_dedup": sql.OP10,
+    "op12_centroid_clustering": sql.OP12,
 }

@@ -65,3 +65,26 @@ c AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(c.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings LEFT JOIN c ON c.a = vec_id JOIN k ON k.node = vec_id
 """
+
+
+def _rounds(k: int = 8, rounds: int = 10) -> str:
+    """CTEs a0.. (each row's distance * k + cluster) and c0.. (centroids) of k-means over the packed rows ``q``."""
+    out = []
+    for t in range(rounds + 1):
+        out.append(f"a{t} AS MATERIALIZED (SELECT row, any_value(q) AS q, any_value(vec_id) AS vec_id, min((list_dot_product(q, q) - 2 * list_dot_product(q, c) + list_dot_product(c, c))::BIGINT * {k} + k) AS best FROM q, c{t} GROUP BY row)")
+        if t < rounds:
+            out.append(f"m{t} AS (SELECT k, list(v ORDER BY pos) AS c FROM (SELECT k, pos, floor(sum(v) / count(*)) AS v FROM (SELECT best % {k} AS k, unnest(range(0, len(q))) AS pos, unnest(q) AS v FROM a{t}) GROUP BY 1, 2) GROUP BY k)")
+            out.append(f"c{t + 1} AS MATERIALIZED (SELECT k, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (k))")
+    return ",\n".join(out)
+
+
+OP12 = f"""
+WITH q AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS k, q AS c FROM (SELECT q, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM q ORDER BY h, q LIMIT 8)),
+{_rounds()},
+s AS (SELECT vec_id, best % 8 AS k, best // 8 AS d FROM a10)
+SELECT vec_id, k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c, lambda v: v::BIGINT), ',')) AS centroid_sha256
+FROM s JOIN c10 USING (k)
+"""
