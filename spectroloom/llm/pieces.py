@@ -157,8 +157,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> Units:
     first = np.searchsorted(starts, np.r_[begin, len(out)])
     if not len(starts):
         return Units(out, starts, ends, starts, first, np.zeros(0, np.uint64))
-    r = X.roller(1)
-    h = r.spans(r.prefix(r.bytes[out]), starts, ends)
+    h = X.span_hashes(out, starts, ends)
     hashes, index, which = np.unique(h, return_index=True, return_inverse=True)
     return Units(out, starts[index], ends[index], which.ravel(), first, hashes)
 

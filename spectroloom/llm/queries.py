@@ -13,6 +13,7 @@ from spectroloom.llm.decontaminate import find_contamination
 from spectroloom.llm.embedding_dedup import near_vectors
 from spectroloom.llm.html_extract import extract_text
 from spectroloom.llm.langid import fit_language_model, predict_language
+from spectroloom.llm.lexical_search import ranked_search
 from spectroloom.llm.license_scan import scan_licenses
 from spectroloom.llm.line_dedup import line_report
 from spectroloom.llm.minhash_dedup import near_duplicates
@@ -62,6 +63,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_lexical_search": op11_lexical_search,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -91,5 +97,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_embedding_dedup": sql.OP8,
     "op9_line_dedup": sql.OP9,
     "op10_minhash_dedup": sql.OP10,
+    "op11_lexical_search": sql.OP11,
     "op12_centroid_clustering": sql.OP12,
 }

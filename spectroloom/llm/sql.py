@@ -66,6 +66,17 @@ SELECT vec_id, coalesce(c.n, 0)::BIGINT AS n_links, component_id, vec_id = compo
 FROM embeddings LEFT JOIN c ON c.a = vec_id JOIN k ON k.node = vec_id
 """
 
+OP11 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_ALNUM} AS w FROM documents),
+g AS (SELECT count(*) AS n, sum(len(w)) AS total FROM d WHERE len(w) > 0),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_ALNUM}) AS term FROM benchmark),
+f AS MATERIALIZED (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY 1, 2),
+v AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM f GROUP BY term), g),
+m AS (SELECT row, doc_id, 50 + ((50 * len(w) * n) // total)::BIGINT AS m FROM d, g),
+s AS (SELECT item_id, row, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN v USING (term) JOIN f USING (term) JOIN m USING (row) GROUP BY 1, 2, 3)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
 
 def _rounds(k: int = 8, rounds: int = 10) -> str:
     """CTEs a0.. (each row's distance * k + cluster) and c0.. (centroids) of k-means over the packed rows ``q``."""

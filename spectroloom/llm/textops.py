@@ -1,8 +1,8 @@
 """Vectorised tokenising and hashing of Arrow text batches with numpy.
 
 Everything here works on the UTF-8 bytes of one Arrow batch at a time, so memory is bounded by the
-batch. Words and word sequences are compared by polynomial hashes whose byte values are random
-64-bit numbers.
+batch. Words are compared by 64-bit hashes of their length and 8-byte lanes, which are mixed in pairs, pairs of
+pairs and so on; a sequence of words by a polynomial over their hashes.
 """
 
 from __future__ import annotations
@@ -46,7 +46,6 @@ class Roller:
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
         self.base = int(rng.integers(1 << 62, 1 << 63)) | 5
-        self.bytes = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U64(2) + rng.integers(0, 2, 256, dtype=np.uint64)
         self.up = self.down = np.ones(1, _U64)
 
     def grow(self, n: int) -> None:
@@ -64,9 +63,6 @@ class Roller:
         np.cumsum(values * self.up[: len(values)], out=out[1:])
         return out
 
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((prefix[ends] - prefix[starts]) * self.down[starts])
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
@@ -77,6 +73,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U64(31))
 
 
+#: Masks of the first 0 to 8 bytes of a lane.
+_LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], _U64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of byte spans.
+
+    Not a polynomial: modulo 2**64 those have collisions by construction (Thue-Morse words), whatever the base.
+    """
+    if not len(starts):
+        return np.zeros(0, _U64)
+    salt = np.random.default_rng(seed).integers(1, 1 << 63, 64, dtype=np.uint64) | _U64(1)
+    size = ends - starts
+    n = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(n) - n
+    at = np.repeat(starts - 8 * first, n) + 8 * np.arange(n.sum())
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+    h = mix((lanes[at] & _LANE[np.clip(np.repeat(ends, n) - at, 0, 8)]) + salt[0])
+    out = h[first]
+    level, of = 1, np.flatnonzero(n > 1)
+    if len(of):
+        h = h[np.repeat(n > 1, n)]
+    n = n[of]
+    while len(of):  # halve the lanes of the spans that have more than one
+        first, half = np.cumsum(n) - n, (n + 1) >> 1
+        start = np.cumsum(half) - half
+        left = np.arange(half.sum()) * 2 + np.repeat(first - 2 * start, half)
+        paired = left + 1 < np.repeat(first + n, half)
+        new = h[left]
+        new[paired] = mix(mix(new[paired] + salt[level]) ^ (h[left[paired] + 1] * salt[level]))
+        done = half == 1
+        out[of[done]] = new[start[done]]
+        h, of, n, level = new[np.repeat(~done, half)], of[~done], half[~done], level + 1
+    return mix(out ^ mix(size.astype(_U64) * salt[0]))
+
+
 _ROLLERS: dict[int, Roller] = {}
 
 
@@ -154,9 +187,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool,
     after[:-1] = inside[1:]
     after[bounds - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    r = roller(seed)
-    hashes = r.spans(r.prefix(r.bytes[data]), starts, ends) if len(starts) else np.zeros(0, _U64)
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
+    return Words(data, starts, ends, span_hashes(data, starts, ends, seed), np.searchsorted(starts, offsets))
 
 
 def word_chunks(column: pa.Array, kind: np.ndarray, lower: bool, seed: int = 1, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
