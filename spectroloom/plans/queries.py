@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectroloom.functions import rng
@@ -19,7 +19,7 @@ from spectroloom.operators.network import AutoencoderConfig, MaskedAutoencoder
 from spectroloom.operators.preprocess import SNVScaler, cosine_fps_downsample, grouped_fps
 from spectroloom.operators.quality import silhouette_samples_cosine
 from spectroloom.operators.schedule import moving_average, warmup_cosine
-from spectroloom.operators.selection import elbow_table
+from spectroloom.operators.selection import elbow_table, elbows
 from spectroloom.operators.vmf import VMFMixture, elbow_vmf
 from spectroloom.sources import spectra as S
 from spectroloom.streaming import score
@@ -122,6 +122,14 @@ def elbow_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elbow_table(spark, ks, inertias, at).select("k", rounded("score").alias("inertia"), "is_elbow")
 
 
+def elbow_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each customer's orders, largest first, stop falling fast: the elbow of every customer's curve at once."""
+    orders = S.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("score"))
+    ranked = orders.withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("score"), "o_orderkey")))
+    out = elbows(ranked, ["o_custkey"]).where("is_elbow")
+    return out.select("o_custkey", "k", "score", rounded("curvature").alias("curvature"))
+
+
 def silhouette_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silhouette_samples_cosine(S.embeddings(spark, sf_dir)).select("row_id", "label", rounded("silhouette").alias("silhouette"))
 
@@ -288,7 +296,7 @@ def _shared(spark: SparkSession) -> str:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     snv, snv_stats, snv_inverse, snv_part_month, spectra_part_month, spectra_supplier_month, spectra_user_hour, l2_normalize, cosine_to_first_rows,
-    cosine_assign, kmeans_lloyd_t4, kmeans_fit, elbow_kmeans, silhouette_samples, silhouette_by_label, silhouette_part_size, fractional_shift, tangent_noise,
+    cosine_assign, kmeans_lloyd_t4, kmeans_fit, elbow_kmeans, elbow_by_group, silhouette_samples, silhouette_by_label, silhouette_part_size, fractional_shift, tangent_noise,
     shift_augmented, augmented_angles, patch_masks, masked_losses, masked_mse_by_label, evaluate_batches, lr_schedule, ema_fold, vmf_em_t3, vmf_posterior,
     vmf_elbow, vmf_elbow_nll, fps_k12, fps_by_label, extract_latents, reconstruction_loss, stream_scores,
 )}

@@ -86,6 +86,22 @@ e AS (SELECT arg_max(i, abs(d2) / pow(1 + d1 * d1, 1.5)) AS bend FROM q)
 SELECT k, {_r('j')} AS inertia, (k - 1 = bend) AS is_elbow FROM j, e"""
 
 
+def _elbow_by_group() -> str:
+    """The bend of each customer's curve: from quadratics through five points, or by differences for three and four."""
+    mid = "least(greatest(i, 2), n - 3)"
+    y = lambda o: f"y[{mid} + {o} + 1]"
+    b = f"(-2 * {y(-2)} - {y(-1)} + {y(1)} + 2 * {y(2)}) / 10.0"
+    c = f"(2 * {y(-2)} - {y(-1)} - 2 * {y(0)} - {y(1)} + 2 * {y(2)}) / 14.0"
+    slope = lambda v, at: f"CASE WHEN {at} = 0 THEN {v}[2] - {v}[1] WHEN {at} = n - 1 THEN {v}[n] - {v}[n - 1] ELSE ({v}[{at} + 2] - {v}[{at}]) / 2 END"
+    return f"""WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, o_totalprice::DOUBLE AS s FROM orders),
+m AS (SELECT *, min(s) OVER (PARTITION BY o_custkey ORDER BY k) AS r FROM o),
+z AS (SELECT o_custkey, count(*) AS n, list((r - lo) / (hi - lo + 1e-12) ORDER BY k) AS y, list(s ORDER BY k) AS s FROM m JOIN (SELECT o_custkey, min(r) AS lo, max(r) AS hi FROM m GROUP BY 1) USING (o_custkey) GROUP BY 1),
+g AS (SELECT *, list_transform(range(0, n), lambda i: {slope('y', 'i')}) AS g FROM z WHERE n >= 3),
+q AS (SELECT *, CASE WHEN n >= 5 THEN {b} + 2 * ({c}) * (i - {mid}) ELSE g[i + 1] END * (n - 1) AS d1, CASE WHEN n >= 5 THEN 2 * ({c}) ELSE {slope('g', 'i')} END * (n - 1) * (n - 1) AS d2 FROM (SELECT *, unnest(range(1, n - 1)) AS i FROM g)),
+e AS (SELECT o_custkey, i, s[i + 1] AS score, abs(d2) / pow(1 + d1 * d1, 1.5) AS bend FROM q)
+SELECT o_custkey, (i + 1)::INT AS k, score, {_r('bend')} AS curvature FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY bend DESC, i) AS r FROM e) WHERE r = 1"""
+
+
 _PAIRS = "d AS (SELECT a.row_id, a.label, b.label AS other, sum(1.0 - list_dot_product(a.x, b.x)) AS d, count(*) AS n FROM {t} a JOIN {t} b ON a.row_id <> b.row_id GROUP BY 1, 2, 3)"
 _SIL = """i AS (SELECT row_id, label, coalesce(max(d / n) FILTER (WHERE other = label), 0.0) AS a, bool_or(other = label) AS more, min(d / n) FILTER (WHERE other <> label) AS b FROM d GROUP BY 1, 2),
 sil AS (SELECT row_id, label, CASE WHEN more THEN (b - a) / greatest(a, b, 1e-12) ELSE 0.0 END AS s FROM i)"""
@@ -165,6 +181,7 @@ ORACLE_SQL: dict[str, str] = {
     "cosine_assign": f"WITH {V}, {U}, {_kmeans(K, 0)} SELECT row_id, label, {_r('dist')} AS dist FROM a0",
     "kmeans_lloyd_t4": f"WITH {V}, {U}, {_kmeans(K, PASSES)} SELECT row_id, label, {_r('dist')} AS dist FROM a{PASSES}",
     "elbow_kmeans": _elbow(8),
+    "elbow_by_group": _elbow_by_group(),
     "silhouette_samples": f"WITH {V}, {U}, {_PAIRS.format(t='u')}, {_SIL} SELECT row_id, label::BIGINT AS label, {_r('s')} AS silhouette FROM sil",
     "silhouette_by_label": f"WITH {V}, {U}, {_PAIRS.format(t='u')}, {_SIL} SELECT label::BIGINT AS label, count(*) AS n, {_r('avg(s)')} AS mean_silhouette FROM sil GROUP BY 1",
     "silhouette_part_size": f"WITH {PART}, {_LIST}, w AS MATERIALIZED (SELECT row_id, p_size AS label, list_transform(x, lambda q: q / sqrt(list_dot_product(x, x))) AS x FROM pl JOIN part ON p_partkey = row_id), {_PAIRS.format(t='w')}, {_SIL} SELECT label::BIGINT AS label, count(*) AS n, {_r('avg(s)')} AS mean_silhouette FROM sil GROUP BY 1",

@@ -15,7 +15,7 @@ from spectroloom.operators.optim import EMA, AdamW, decays
 from spectroloom.operators.preprocess import SNVScaler, cosine_fps_downsample, grouped_fps, sample_size
 from spectroloom.operators.quality import silhouette_samples_cosine, silhouette_score_cosine
 from spectroloom.operators.schedule import moving_average, warmup_cosine
-from spectroloom.operators.selection import find_elbow_curvature
+from spectroloom.operators.selection import elbows, find_elbow_curvature, plot_elbow_ckm, plot_elbow_vmf
 from spectroloom.operators.vmf import VMFMixture, elbow_vmf, log_bessel, vmf_bessel_ratio
 from spectroloom.sources.spectra import append_history, read_history, spectra
 from spectroloom.streaming import score
@@ -155,12 +155,63 @@ def test_elbow(spark):
     assert find_elbow_curvature([1, 2, 3, 4, 5, 6], [500, 410, 360, 340, 335, 334])[0] == 5
     with pytest.raises(ValueError):
         find_elbow_curvature([1, 2], [1.0, 0.5])
+    assert [tuple(r) for r in plot_elbow_vmf(spark, [1, 2], [3.0, 2.0], 1, "nll").collect()] == [(1, 3.0, False, "nll"), (2, 2.0, True, "nll")]
+    assert plot_elbow_ckm(spark, [1], [3.0], 0).first().criterion == "inertia"
     x, _ = blobs(3, (40, 40, 40), noise=0.05)
     ks, inertias, *_ = elbow_ckmeans(frame(spark, x), 5)
     assert ks == [1, 2, 3, 4, 5] and inertias[2] < inertias[0]
     assert abs(inertias[1] - CosineKMeans(2).fit(frame(spark, x)).inertia_) < 1e-12
 
 
+def curve_bend(k, scores, window=5, degree=2, smooth=True):
+    """The rule for one curve, polynomial by polynomial."""
+    x, y = np.array(k, float), np.minimum.accumulate(np.array(scores, float))
+    x, y, n = (x - x.min()) / (np.ptp(x) + 1e-12), (y - y.min()) / (np.ptp(y) + 1e-12), len(x)
+    if smooth and n >= 5:
+        w = max(5, min(window | 1, n if n % 2 else n - 1))
+        dx, d1, d2 = np.median(np.diff(x)), [], []
+        for i in range(n):
+            lo = min(max(i - w // 2, 0), n - w)
+            p = np.polynomial.Polynomial.fit(np.arange(w), y[lo : lo + w], max(2, min(degree, w - 1)))
+            d1.append(p.deriv(1)(i - lo) / dx)
+            d2.append(p.deriv(2)(i - lo) / dx**2)
+        d1, d2 = np.array(d1), np.array(d2)
+    else:
+        d1 = np.gradient(y, x)
+        d2 = np.gradient(d1, x)
+    bend = np.abs(d2) / (1 + d1 * d1) ** 1.5
+    return bend[1:-1]
+
+
+def test_elbows_of_many_curves(spark):
+    g = np.random.default_rng(5)
+    curves, rows = {}, []
+    for c in range(40):
+        n = int(g.integers(1, 16))
+        k = np.sort(g.choice(40, n, replace=False)).tolist() if c % 2 else list(range(1, n + 1))
+        curves[c] = (k, (np.sort(g.random(n))[::-1] + g.normal(size=n) * 0.05).tolist())
+        rows += [(c, float(a), float(b), 1) for a, b in zip(*curves[c])]
+    odd = [(0, None, 0.1, 1), (1, 3.0, None, 1), (2, 4.0, float("nan"), 1), (3, float("inf"), 0.0, 1), (90, 1.0, 1.0, 1), (90, 2.0, 1.0, 1), (90, 3.0, 1.0, 1)]
+    odd += [(7, float(curves[7][0][0]), curves[7][1][0] + 9.0, 1)]  # a k with two scores
+    for smooth, window, degree in ((True, 5, 2), (True, 9, 3), (False, 5, 2), (True, 4, 2)):
+        df = elbows(spark.createDataFrame(rows + odd, "c int, k double, s double, n int").repartition(5), ["c"], "k", "s", smooth, window, degree)
+        assert df.columns == ["c", "k", "s", "n", "curvature", "is_elbow"]
+        found = df.collect()
+        assert len(found) == len(rows) + len(odd)
+        for c, (k, s) in curves.items():
+            own = sorted((r for r in found if r.c == c and r.curvature is not None), key=lambda r: r.k)
+            if len(k) < 3:
+                assert not own and not any(r.is_elbow for r in found if r.c == c)
+                continue
+            want = curve_bend(k, s, window, degree, smooth)
+            assert np.allclose([r.curvature for r in own], want, rtol=1e-6, atol=1e-6)
+            assert [r.k for r in own if r.is_elbow] == [k[1 + int(want.argmax())]]
+        assert [r.k for r in found if r.c == 90 and r.is_elbow] == [2.0]  # a flat curve: the first inner point
+    with pytest.raises(ValueError):
+        elbows(spark.createDataFrame(rows, "c int, k double, _x double, n int"), ["c"], "k", "_x")
+    assert elbows(spark.createDataFrame([], "c int, k double, s double"), ["c"], "k", "s").collect() == []
+
+
 def brute_silhouette(x, y):
     n = np.linalg.norm(x, axis=1, keepdims=True)
     u = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
