@@ -57,10 +57,10 @@ class Ranks:
     pieces: list[bytes]
     pairs: pa.Table
     pattern: str
-    newer: str | None  # a character class
+    newer: np.ndarray  # code points
 
 
-def _newer(pattern: str) -> str | None:
+def _newer(pattern: str) -> np.ndarray:
     """Characters that ``regex`` counts as letters or numbers and the tiktoken library does not know yet."""
     import regex
     import tiktoken
@@ -74,13 +74,7 @@ def _newer(pattern: str) -> str | None:
             beside = "a" if letter.match(ch) else "1" if number.match(ch) else ""
             if beside and len(known.encode_ordinary(ch + beside)) > len(ch.encode()):
                 out.append(c)
-    spans: list[list[int]] = []
-    for c in out:
-        if spans and spans[-1][1] == c - 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans) or None
+    return np.array(out, np.int64)
 
 
 @functools.lru_cache(maxsize=4)
@@ -114,17 +108,21 @@ class Cutter:
         import regex
 
         self.plain = self.careful = regex.compile(ranks.pattern)
-        self.newer = None
-        if ranks.newer:
-            self.newer = regex.compile(f"[{ranks.newer}]")
-            p = ranks.pattern.replace(r"[^\s\p{L}\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{ranks.newer}]]")
+        self.newer = np.zeros(0x110000, bool)
+        self.newer[ranks.newer] = True
+        if len(ranks.newer):
+            breaks = np.flatnonzero(np.diff(ranks.newer) > 1)
+            spans = zip(ranks.newer[np.r_[0, breaks + 1]].tolist(), ranks.newer[np.r_[breaks, len(ranks.newer) - 1]].tolist())
+            newer = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans)
+            p = ranks.pattern.replace(r"[^\s\p{L}\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{newer}]]")
             for kind in (r" ?\p{L}+", r" ?\p{N}+"):
-                p = p.replace(kind, f" ?[{kind[2:-1]}--[{ranks.newer}]]+")
+                p = p.replace(kind, f" ?[{kind[2:-1]}--[{newer}]]+")
             self.careful = regex.compile(f"(?V1){p}")
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The text's words, PART_WORDS at a time; at least one list, which may be empty."""
-        pattern = self.careful if self.newer and not text.isascii() and self.newer.search(text) else self.plain
+        careful = not text.isascii() and self.newer[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
+        pattern = self.careful if careful else self.plain
         if len(text) <= PART_WORDS:
             yield pattern.findall(text)
             return
@@ -192,7 +190,8 @@ class Codec:
         if len(self.index) > KEPT_WORDS:
             self.forget()
         index = self.index
-        which = [np.array([index.setdefault(w, len(index)) for w in words], np.int64) for words in parts]
+        words = pa.array([w for part in parts for w in part], pa.large_string()).dictionary_encode()
+        place = np.array([index.setdefault(w, len(index)) for w in words.dictionary.to_pylist()], np.int64)
         fresh = [w.encode() for w in islice(index, self.known, None)]
         counts, found, i = [self.n], [self.ids], 0
         bounds = np.cumsum([len(w) for w in fresh])
@@ -203,11 +202,11 @@ class Codec:
             found.append(ids)
             i = j
         self.known, self.n, self.ids = len(index), np.concatenate(counts), np.concatenate(found)
-        at = np.concatenate(which) if which else np.zeros(0, np.int64)
+        at = place[np.asarray(words.indices)]
         n, start = self.n[at], (np.cumsum(self.n) - self.n)[at]
         end = np.r_[0, np.cumsum(n)]
         ids = self.ids[np.arange(end[-1]) + np.repeat(start - end[:-1], n)]
-        return end[np.r_[0, np.cumsum([len(w) for w in which])].astype(np.int64)], ids
+        return end[np.r_[0, np.cumsum([len(part) for part in parts])].astype(np.int64)], ids
 
     def decode(self, first: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """The bytes of each sequence."""
