@@ -7,58 +7,115 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectroloom.functions import rng
-from spectroloom.operators.matrix import check_broadcast, lists, matrix, unit, validate, vectors
+from spectroloom.operators import exact
+from spectroloom.operators.matrix import fits, lists, matrix, spread, unit, usable_matrix, validate, vectors
+from spectroloom.operators.nearest import best, in_blocks
 from spectroloom.operators.selection import find_elbow_curvature
+from spectroloom.sources import versions
 
-_STATS = "model int, k int, s array<double>, n double, value double"
+#: A cluster's sums: limbs of its rows, those of its gaps (which are up to 2), and how many rows it has.
+STATS = "model int, k int, s array<double>"
+GAP_WHOLE = 2
+#: Passes after which a fit that can be resumed writes its state.
+EVERY = 5
 
 
-def summed(parts: DataFrame) -> DataFrame:
-    """Per-batch sums added up by (model, k): partial, then final."""
-    out = parts.groupBy("model", "k").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n"), F.sum("value").alias("value"))
-    return out.select("model", "k", vector_to_array("s").alias("s"), "n", "value")
+def summed(parts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """Each task's sums added up by (model, k), value by value: integers below 2**53, so exactly and in any order."""
+    values = parts.select("model", "k", F.posexplode("s").alias("i", "v")).groupBy("model", "k", "i").agg(F.sum("v").alias("v"))
+    found = {c: np.asarray(values_) for c, values_ in zip(("model", "k", "i", "v"), values.toArrow().columns)}
+    order = np.lexsort((found["i"], found["k"], found["model"]))
+    model, k, v = (found[c][order] for c in ("model", "k", "v"))
+    first = np.flatnonzero(np.r_[True, (model[1:] != model[:-1]) | (k[1:] != k[:-1])]) if len(v) else np.zeros(0, int)
+    return {(int(model[i]), int(k[i])): part for i, part in zip(first, np.split(v, first[1:]))} if len(v) else {}
+
+
+def stat_rows(sums: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    """A task's sums as rows of STATS."""
+    return pa.RecordBatch.from_arrays([pa.array([m for m, _ in sums], pa.int32()), pa.array([k for _, k in sums], pa.int32()), lists(np.array(list(sums.values())))], names=["model", "k", "s"])
+
+
+def _cluster_limbs(u: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Limbs of each row and of its gap, side by side, and a one: (rows, LIMBS * (D + 1) + 1)."""
+    both = np.concatenate([exact.limbs(u), exact.limbs(gap[:, None], whole=GAP_WHOLE)], 2)
+    return np.c_[both.transpose(1, 0, 2).reshape(len(u), -1), np.ones(len(u))]
 
 
 def lloyd_pass(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """One E step and the sums of the M step for each model: cluster sums, counts, and the mean of 1 - cosine.
 
     What a task sends is one row for each cluster of each model, whatever its rows; the driver gets as many.
+    Sums are exact, and so the same bits on any partitioning. Models that do not fit a task together go one by
+    one, and one that does not fit alone is met in blocks.
     """
-    check_broadcast(sum(len(c) for c in models.values()), next(iter(models.values())).shape[1])
+    d = next(iter(models.values())).shape[1]
+    if not fits(sum(len(c) for c in models.values()), d):
+        if len(models) > 1:
+            return {m: lloyd_pass(rows, {m: c})[m] for m, c in models.items()}
+        return {m: _blocked_pass(rows, c) for m, c in models.items()}
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], list] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             u = unit(matrix(batch.column(1)))
             for m, c in shared.value.items():
                 if not len(u):
                     continue
-                sim = u @ c.T
-                label = sim.argmax(1)
-                gap = 1.0 - sim[np.arange(len(u)), label]
+                similarity, label = best(exact.dots(u, c))
+                found = _cluster_limbs(u, 1.0 - similarity)
                 for k in np.unique(label).tolist():
-                    own = label == k
-                    old = sums.setdefault((m, k), [np.zeros(u.shape[1]), 0.0, 0.0])
-                    old[0] += u[own].sum(0)
-                    old[1] += own.sum()
-                    old[2] += gap[own].sum()
+                    sums[m, k] = sums.get((m, k), 0.0) + found[label == k].sum(0)
         if sums:
-            s = [v[0] for v in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in sums], pa.int32()), pa.array([k for _, k in sums], pa.int32()), lists(np.array(s)), pa.array([float(v[1]) for v in sums.values()]), pa.array([float(v[2]) for v in sums.values()])], names=["model", "k", "s", "n", "value"])
+            yield stat_rows(sums)
+
+    found = summed(rows.select("row_id", "x").mapInArrow(stats, STATS))
+    return {m: _totals({k: v for (own, k), v in found.items() if own == m}, len(c), d) for m, c in models.items()}
+
+
+def _totals(found: dict[int, np.ndarray], k: int, d: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums, counts and mean gap of k clusters from their limbs."""
+    s, n, gaps = np.zeros((k, d)), np.zeros(k), np.zeros((exact.LIMBS, 1), object)
+    for i, v in found.items():
+        if v[-1] > exact.MOST_ROWS:
+            raise OverflowError(f"a cluster has {v[-1]:.0f} rows, exact sums hold {exact.MOST_ROWS}")
+        held = v[:-1].reshape(exact.LIMBS, d + 1)
+        s[i], n[i] = exact.value(held[:, :d]), v[-1]
+        gaps += held[:, d:].astype(np.int64).astype(object)
+    return s, n, float(exact.value(gaps, GAP_WHOLE)[0] / n.sum())
+
+
+def _labelled(rows: DataFrame, centroids: np.ndarray, with_x: bool) -> DataFrame:
+    """``(row_id, similarity, label)``, and ``x`` if asked for, by blocks of rows and of centroids."""
+    k, d = centroids.shape
+    table = pa.table({"k": np.arange(k, dtype=np.int32), "centre": lists(centroids)})
+    centres = rows.sparkSession.createDataFrame(table)
+
+    def partial(x: np.ndarray, a: pa.Table, c: np.ndarray, b: pa.Table) -> dict[str, pa.Array]:
+        order = np.argsort(np.asarray(b.column("k")))  # equal similarities go to the lowest number
+        similarity, at = best(exact.dots(unit(x), c[order]))
+        return {"similarity": pa.array(similarity), "label": pa.array(np.asarray(b.column("k"))[order][at].astype(np.int32) if len(order) else at.astype(np.int32))}
+
+    first = F.max(F.struct("similarity", (-F.col("label")).alias("back"))).alias("first")
+    found = in_blocks(rows, centres, d, k, ["row_id"], partial, "similarity double, label int", [first], with_x)
+    return found.select("row_id", *["x"] * with_x, F.col("first.similarity").alias("similarity"), (-F.col("first.back")).alias("label"))
+
+
+def _blocked_pass(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    d = centroids.shape[1]
 
-    out = {m: (np.zeros_like(c), np.zeros(len(c)), 0.0) for m, c in models.items()}
-    for r in summed(rows.select("row_id", "x").mapInArrow(stats, _STATS)).collect():
-        s, n, value = out[r["model"]]
-        s[r["k"]], n[r["k"]] = r["s"], r["n"]
-        out[r["model"]] = (s, n, value + r["value"])
-    return {m: (s, n, value / n.sum()) for m, (s, n, value) in out.items()}
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            found = _cluster_limbs(unit(matrix(batch.column(0), d)), 1.0 - np.asarray(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(2), lists(found)], names=["model", "k", "s"])
+
+    found = summed(_labelled(rows, centroids, True).select("x", "similarity", "label").mapInArrow(split, STATS))
+    return _totals({k: v for (_, k), v in found.items()}, *centroids.shape)
 
 
 def seed_centroids(rows: DataFrame, k: int, seed: int, least: float = 1e-12) -> np.ndarray:
@@ -91,38 +148,82 @@ def seed_centroids(rows: DataFrame, k: int, seed: int, least: float = 1e-12) ->
 
 def _farthest(rows: DataFrame, centroids: np.ndarray, m: int) -> np.ndarray:
     """The m rows least like their centroid, farthest first."""
+    if not fits(*centroids.shape):
+        far = _labelled(rows, centroids, True).select((1.0 - F.col("similarity")).alias("gap"), "row_id", "x")
+        return unit(np.array([r["x"] for r in far.orderBy(F.desc("gap"), "row_id").limit(m).collect()]))
+    shared = rows.sparkSession.sparkContext.broadcast(centroids)
 
     def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = unit(matrix(batch.column(1)))
             if len(x):
-                gap = 1.0 - (x @ centroids.T).max(1)
-                best = np.lexsort((np.asarray(batch.column(0)), -gap))[:m]
-                yield pa.RecordBatch.from_arrays([pa.array(gap[best]), batch.column(0).take(pa.array(best)), lists(x[best])], names=["gap", "row_id", "x"])
+                gap = 1.0 - best(exact.dots(x, shared.value))[0]
+                first = np.lexsort((np.asarray(batch.column(0)), -gap))[:m]
+                yield pa.RecordBatch.from_arrays([pa.array(gap[first]), batch.column(0).take(pa.array(first)), lists(x[first])], names=["gap", "row_id", "x"])
 
     far = rows.select("row_id", "x").mapInArrow(gaps, "gap double, row_id long, x array<double>").orderBy(F.desc("gap"), "row_id").limit(m).collect()
     return np.array([r["x"] for r in far])
 
 
-def fit_models(rows: DataFrame, starts: dict[int, np.ndarray], tol: float, max_iter: int) -> dict[int, tuple[np.ndarray, float, int]]:
-    """Centroids, inertia (of the E step before the last M step) and iterations of each model, in lock step."""
-    live, out, before = {m: unit(c) for m, c in starts.items()}, {}, {}
-    for step in range(1, max_iter + 1):
+class Progress:
+    """The state of a fit in a versioned folder: what each model has come to, and what it was asked for.
+
+    ``asked`` has to be the same when a fit is resumed. Arrays are stored as rows (model, part, k, values), so
+    they come back bit by bit.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, asked: dict, every: int = EVERY) -> None:
+        self.spark, self.path, self.asked, self.every = spark, path, json.loads(json.dumps(asked)), every
+
+    def load(self) -> tuple[int, dict[int, list[np.ndarray]], dict[int, dict]] | None:
+        """``(step, arrays, notes)`` of each model, or none if nothing was written."""
+        found = versions.latest(self.spark, self.path)
+        if found is None:
+            return None
+        if found.meta.get("asked") != self.asked:
+            raise ValueError(f"{self.path} holds a fit of {found.meta.get('asked')}, not of {self.asked}")
+        arrays: dict[int, list[np.ndarray]] = {int(m): [] for m in found.meta["notes"]}
+        rows = sorted(found.rows.toArrow().to_pylist(), key=lambda r: (r["model"], r["part"], r["k"]))
+        for m in arrays:
+            for part in sorted({r["part"] for r in rows if r["model"] == m}):
+                arrays[m].append(np.array([r["v"] for r in rows if r["model"] == m and r["part"] == part]))
+        return found.meta["step"], arrays, {int(m): v for m, v in found.meta["notes"].items()}
+
+    def save(self, step: int, arrays: dict[int, list[np.ndarray]], notes: dict[int, dict]) -> None:
+        held = [(m, part, k, np.atleast_1d(v)) for m, parts in arrays.items() for part, a in enumerate(parts) for k, v in enumerate(a)]
+        columns = [pa.array([h[i] for h in held], pa.int32()) for i in range(3)]
+        table = pa.table({"model": columns[0], "part": columns[1], "k": columns[2], "v": pa.array([h[3] for h in held], pa.list_(pa.float64()))})
+        versions.publish(self.spark.createDataFrame(table).coalesce(1), self.path, {"asked": self.asked, "step": step, "notes": {str(m): v for m, v in notes.items()}})
+
+
+def fit_models(rows: DataFrame, starts: dict[int, np.ndarray], tol: float, max_iter: int, progress: Progress | None = None) -> dict[int, tuple[np.ndarray, float, int]]:
+    """Centroids, inertia (of the E step before the last M step) and iterations of each model, in lock step.
+
+    With ``progress``, the state is written every few passes and at the end, and taken up again from there.
+    """
+    models, notes, first = {m: unit(c) for m, c in starts.items()}, {m: {} for m in starts}, 1
+    if progress and (held := progress.load()):
+        step, arrays, notes = held
+        models, first = {m: a[0] for m, a in arrays.items()}, step + 1
+    for step in range(first, max_iter + 1):
+        live = {m: c for m, c in models.items() if "done" not in notes[m]}
+        if not live:
+            break
         for m, (s, n, inertia) in lloyd_pass(rows, live).items():
             c = unit(s / np.maximum(n, 1.0)[:, None])
             empty = np.flatnonzero(n == 0)
             if len(empty):
                 far = _farthest(rows, live[m], len(empty))
                 c[empty[: len(far)]] = far
-            live[m] = c
-            gap = abs(before[m] - inertia) if m in before else np.inf
-            if gap < tol * 1e-3 or gap / (abs(before.get(m, 1.0)) + 1e-12) < tol or step == max_iter:
-                out[m] = (unit(c), inertia, step)
-            before[m] = inertia
-        live = {m: c for m, c in live.items() if m not in out}
-        if not live:
-            break
-    return out
+            before, gap = notes[m].get("inertia"), np.inf
+            if before is not None:
+                gap = abs(before - inertia)
+            if gap < tol * 1e-3 or gap / (abs(before if before is not None else 1.0) + 1e-12) < tol or step == max_iter:
+                notes[m]["done"], c = step, unit(c)
+            models[m], notes[m]["inertia"] = c, inertia
+        if progress and (step % progress.every == 0 or all("done" in v for v in notes.values())):
+            progress.save(step, {m: [c] for m, c in models.items()}, notes)
+    return {m: (models[m], notes[m]["inertia"], notes[m]["done"]) for m in models}
 
 
 class CosineKMeans:
@@ -136,33 +237,66 @@ class CosineKMeans:
         self.inertia_: float | None = None
         self.n_iter_ = 0
 
-    def fit(self, df: DataFrame, row_id: str = "row_id", x: str = "x", init: np.ndarray | None = None) -> CosineKMeans:
+    def fit(self, df: DataFrame, row_id: str = "row_id", x: str = "x", init: np.ndarray | None = None, resume: str | None = None, every: int = EVERY) -> CosineKMeans:
+        """Seed (or start at ``init``) and iterate; with ``resume``, keep the state below that path and go on from what is there."""
         rows = vectors(df, row_id, x).persist()
         if validate(rows, least=self.n_components) is None:
             raise ValueError("fewer rows than clusters")
-        start = init if init is not None else seed_centroids(rows, self.n_components, self.random_state)
-        self.centroids, self.inertia_, self.n_iter_ = fit_models(rows, {0: start}, self.tol, self.max_iter)[0]
+        progress = Progress(df.sparkSession, resume, {"fit": "kmeans", **self._parameters()}, every) if resume else None
+        if progress and (held := progress.load()):
+            start = held[1][0][0]
+        else:
+            start = init if init is not None else seed_centroids(rows, self.n_components, self.random_state)
+            if progress:
+                progress.save(0, {0: [unit(start)]}, {0: {}})
+        self.centroids, self.inertia_, self.n_iter_ = fit_models(rows, {0: start}, self.tol, self.max_iter, progress)[0]
         rows.unpersist()
         return self
 
+    def _parameters(self) -> dict:
+        return {"n_components": self.n_components, "tol": self.tol, "max_iter": self.max_iter, "random_state": self.random_state}
+
     def predict(self, df: DataFrame, row_id: str = "row_id", x: str = "x", return_dist: bool = False) -> DataFrame:
-        """``(row_id, label)`` and with ``return_dist`` the distances to all centroids; ties go to the lowest label."""
+        """``(row_id, label)`` and with ``return_dist`` the distances to all centroids; ties go to the lowest label.
+
+        A row that is null or holds a null or non-finite value has a null label (and distances); one of another
+        length than the centroids is an error. Centroids beyond what a task may hold are met in blocks.
+        """
         if self.centroids is None:
             raise RuntimeError("fit first")
-        check_broadcast(*self.centroids.shape)
+        if not fits(*self.centroids.shape):
+            return self._predict_in_blocks(vectors(df, row_id, x), return_dist)
         centroids = df.sparkSession.sparkContext.broadcast(self.centroids)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = centroids.value
             for batch in batches:
-                m = matrix(batch.column(1))
-                if len(m) and m.shape[1] != centroids.value.shape[1]:
-                    raise ValueError(f"rows have {m.shape[1]} values, centroids {centroids.value.shape[1]}")
-                d = 1.0 - unit(m) @ centroids.value.T if len(m) else np.zeros((0, len(centroids.value)))
-                columns = [batch.column(0), pa.array(d.argmin(1).astype(np.int32) if len(d) else [], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*columns, lists(d)] if return_dist else columns, names=["row_id", "label", "dist"][: 2 + return_dist])
+                good, m = usable_matrix(batch.column(1), c.shape[1])
+                similarity = exact.dots(unit(m), c)
+                columns = [batch.column(0), spread(good, pa.array(best(similarity)[1].astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([*columns, spread(good, lists(1.0 - similarity))] if return_dist else columns, names=["row_id", "label", "dist"][: 2 + return_dist])
 
         return vectors(df, row_id, x).mapInArrow(assign, "row_id long, label int" + ", dist array<double>" * return_dist)
 
+    def _predict_in_blocks(self, rows: DataFrame, return_dist: bool) -> DataFrame:
+        c = self.centroids
+        good = F.coalesce(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
+        null = rows.where(~good).select("row_id", F.lit(None).cast("int").alias("label"))
+        if not return_dist:
+            return _labelled(rows.where(good), c, False).select("row_id", "label").unionAll(null)
+        centres = rows.sparkSession.createDataFrame(pa.table({"k": np.arange(len(c), dtype=np.int32), "centre": lists(c)}))
+
+        def partial(x: np.ndarray, a: pa.Table, c: np.ndarray, b: pa.Table) -> dict[str, pa.Array]:
+            k = np.asarray(b.column("k")).astype(np.int32)
+            d = 1.0 - exact.dots(unit(x), c)
+            return {"ks": pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(k), pa.array(np.tile(k, len(x)))), "ds": lists(d)}
+
+        pairs = F.flatten(F.collect_list(F.arrays_zip("ks", "ds"))).alias("pairs")
+        found = in_blocks(rows.where(good), centres, c.shape[1], len(c), ["row_id"], partial, "ks array<int>, ds array<double>", [pairs])
+        found = found.select("row_id", F.array_sort("pairs").alias("pairs")).select("row_id", F.col("pairs.ds").alias("dist"))
+        found = found.select("row_id", (F.array_position("dist", F.array_min("dist")) - 1).cast("int").alias("label"), "dist")
+        return found.unionAll(null.withColumn("dist", F.lit(None).cast("array<double>")))
+
     def fit_predict(self, df: DataFrame, row_id: str = "row_id", x: str = "x") -> DataFrame:
         return self.fit(df, row_id, x).predict(df, row_id, x)
 
@@ -171,35 +305,37 @@ class CosineKMeans:
         return lloyd_pass(vectors(df, row_id, x), {0: self.centroids})[0][2]
 
     def save_centroids(self, spark: SparkSession, path: str) -> None:
+        """Publish the centroids as a new version below ``path``; readers see the one before until it is whole."""
         if self.centroids is None:
             raise RuntimeError("fit first")
-        meta = json.dumps({"n_components": self.n_components, "inertia": self.inertia_})
-        rows = [(k, c.tolist(), meta) for k, c in enumerate(self.centroids)]
-        spark.createDataFrame(rows, "k int, centroid array<double>, meta string").coalesce(1).write.mode("overwrite").parquet(path)
+        rows = spark.createDataFrame(pa.table({"k": np.arange(len(self.centroids), dtype=np.int32), "centroid": lists(self.centroids)}))
+        versions.publish(rows.coalesce(1), path, {"model": "kmeans", "inertia": self.inertia_, "n_iter": self.n_iter_, **self._parameters()})
 
     def load_centroids(self, spark: SparkSession, path: str, strict_k: bool = True) -> CosineKMeans:
-        saved = spark.read.parquet(path)
-        if not {"k", "centroid", "meta"} <= set(saved.columns):
+        """Take the centroids of the newest whole version below ``path``."""
+        found = versions.latest(spark, path)
+        if found is None or found.meta.get("model") != "kmeans" or not {"k", "centroid"} <= set(found.rows.columns):
             raise KeyError("not saved centroids")
-        rows = saved.orderBy("k").collect()
-        if strict_k and len(rows) != self.n_components:
-            raise ValueError(f"{len(rows)} centroids saved, {self.n_components} asked for")
-        self.n_components = len(rows)
-        self.centroids = unit(np.array([r["centroid"] for r in rows]))
-        self.inertia_ = json.loads(rows[0]["meta"])["inertia"]
+        rows = found.rows.orderBy("k").toArrow()
+        if strict_k and rows.num_rows != self.n_components:
+            raise ValueError(f"{rows.num_rows} centroids saved, {self.n_components} asked for")
+        self.n_components = rows.num_rows
+        self.centroids = unit(matrix(rows.column("centroid").combine_chunks()))
+        self.inertia_, self.n_iter_ = found.meta["inertia"], found.meta["n_iter"]
         return self
 
 
-def elbow_ckmeans(df: DataFrame, k_max: int = 50, row_id: str = "row_id", x: str = "x", random_state: int = 42, tol: float = 1e-4, max_iter: int = 500, init: np.ndarray | None = None) -> tuple[list[int], list[float], int, int, float]:
+def elbow_ckmeans(df: DataFrame, k_max: int = 50, row_id: str = "row_id", x: str = "x", random_state: int = 42, tol: float = 1e-4, max_iter: int = 500, init: np.ndarray | None = None, resume: str | None = None) -> tuple[list[int], list[float], int, int, float]:
     """K = 1..k_max with one seed: K values, inertias, and the elbow's K, index and curvature.
 
     All models share each pass over the data; those that have converged drop out. ``init`` gives the
-    first k_max centroids instead of the seed.
+    first k_max centroids instead of the seed; ``resume`` is a path for the sweep's state, as in ``fit``.
     """
     rows = vectors(df, row_id, x).persist()
     validate(rows)
     seeds = init if init is not None else seed_centroids(rows, k_max, random_state)
-    fitted = fit_models(rows, {k: seeds[:k] for k in range(1, k_max + 1)}, tol, max_iter)
+    progress = Progress(df.sparkSession, resume, {"fit": "kmeans sweep", "k_max": k_max, "tol": tol, "max_iter": max_iter, "random_state": random_state}) if resume else None
+    fitted = fit_models(rows, {k: seeds[:k] for k in range(1, k_max + 1)}, tol, max_iter, progress)
     rows.unpersist()
     ks = list(range(1, k_max + 1))
     inertias = [fitted[k][1] for k in ks]

@@ -147,6 +147,13 @@ def silhouette_part_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("label").agg(F.count("*").alias("n"), rounded(F.avg("silhouette")).alias("mean_silhouette"))
 
 
+def silhouette_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same profiles and sizes, with tasks that may hold no more than ten sizes' sums at a time."""
+    sizes = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_size").alias("label"))
+    out = silhouette_samples_cosine(S.part_month(spark, sf_dir).join(sizes, "row_id"), most=256)
+    return out.select("row_id", "label", rounded("silhouette").alias("silhouette"))
+
+
 def _delta() -> Column:
     return F.lit(-2.0) + rng.uniform(rng.digest(SEED, F.col("row_id"), "delta")) * F.lit(4.0)
 
@@ -167,6 +174,15 @@ def shift_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(SpectraAugmenter(config, SEED).transform(S.embeddings(spark, sf_dir)))
 
 
+def noise_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise that decides by batch. With eps 5, rows of 4 values have no tangent: all of batch 3, half of batch 5."""
+    rows = S.embeddings(spark, sf_dir).withColumn("batch", F.col("row_id") % 8)
+    short = (F.col("batch") == 3) | (F.col("row_id") % 16 == 5)
+    rows = rows.withColumn("x", F.when(short, F.slice("x", 1, 4)).otherwise(F.col("x")))
+    config = SpectraAugmenterConfig(shift_prob=0.0, noise_prob=0.5, shuffle_order_per_batch=False, renorm_to_input_norm=False, eps=5.0)
+    return long(SpectraAugmenter(config, SEED).transform(rows, batch="batch"))
+
+
 def augmented_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the full augmentation turns the rows, by label."""
     rows = S.embeddings(spark, sf_dir)
@@ -234,6 +250,14 @@ def vmf_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "label", rounded(F.array_max("gamma"), 5).alias("gamma"), rounded("loglik", 4).alias("loglik"))
 
 
+def vmf_subset_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts at which a mixture of six starts when it is seeded on the 300 parts with the least digests."""
+    rows = S.part_month(spark, sf_dir).persist()
+    ids, _ = VMFMixture(6, random_state=SEED, start_rows=300).drawn(rows, rows.count())
+    rows.unpersist()
+    return spark.createDataFrame(list(enumerate(ids)), "k int, row_id long")
+
+
 def vmf_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BIC of mixtures of 1 to 4 components after STEPS steps from the first rows, and the least one."""
     rows = S.embeddings(spark, sf_dir)
@@ -296,7 +320,7 @@ def _shared(spark: SparkSession) -> str:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     snv, snv_stats, snv_inverse, snv_part_month, spectra_part_month, spectra_supplier_month, spectra_user_hour, l2_normalize, cosine_to_first_rows,
-    cosine_assign, kmeans_lloyd_t4, kmeans_fit, elbow_kmeans, elbow_by_group, silhouette_samples, silhouette_by_label, silhouette_part_size, fractional_shift, tangent_noise,
-    shift_augmented, augmented_angles, patch_masks, masked_losses, masked_mse_by_label, evaluate_batches, lr_schedule, ema_fold, vmf_em_t3, vmf_posterior,
-    vmf_elbow, vmf_elbow_nll, fps_k12, fps_by_label, extract_latents, reconstruction_loss, stream_scores,
+    cosine_assign, kmeans_lloyd_t4, kmeans_fit, elbow_kmeans, elbow_by_group, silhouette_samples, silhouette_by_label, silhouette_part_size, silhouette_in_blocks, fractional_shift, tangent_noise,
+    shift_augmented, noise_by_batch, augmented_angles, patch_masks, masked_losses, masked_mse_by_label, evaluate_batches, lr_schedule, ema_fold, vmf_em_t3, vmf_posterior,
+    vmf_subset_start, vmf_elbow, vmf_elbow_nll, fps_k12, fps_by_label, extract_latents, reconstruction_loss, stream_scores,
 )}

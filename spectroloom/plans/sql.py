@@ -144,6 +144,17 @@ e AS (SELECT i AS bend FROM (SELECT i, abs((d[i + 2] - d[i]) * 1.5) / pow(1 + d[
 SELECT k, {_r('s', places)} AS {criterion}, k - 1 = bend AS is_elbow, s = min(s) OVER () AS is_best FROM b, e"""
 
 
+def _subset_start(k: int, m: int) -> str:
+    """Draws from the m rows of least digest: each an exponential race, weighted by the distance to the rows drawn before."""
+    time = lambda t: f"-ln(1.0 - {_uniform(_digest('b.row_id', repr(f'seed{t}')))})"
+    out = [f"{PART}, {_LIST}, b AS MATERIALIZED (SELECT row_id, list_transform(x, lambda q: q / greatest(sqrt(list_dot_product(x, x)), 1e-6)) AS x FROM pl ORDER BY {_digest('row_id', repr('subset'))}, row_id LIMIT {m})"]
+    for t in range(k):
+        drawn = ", ".join(f"(SELECT x FROM s{i})" for i in range(t))
+        weight = f"greatest(1.0 - list_max(list_transform([{drawn}], lambda c: list_dot_product(b.x, c))), 1e-8)" if t else "1.0"
+        out.append(f"s{t} AS MATERIALIZED (SELECT row_id, x FROM b ORDER BY {time(t)} / {weight}, row_id LIMIT 1)")
+    return f"WITH {', '.join(out)} {' UNION ALL '.join(f'SELECT {t} AS k, row_id FROM s{t}' for t in range(k))}"
+
+
 def _fps(k: int) -> str:
     out = ["f0 AS MATERIALIZED (SELECT u.row_id, 1.0 - list_dot_product(u.x, f.x) AS d FROM u, u f WHERE f.row_id = 0 AND u.row_id <> 0)", "s0 AS (SELECT 0::BIGINT AS row_id)"]
     for t in range(1, k):
@@ -165,6 +176,14 @@ n1 AS (SELECT row_id, x, {_center('z')} AS z, radians(0.5 + {_uniform(_digest('r
 n2 AS (SELECT row_id, x, angle, list_transform(range(1, len(x) + 1), lambda i: z[i] - list_dot_product(z, x) / list_dot_product(x, x) * x[i]) AS t FROM n1),
 n3 AS (SELECT row_id, x, list_transform(range(1, len(x) + 1), lambda i: x[i] * cos(angle) + t[i] * (sqrt(list_dot_product(x, x)) * sin(angle) / sqrt(list_dot_product(t, t)))) AS y FROM n2)"""
 
+_BY_BATCH = f"""w AS (SELECT row_id, row_id % 8 AS batch, CASE WHEN row_id % 8 = 3 OR row_id % 16 = 5 THEN x[1:4] ELSE x END AS x FROM v),
+b0 AS (SELECT *, {_uniform(_digest('row_id', repr('noise')))} < 0.5 AS gate, list_transform(list_transform(range(0, len(x)), lambda i: {_digest('row_id', 'i', f'{SEED}:noise')}), lambda g: {_NOISE}) AS z FROM w),
+b1 AS (SELECT * EXCLUDE (z), {_center('z')} AS z, radians(0.5 + {_uniform(_digest('row_id', repr('angle')))} * 2.5) AS angle FROM b0),
+b2 AS (SELECT *, list_transform(range(1, len(x) + 1), lambda i: z[i] - list_dot_product(z, x) / greatest(list_dot_product(x, x), 5.0) * x[i]) AS t FROM b1),
+b3 AS (SELECT *, sqrt(list_dot_product(t, t)) > 5.0 AS can FROM b2),
+b4 AS (SELECT *, bool_or(can AND gate) OVER (PARTITION BY batch) AS any_can, CASE WHEN can THEN list_transform(range(1, len(x) + 1), lambda i: x[i] * cos(angle) + t[i] * (greatest(sqrt(list_dot_product(x, x)), 5.0) * sin(angle) / sqrt(list_dot_product(t, t)))) ELSE x END AS r FROM b3),
+b5 AS (SELECT row_id, CASE WHEN gate AND any_can THEN {_center('r')} ELSE x END AS y FROM b4)"""
+
 _EMIT = f"SELECT row_id, unnest(range(0, len(y)))::INT AS pos, {_r('unnest(y)')} AS v"
 _LIST = "pl AS (SELECT row_id, list(v ORDER BY pos) AS x FROM l GROUP BY row_id)"
 
@@ -185,9 +204,11 @@ ORACLE_SQL: dict[str, str] = {
     "silhouette_samples": f"WITH {V}, {U}, {_PAIRS.format(t='u')}, {_SIL} SELECT row_id, label::BIGINT AS label, {_r('s')} AS silhouette FROM sil",
     "silhouette_by_label": f"WITH {V}, {U}, {_PAIRS.format(t='u')}, {_SIL} SELECT label::BIGINT AS label, count(*) AS n, {_r('avg(s)')} AS mean_silhouette FROM sil GROUP BY 1",
     "silhouette_part_size": f"WITH {PART}, {_LIST}, w AS MATERIALIZED (SELECT row_id, p_size AS label, list_transform(x, lambda q: q / sqrt(list_dot_product(x, x))) AS x FROM pl JOIN part ON p_partkey = row_id), {_PAIRS.format(t='w')}, {_SIL} SELECT label::BIGINT AS label, count(*) AS n, {_r('avg(s)')} AS mean_silhouette FROM sil GROUP BY 1",
+    "silhouette_in_blocks": f"WITH {PART}, {_LIST}, w AS MATERIALIZED (SELECT row_id, p_size AS label, list_transform(x, lambda q: q / sqrt(list_dot_product(x, x))) AS x FROM pl JOIN part ON p_partkey = row_id), {_PAIRS.format(t='w')}, {_SIL} SELECT row_id, label::BIGINT AS label, {_r('s')} AS silhouette FROM sil",
     "fractional_shift": f"WITH {V}, {_shifted('v', 'r')} {_EMIT} FROM r",
     "tangent_noise": f"WITH {V}, {_NOISED}, {_reproject('n3', 'n4')} {_EMIT} FROM n4",
     "shift_augmented": f"WITH {V}, {_shifted('v', 'r')}, {_reproject('r', 'w')}, k AS (SELECT row_id, CASE WHEN {_uniform(_digest('row_id', repr('shift')))} < 0.5 THEN y ELSE x END AS y FROM w) {_EMIT} FROM k",
+    "noise_by_batch": f"WITH {V}, {_BY_BATCH} {_EMIT} FROM b5",
     "patch_masks": f"WITH {V}, {_MASK} SELECT row_id, patch, masked FROM h",
     "masked_losses": f"WITH {V}, {_LOSS}, t AS (SELECT label, sum(error) AS s, sum(n) AS n, count(*) AS b FROM o GROUP BY label) SELECT label, 'sum' AS reduction, {_r('s')} AS loss FROM t UNION ALL SELECT label, 'mean', {_r('s / n')} FROM t UNION ALL SELECT label, 'batch_mean', {_r('s / b')} FROM t",
     "masked_mse_by_label": f"WITH {V}, {_LOSS} SELECT label, {_r('sum(error) / sum(n)')} AS loss FROM o GROUP BY label",
@@ -196,6 +217,7 @@ ORACLE_SQL: dict[str, str] = {
     "ema_fold": f"WITH {PART}, {_LIST} SELECT row_id, {_r('list_reduce(x, lambda a, b: a * 0.9::DOUBLE + b * (1.0::DOUBLE - 0.9::DOUBLE))', 4)} AS ema FROM pl",
     "vmf_em_t3": f"WITH {V}, {U}, {_em(MIX, STEPS)} SELECT k, {_r('kappa', 4)} AS kappa, {_r('pi', 4)} AS pi, {_r('log_c', 4)} AS log_c, {_r(f'(SELECT sum(ll) FROM (SELECT DISTINCT row_id, ll FROM z{STEPS - 1}))', 4)} AS loglik FROM p{STEPS}",
     "vmf_posterior": f"WITH {V}, {U}, {_em(MIX, STEPS)} SELECT row_id, arg_max(k, lp) AS label, {_r('max(g)', 5)} AS gamma, {_r('any_value(ll)', 4)} AS loglik FROM z{STEPS} GROUP BY row_id",
+    "vmf_subset_start": _subset_start(6, 300),
     "vmf_elbow": _vmf_elbow("bic", 3),
     "vmf_elbow_nll": _vmf_elbow("nll", 5),
     "fps_k12": _fps(12),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectroloom.operators.matrix import vectors
+from spectroloom.sources import versions
 
 
 def read_vectors(spark: SparkSession, path: str, row_id: str, x: str, format: str = "parquet") -> DataFrame:
@@ -61,9 +60,9 @@ def write_features(features: DataFrame, path: str) -> None:
 
 def append_history(spark: SparkSession, path: str, run_id: str, record: dict) -> None:
     """Add a record of a run to a history of JSON lines."""
-    spark.createDataFrame([(run_id, json.dumps(record))], "run_id string, record string").coalesce(1).write.mode("append").json(path)
+    versions.append(spark, path, run_id, record)
 
 
 def read_history(spark: SparkSession, path: str, run_id: str) -> list[dict]:
-    rows = spark.read.schema("run_id string, record string").json(path).where(F.col("run_id") == run_id).collect()
-    return [json.loads(r["record"]) for r in rows]
+    """A run's records in order; broken records are passed over (``versions.history`` also counts them)."""
+    return versions.history(spark, path, run_id)[0]
