@@ -60,7 +60,7 @@ def vmf_logC(d: int, kappa: np.ndarray) -> np.ndarray:
 Parameters = tuple[np.ndarray, np.ndarray, np.ndarray]  # means, concentrations, log weights
 
 
-def _log_joint(u: np.ndarray, p: Parameters) -> np.ndarray:
+def log_joint(u: np.ndarray, p: Parameters) -> np.ndarray:
     mus, kappas, logpi = p
     top = logpi.max()
     weights = logpi - top - np.log(np.exp(logpi - top).sum())
@@ -92,7 +92,7 @@ def em_pass(rows: DataFrame, models: dict[int, Parameters], kappa_min: float = 1
             u = unit(matrix(batch.column(1)), 1e-12)
             for m, p in shared.value.items():
                 if len(u):
-                    z = _log_joint(u, p)
+                    z = log_joint(u, p)
                     ll = _logsumexp(z)
                     g = np.minimum(np.exp(z - ll[:, None]), 1.0)
                     old = held.setdefault(m, [0.0, 0.0, 0.0, 0.0])
@@ -277,7 +277,7 @@ class VMFMixture:
         def posterior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good, m = usable_matrix(batch.column(1), p.value[0].shape[1])
-                z = _log_joint(unit(m, 1e-12), p.value)
+                z = log_joint(unit(m, 1e-12), p.value)
                 ll = _logsumexp(z)
                 found = pa.array(z.argmax(1).astype(np.int32)), lists(np.exp(z - ll[:, None])), pa.array(ll)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(spread(good, f) for f in found)], names=["row_id", "label", "gamma", "loglik"])

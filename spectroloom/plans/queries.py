@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spectroloom.functions import rng
+from spectroloom.functions import models, rng
 from spectroloom.functions import vectors as V
 from spectroloom.operators.augment import SpectraAugmenter, SpectraAugmenterConfig
 from spectroloom.operators.kmeans import CosineKMeans, elbow_ckmeans
@@ -18,9 +18,10 @@ from spectroloom.operators.matrix import unit
 from spectroloom.operators.network import AutoencoderConfig, MaskedAutoencoder
 from spectroloom.operators.preprocess import SNVScaler, cosine_fps_downsample, grouped_fps
 from spectroloom.operators.quality import silhouette_samples_cosine
-from spectroloom.operators.schedule import moving_average, warmup_cosine
+from spectroloom.operators.schedule import moving_average, ordered_average, warmup_cosine
 from spectroloom.operators.selection import elbow_table, elbows
 from spectroloom.operators.vmf import VMFMixture, elbow_vmf
+from spectroloom.sources import npy
 from spectroloom.sources import spectra as S
 from spectroloom.streaming import score
 
@@ -230,6 +231,40 @@ def ema_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.part_month(spark, sf_dir).select("row_id", rounded(moving_average(F.col("x"), 0.9), 4).alias("ema"))
 
 
+def ema_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average of each user's event values at the user's last event."""
+    out = ordered_average(S.table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 0.9)
+    return out.select("user_id", "n", rounded("average").alias("average"))
+
+
+def ema_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the whole table as one series."""
+    out = ordered_average(S.table(spark, sf_dir, "events"), [], ["ts", "event_id"], "value", 0.999)
+    return out.select("n", rounded("average").alias("average"))
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by their place in the table's files."""
+    return npy.with_positions(spark, f"{sf_dir}/events.parquet").select("row_id", "event_id")
+
+
+def npy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings written to matrix files in the order of their ids, and read again by ranges of rows."""
+    folder = f"{_shared(spark)}/npy-{uuid.uuid4().hex}"
+    npy.write_npy(S.embeddings(spark, sf_dir), folder, rows=200)
+    return long(npy.read_npy(spark, folder, rows=64))
+
+
+def sql_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved model called from SQL."""
+    rows, model = S.embeddings(spark, sf_dir), CosineKMeans(K)
+    model.centroids = unit(first_rows(rows, K))
+    folder = f"{_shared(spark)}/model-{uuid.uuid4().hex}"
+    model.save_centroids(spark, folder)
+    models.register_model(spark, "nearest_of_five", folder)
+    return spark.sql("SELECT row_id, nearest_of_five(x) AS label FROM {rows}", rows=rows)
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, VMFMixture]:
     rows = S.embeddings(spark, sf_dir)
     return rows, VMFMixture(MIX, tol=0.0, max_iter=STEPS).fit(rows, mus=first_rows(rows, MIX))
@@ -321,6 +356,6 @@ def _shared(spark: SparkSession) -> str:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     snv, snv_stats, snv_inverse, snv_part_month, spectra_part_month, spectra_supplier_month, spectra_user_hour, l2_normalize, cosine_to_first_rows,
     cosine_assign, kmeans_lloyd_t4, kmeans_fit, elbow_kmeans, elbow_by_group, silhouette_samples, silhouette_by_label, silhouette_part_size, silhouette_in_blocks, fractional_shift, tangent_noise,
-    shift_augmented, noise_by_batch, augmented_angles, patch_masks, masked_losses, masked_mse_by_label, evaluate_batches, lr_schedule, ema_fold, vmf_em_t3, vmf_posterior,
+    shift_augmented, noise_by_batch, augmented_angles, patch_masks, masked_losses, masked_mse_by_label, evaluate_batches, lr_schedule, ema_fold, ema_by_user, ema_events, positions, npy_round_trip, sql_assign, vmf_em_t3, vmf_posterior,
     vmf_subset_start, vmf_elbow, vmf_elbow_nll, fps_k12, fps_by_label, extract_latents, reconstruction_loss, stream_scores,
 )}

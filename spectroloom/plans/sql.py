@@ -215,6 +215,11 @@ ORACLE_SQL: dict[str, str] = {
     "evaluate_batches": f"WITH {V}, {_LOSS}, t AS (SELECT row_id // 48 AS batch, sum(error) AS s, count(*) AS b FROM o GROUP BY 1) SELECT {_r('sum(s * b) / sum(b)')} AS loss, sum(b)::BIGINT AS n_rows FROM t",
     "lr_schedule": f"WITH s AS (SELECT DISTINCT event_id // 50 AS step FROM events), t AS (SELECT max(step) + 1 AS total, (max(step) + 1) // 10 AS warm FROM s) SELECT step, {_r('CASE WHEN step < warm THEN greatest(1e-8, (step + 1)::DOUBLE / greatest(1, warm)) ELSE 0.1 + 0.45 * (1 + cos(pi() * least(1.0, (step - warm)::DOUBLE / greatest(1, total - warm)))) END', 9)} AS lr_scale FROM s, t",
     "ema_fold": f"WITH {PART}, {_LIST} SELECT row_id, {_r('list_reduce(x, lambda a, b: a * 0.9::DOUBLE + b * (1.0::DOUBLE - 0.9::DOUBLE))', 4)} AS ema FROM pl",
+    "ema_by_user": f"SELECT user_id, count(value) AS n, {_r('list_reduce(list(value::DOUBLE ORDER BY ts, event_id) FILTER (WHERE value IS NOT NULL), lambda a, b: a * 0.9::DOUBLE + b * (1.0::DOUBLE - 0.9::DOUBLE))')} AS average FROM events GROUP BY user_id HAVING count(value) > 0",
+    "ema_events": f"SELECT count(value) AS n, {_r('list_reduce(list(value::DOUBLE ORDER BY ts, event_id) FILTER (WHERE value IS NOT NULL), lambda a, b: a * 0.999::DOUBLE + b * (1.0::DOUBLE - 0.999::DOUBLE))')} AS average FROM events",
+    "positions": "SELECT row_number() OVER () - 1 AS row_id, event_id FROM events",
+    "npy_round_trip": f"WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, list_transform(embedding, lambda q: q::DOUBLE) AS x FROM embeddings), {L} SELECT row_id, pos, {_r('v')} AS v FROM l",
+    "sql_assign": f"WITH {V}, {U}, {_kmeans(K, 0)} SELECT row_id, label FROM a0",
     "vmf_em_t3": f"WITH {V}, {U}, {_em(MIX, STEPS)} SELECT k, {_r('kappa', 4)} AS kappa, {_r('pi', 4)} AS pi, {_r('log_c', 4)} AS log_c, {_r(f'(SELECT sum(ll) FROM (SELECT DISTINCT row_id, ll FROM z{STEPS - 1}))', 4)} AS loglik FROM p{STEPS}",
     "vmf_posterior": f"WITH {V}, {U}, {_em(MIX, STEPS)} SELECT row_id, arg_max(k, lp) AS label, {_r('max(g)', 5)} AS gamma, {_r('any_value(ll)', 4)} AS loglik FROM z{STEPS} GROUP BY row_id",
     "vmf_subset_start": _subset_start(6, 300),
