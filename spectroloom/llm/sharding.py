@@ -3,8 +3,8 @@
 Records hash into a fixed number of virtual slots by their text, so equal texts lie together. The bytes of
 each slot are summed, and a versioned map gives each slot its shard. Version 0 deals slots out in turn;
 rebalancing edits it into the next version: slots stay where they are while their shard is below an even
-share, and the rest go, largest first, to the shard with the least. A text whose copies are too heavy for
-that is split by document first; whatever else is in its slot stays together by text.
+share, and the rest go, largest first, to the shard with the least. Only a text whose copies outweigh a whole
+share, and so fit no shard, is split by document first; whatever else is in its slot stays together by text.
 """
 
 from __future__ import annotations
@@ -19,12 +19,10 @@ from spectroloom.llm.common import checkpointed
 
 #: Virtual slots.
 SLOTS = 4096
-#: Copies of one text above this part of a shard's even share are split by document, into parts of about a quarter of that.
-HEAVY = 0.5
+#: A slot whose texts together outweigh this part of a share is split by text, and a text too heavy for a shard by document, into parts of a quarter of that.
+PART = 0.5
 #: Cells of a shard's documents in which places are numbered.
 CELLS = 1024
-#: The rows of a text that has more than one in so many of all rows are dealt over cells one by one.
-HOT_ROWS = 512
 
 
 def initial_map(spark: SparkSession, n_shards: int, n_slots: int = SLOTS) -> DataFrame:
@@ -87,62 +85,62 @@ def rebalance(slot_map: DataFrame, slot_bytes: DataFrame, n_shards: int) -> Data
     item = F.struct((-F.col("bytes")).alias("order"), "slot", "bytes", F.when(F.col("shard") < n_shards, F.col("shard")).alias("shard"))
     one = slots.agg(F.array_sort(F.collect_list(item)).alias("slots"), F.sum("bytes").alias("total"), (F.coalesce(F.max("version"), F.lit(-1)) + 1).alias("version"))
     share = F.ceil(F.col("total") / n_shards)
-    done = "array<struct<slot:bigint,shard:int>>"
-    start = F.struct(_loads(n_shards).alias("loads"), F.array().cast(done).alias("done"), F.array().cast("array<struct<slot:bigint,bytes:bigint>>").alias("pool"))
+    # Decisions are noted in a string, which grows without copying what it holds as an array's elements would be.
+    note = lambda acc, shard: F.concat(acc["notes"], shard.cast("string"), F.lit(","))
+    start = F.struct(_loads(n_shards).alias("loads"), F.lit("").alias("notes"))
 
     def keep(acc: Column, x: Column) -> Column:
         shard = F.coalesce(x["shard"], _least(acc["loads"]))
         stays = F.get(acc["loads"], shard) + x["bytes"] <= share
-        placed = F.array(F.struct(x["slot"].alias("slot"), shard.alias("shard")))
-        waits = F.array(F.struct(x["slot"].alias("slot"), x["bytes"].alias("bytes")))
-        return F.struct(
-            F.when(stays, _put(acc["loads"], shard, x["bytes"])).otherwise(acc["loads"]).alias("loads"),
-            F.when(stays, F.concat(acc["done"], placed)).otherwise(acc["done"]).alias("done"),
-            F.when(stays, acc["pool"]).otherwise(F.concat(acc["pool"], waits)).alias("pool"),
-        )
+        return F.struct(F.when(stays, _put(acc["loads"], shard, x["bytes"])).otherwise(acc["loads"]).alias("loads"), note(acc, F.when(stays, shard).otherwise(-1)).alias("notes"))
 
     def place(acc: Column, x: Column) -> Column:
         shard = _least(acc["loads"])
-        return F.struct(_put(acc["loads"], shard, x["bytes"]).alias("loads"), F.concat(acc["done"], F.array(F.struct(x["slot"].alias("slot"), shard.alias("shard")))).alias("done"))
+        return F.struct(_put(acc["loads"], shard, x["bytes"]).alias("loads"), note(acc, shard).alias("notes"))
 
-    kept = one.select("version", F.aggregate("slots", start, keep).alias("k"))
-    all_placed = kept.select("version", F.aggregate(F.col("k.pool"), F.struct(F.col("k.loads").alias("loads"), F.col("k.done").alias("done")), place).alias("p"))
-    return all_placed.select("version", F.explode("p.done").alias("s")).select("version", "s.slot", "s.shard")
+    noted = lambda slots, notes: F.zip_with(slots, F.split(notes, ","), lambda s, n: F.when(s.isNotNull(), F.struct(s["slot"].alias("slot"), s["bytes"].alias("bytes"), n.cast("int").alias("shard"))))
+    kept = one.withColumn("k", F.aggregate("slots", start, keep)).select("version", F.filter(noted(F.col("slots"), F.col("k.notes")), lambda s: s.isNotNull()).alias("slots"), F.col("k.loads").alias("loads"))
+    kept = kept.withColumns({"pool": F.filter("slots", lambda s: s["shard"] < 0), "slots": F.filter("slots", lambda s: s["shard"] >= 0)})
+    placed = kept.withColumn("p", F.aggregate("pool", F.struct(F.col("loads").alias("loads"), F.lit("").alias("notes")), place)["notes"])
+    placed = placed.withColumn("pool", F.filter(noted(F.col("pool"), F.col("p")), lambda s: s.isNotNull()))
+    return placed.select("version", F.explode(F.concat("slots", "pool")).alias("s")).select("version", "s.slot", "s.shard")
 
 
 def slot_records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_shards: int = 8, n_slots: int = SLOTS) -> DataFrame:
-    """``(doc_id, size, text_crc32, virtual_slot, cell)`` of every document.
+    """``(doc_id, size, text_crc32, n, virtual_slot, cell)`` of every document, equal rows together as ``n``.
 
-    Documents of one text share a virtual slot, unless they are ``HEAVY`` together: such a text has slots
-    of its own, which its documents are dealt over by id. A slot whose other texts are too heavy is split
-    by text. Null texts count as empty; null ids and repeated rows keep their rows. Cells only spread
-    the numbering of places.
+    Documents of one text share a virtual slot, unless they outweigh a shard's whole share together: such a
+    text has slots of its own, which its documents are dealt over by id, and copies of a row one by one. A slot
+    whose other texts are too heavy is split by text. Null texts count as empty; null ids are kept. Cells only
+    spread the numbering of places. All of it is a function of what a row holds, not of where it lies.
     """
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"), F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("line"))
-    rows = checkpointed(rows)
-    texts = rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    totals = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
-    limit = F.lit(HEAVY * (totals["bytes"] or 0) / n_shards)
-    hot = texts.where((F.col("bytes") > limit) | (F.col("n") * HOT_ROWS > totals["n"]))  # n_shards / HEAVY and HOT_ROWS rows at most
-    hot = hot.select("h", F.when(F.col("bytes") > limit, F.ceil(4 * F.col("bytes") / limit)).alias("parts"), F.lit(True).alias("hot"))
-    hot = checkpointed(hot.withColumn("nth", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("h"))))
-    rows = rows.join(F.broadcast(hot), "h", "left").withColumn("first_slot", F.pmod("h", F.lit(n_slots)))
-    others = rows.where("parts is null").groupBy("first_slot").agg(F.sum("size").alias("slot_bytes"))
-    split = others.where(F.col("slot_bytes") > limit).select("first_slot", F.ceil(4 * F.col("slot_bytes") / limit).alias("text_parts"))
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"), F.xxhash64(body).alias("h"))
+    rows = checkpointed(rows.groupBy("doc_id", "size", "text_crc32", "h").agg(F.count("*").alias("n")))
+    weight = F.sum(F.col("size") * F.col("n"))
+    share = (rows.agg(weight.alias("bytes")).first()["bytes"] or 0) / n_shards
+    part = F.lit(PART * share / 4)
+    heavy = rows.groupBy("h").agg(weight.alias("bytes")).where(F.col("bytes") > share)  # n_shards rows at most
+    heavy = heavy.select("h", F.ceil(F.col("bytes") / part).alias("parts"))
+    heavy = checkpointed(heavy.withColumn("nth", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("h"))))
+    rows = rows.join(F.broadcast(heavy), "h", "left").withColumn("first_slot", F.pmod("h", F.lit(n_slots)))
+    others = rows.where("parts is null").groupBy("first_slot").agg(weight.alias("slot_bytes"))
+    split = others.where(F.col("slot_bytes") > PART * share).select("first_slot", F.ceil(F.col("slot_bytes") / part).alias("text_parts"))
     rows = rows.join(F.broadcast(split), "first_slot", "left")  # at most one row for each of the fixed slots
-    own = F.xxhash64("doc_id", "h")
+    pieces = F.coalesce(F.least("n", "parts"), F.lit(1)).cast("int")
+    rows = rows.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    rows = rows.withColumn("n", F.floor(F.col("n") / F.col("pieces")) + (F.col("piece") < F.col("n") % F.col("pieces")).cast("long"))
+    own = F.xxhash64("doc_id", "h", "piece")
     by_text = F.coalesce(F.pmod(F.xxhash64("h"), "text_parts"), F.lit(0))
     by_row = F.lit(1 << 20) * F.col("nth") + F.pmod(F.shiftrightunsigned(own, 10), "parts")
-    cell = F.pmod(F.when(F.col("hot"), F.xxhash64("line")).otherwise(own), F.lit(CELLS)).cast("int")
-    return rows.select("doc_id", "size", "text_crc32", (F.col("first_slot") + n_slots * F.coalesce(by_row, by_text)).alias("virtual_slot"), cell.alias("cell"))
+    return rows.select("doc_id", "size", "text_crc32", "n", (F.col("first_slot") + n_slots * F.coalesce(by_row, by_text)).alias("virtual_slot"), F.pmod(own, F.lit(CELLS)).cast("int").alias("cell"))
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text: str = "text", n_slots: int = SLOTS, slot_map: DataFrame | None = None, map_path: str | None = None) -> DataFrame:
     """One row per document: its shard, by near-equal bytes, and its place there.
 
     The size is the text's UTF-8 bytes and 1; null texts count as empty. ``slot`` numbers the documents of
-    a shard from 0 without gaps. Equal texts share a shard unless they are more than about half of one.
+    a shard from 0 without gaps. Equal texts share a shard unless they outweigh an even share.
     Null and repeated ids are allowed: every row is placed. ``slot_map`` is the version to edit; without
     one, the last one stored under ``map_path``, or version 0. With ``map_path`` the version edited, if
     it is new, and its successor are stored there.
@@ -153,13 +151,14 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", te
     before = slot_map if slot_map is not None else load_map(spark, map_path) if stored else initial_map(spark, n_shards, n_slots)
     if map_path and not stored:
         save_map(before, map_path)
-    edited = checkpointed(rebalance(before, rows.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("size").alias("bytes")), n_shards))
+    edited = checkpointed(rebalance(before, rows.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum(F.col("size") * F.col("n")).alias("bytes")), n_shards))
     if map_path:
         save_map(edited, map_path)
     placed = rows.join(F.broadcast(edited.withColumnRenamed("slot", "virtual_slot")), "virtual_slot")  # a row for each virtual slot: a fixed number
-    cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    cells = placed.groupBy("shard", "cell").agg(F.sum("n").alias("n"))
     start = F.sum("n").over(W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
     starts = F.broadcast(cells.select("shard", "cell", start.alias("start")))  # CELLS rows a shard
-    within = F.row_number().over(W.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = placed.withColumn("within", within).join(starts, ["shard", "cell"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("within")).alias("slot"), F.lit(None).cast(T.IntegerType()).alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
+    in_cell = W.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size", "virtual_slot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = placed.withColumn("within", F.sum("n").over(in_cell) - F.col("n")).join(starts, ["shard", "cell"])
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("within") + F.col("copy")).alias("slot"), F.lit(None).cast(T.IntegerType()).alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))

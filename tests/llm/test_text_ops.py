@@ -361,6 +361,45 @@ def test_sharding_balances_and_splits(spark):
     assert len(loads) == 8 and max(loads.values()) < 1.02 * min(loads.values())
 
 
+def test_sharding_keeps_texts_up_to_a_share_whole(spark):
+    """A text of 0.6 of a share, copies of it or one long document, lies in one shard; one of 1.5 shares cannot."""
+    rest = [(i, f"w{i} " * (1 + i % 9)) for i in range(2000)]
+    total = sum(len(t) + 1 for _, t in rest)
+    for part, whole in ((0.6, True), (0.95, True), (1.5, False)):
+        n = int(part * total / (8 - part)) // 51
+        got = assign_shards(spark.createDataFrame(rest + [(5000 + i, "h" * 50) for i in range(n)], "doc_id long, text string")).collect()
+        loads = Counter()
+        for r in got:
+            loads[r.shard] += r["size"]
+        assert (len({r.shard for r in got if r.doc_id >= 5000}) == 1) == whole and max(loads.values()) < 1.03 * min(loads.values())
+
+
+def test_slots_do_not_depend_on_the_partitioning(spark):
+    data = [(1, "same")] * 2000 + [(2, "same")] * 30 + [(i, "same") for i in range(900)] + [(i, f"t{i % 50}") for i in range(3000)] + [(None, None)] * 70
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    a, b = (sorted((tuple(r) for r in assign_shards(df.repartition(n)).collect()), key=str) for n in (3, 7))
+    assert a == b and len(a) == len(data)
+    loads = Counter()
+    for r in assign_shards(df).collect():
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) < 1.05 * min(loads.values())
+
+
+def test_the_edit_of_a_map_is_linear(spark):
+    import time
+
+    took = []
+    for n in (4096, 16384):
+        slot_bytes = spark.range(n).selectExpr("id AS slot", "1000 + id % 977 AS bytes")
+        best = []
+        for _ in range(2):
+            start = time.perf_counter()
+            assert rebalance(initial_map(spark, 8, n), slot_bytes, 9).count() == n
+            best.append(time.perf_counter() - start)
+        took.append(min(best))
+    assert took[1] < 6 * took[0] + 2
+
+
 def test_sharding_keeps_groups_of_a_heavy_slot(spark):
     """Beside one hot text, groups of equal texts in its slot stay whole."""
     hot = "hot text " * 20
