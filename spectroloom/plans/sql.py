@@ -68,6 +68,31 @@ def _kmeans(k: int, passes: int, tag: str = "") -> str:
     return ",\n".join(out)
 
 
+def _kmeans_fit(k: int) -> str:
+    """Seeds by exponential races over all parts, then passes by recursion until the inertia settles."""
+    time = lambda t: f"-ln(1.0 - {_uniform(_digest('u.row_id', repr(f'seed{t}')))})"
+    out = [f"{PART}, {_LIST}, u AS MATERIALIZED (SELECT row_id, list_transform(x, lambda q: q / greatest(sqrt(list_dot_product(x, x)), 1e-6)) AS x FROM pl)"]
+    for t in range(k):
+        drawn = ", ".join(f"(SELECT x FROM s{i})" for i in range(t))
+        weight = f"greatest(1.0 - list_max(list_transform([{drawn}], lambda c: list_dot_product(u.x, c))), 1e-12)" if t else "1.0"
+        out.append(f"s{t} AS MATERIALIZED (SELECT row_id, x FROM u ORDER BY {time(t)} / {weight}, row_id LIMIT 1)")
+    sims = "list_transform(cs, lambda c: list_dot_product(u.x, c))"
+    return f"""WITH RECURSIVE {', '.join(out)},
+r AS (SELECT 0 AS step, [{', '.join(f'(SELECT x FROM s{t})' for t in range(k))}] AS cs, NULL::DOUBLE AS inertia, false AS done
+  UNION ALL
+  SELECT step + 1, list(list_transform(m, lambda v: v / greatest(sqrt(list_dot_product(m, m)), 1e-6)) ORDER BY label), any_value(j),
+         coalesce(abs(any_value(j) - any_value(before)) < 1e-7 OR abs(any_value(j) - any_value(before)) / (abs(any_value(before)) + 1e-12) < 1e-4, false)
+  FROM (SELECT step, before, j, label, list(v ORDER BY pos) AS m
+        FROM (SELECT step, before, j, label, pos, avg(v) AS v
+              FROM (SELECT step, before, avg(gap) OVER () AS j, label, unnest(range(0, len(x))) AS pos, unnest(x) AS v
+                    FROM (SELECT step, r.inertia AS before, u.x, list_position({sims}, list_max({sims})) - 1 AS label, 1.0 - list_max({sims}) AS gap FROM r, u WHERE NOT done))
+              GROUP BY ALL)
+        GROUP BY ALL)
+  GROUP BY step)
+SELECT label::INT AS label, count(*) AS n, {_r('avg(gap)')} AS mean_dist
+FROM (SELECT list_position({sims}, list_max({sims})) - 1 AS label, 1.0 - list_max({sims}) AS gap FROM u, (SELECT cs FROM r ORDER BY step DESC LIMIT 1)) GROUP BY label"""
+
+
 def _elbow(k_max: int) -> str:
     parts = [_kmeans(k, PASSES - 1, f"k{k}_") for k in range(1, k_max + 1)]
     rows = " UNION ALL ".join(f"SELECT {k} AS k, avg(dist) AS j FROM ak{k}_{PASSES - 1}" for k in range(1, k_max + 1))
@@ -184,6 +209,32 @@ b3 AS (SELECT *, sqrt(list_dot_product(t, t)) > 5.0 AS can FROM b2),
 b4 AS (SELECT *, bool_or(can AND gate) OVER (PARTITION BY batch) AS any_can, CASE WHEN can THEN list_transform(range(1, len(x) + 1), lambda i: x[i] * cos(angle) + t[i] * (greatest(sqrt(list_dot_product(x, x)), 5.0) * sin(angle) / sqrt(list_dot_product(t, t)))) ELSE x END AS r FROM b3),
 b5 AS (SELECT row_id, CASE WHEN gate AND any_can THEN {_center('r')} ELSE x END AS y FROM b4)"""
 
+
+
+def _augmented() -> str:
+    """Both operations in the order that each batch draws: ``x`` is the row as it stands, ``o`` the row as it was."""
+
+    def shift(source: str, out: str) -> str:
+        place = "((i - 1) - delta)"
+        at = lambda p: f"x[greatest(0, least(len(x) - 1, {p}))::INT + 1]"
+        alpha = f"({place} - floor({place}))"
+        return f"""{out}_a AS (SELECT *, {DELTA} AS delta, {_uniform(_digest('row_id', repr('shift')))} < 0.5 AS gate FROM {source}),
+{out}_b AS (SELECT *, list_transform(range(1, len(x) + 1), lambda i: (1.0 - {alpha}) * {at(f'floor({place})')} + {alpha} * {at(f'floor({place}) + 1')}) AS y FROM {out}_a),
+{_reproject(f'{out}_b', f'{out}_r')}, {out} AS (SELECT row_id, label, o, CASE WHEN gate THEN y ELSE x END AS x FROM {out}_r)"""
+
+    def noise(source: str, out: str) -> str:
+        return f"""{out}_a AS (SELECT *, {_uniform(_digest('row_id', repr('noise')))} < 0.5 AS gate, radians(0.5 + {_uniform(_digest('row_id', repr('angle')))} * 2.5) AS angle, list_transform(list_transform(range(0, len(x)), lambda i: {_digest('row_id', 'i', f'{SEED}:noise')}), lambda g: {_NOISE}) AS d FROM {source}),
+{out}_z AS (SELECT * EXCLUDE (d), {_center('d')} AS z FROM {out}_a),
+{out}_t AS (SELECT *, list_transform(range(1, len(x) + 1), lambda i: z[i] - list_dot_product(z, x) / list_dot_product(x, x) * x[i]) AS t FROM {out}_z),
+{out}_b AS (SELECT *, list_transform(range(1, len(x) + 1), lambda i: x[i] * cos(angle) + t[i] * (sqrt(list_dot_product(x, x)) * sin(angle) / sqrt(list_dot_product(t, t)))) AS y FROM {out}_t),
+{_reproject(f'{out}_b', f'{out}_r')}, {out} AS (SELECT row_id, label, o, CASE WHEN gate THEN y ELSE x END AS x FROM {out}_r)"""
+
+    first = f"{_uniform(_digest('(row_id % 16)', repr('order')))} < 0.5"
+    return f"""WITH {V}, sf AS (SELECT row_id, label, x AS o, x FROM v WHERE {first}), nf AS (SELECT row_id, label, x AS o, x FROM v WHERE NOT {first}),
+{shift('sf', 'sf1')}, {noise('sf1', 'sf2')}, {noise('nf', 'nf1')}, {shift('nf1', 'nf2')}, e AS (SELECT * FROM sf2 UNION ALL SELECT * FROM nf2)
+SELECT label, count(*) AS n, {_r('avg(list_dot_product(o, x) / (sqrt(list_dot_product(o, o)) * sqrt(list_dot_product(x, x))))', 4)} AS mean_cosine FROM e GROUP BY label"""
+
+
 _EMIT = f"SELECT row_id, unnest(range(0, len(y)))::INT AS pos, {_r('unnest(y)')} AS v"
 _LIST = "pl AS (SELECT row_id, list(v ORDER BY pos) AS x FROM l GROUP BY row_id)"
 
@@ -199,6 +250,7 @@ ORACLE_SQL: dict[str, str] = {
     "cosine_to_first_rows": f"WITH {V}, {U} SELECT a.row_id, b.row_id AS other, {_r('1.0 - list_dot_product(a.x, b.x)')} AS dissimilarity FROM u a, u b WHERE b.row_id < {K}",
     "cosine_assign": f"WITH {V}, {U}, {_kmeans(K, 0)} SELECT row_id, label, {_r('dist')} AS dist FROM a0",
     "kmeans_lloyd_t4": f"WITH {V}, {U}, {_kmeans(K, PASSES)} SELECT row_id, label, {_r('dist')} AS dist FROM a{PASSES}",
+    "kmeans_fit": _kmeans_fit(K),
     "elbow_kmeans": _elbow(8),
     "elbow_by_group": _elbow_by_group(),
     "silhouette_samples": f"WITH {V}, {U}, {_PAIRS.format(t='u')}, {_SIL} SELECT row_id, label::BIGINT AS label, {_r('s')} AS silhouette FROM sil",
@@ -209,6 +261,7 @@ ORACLE_SQL: dict[str, str] = {
     "tangent_noise": f"WITH {V}, {_NOISED}, {_reproject('n3', 'n4')} {_EMIT} FROM n4",
     "shift_augmented": f"WITH {V}, {_shifted('v', 'r')}, {_reproject('r', 'w')}, k AS (SELECT row_id, CASE WHEN {_uniform(_digest('row_id', repr('shift')))} < 0.5 THEN y ELSE x END AS y FROM w) {_EMIT} FROM k",
     "noise_by_batch": f"WITH {V}, {_BY_BATCH} {_EMIT} FROM b5",
+    "augmented_angles": _augmented(),
     "patch_masks": f"WITH {V}, {_MASK} SELECT row_id, patch, masked FROM h",
     "masked_losses": f"WITH {V}, {_LOSS}, t AS (SELECT label, sum(error) AS s, sum(n) AS n, count(*) AS b FROM o GROUP BY label) SELECT label, 'sum' AS reduction, {_r('s')} AS loss FROM t UNION ALL SELECT label, 'mean', {_r('s / n')} FROM t UNION ALL SELECT label, 'batch_mean', {_r('s / b')} FROM t",
     "masked_mse_by_label": f"WITH {V}, {_LOSS} SELECT label, {_r('sum(error) / sum(n)')} AS loss FROM o GROUP BY label",
