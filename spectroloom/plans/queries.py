@@ -13,7 +13,7 @@ from spectroloom.functions import models, rng
 from spectroloom.functions import vectors as V
 from spectroloom.operators.augment import SpectraAugmenter, SpectraAugmenterConfig
 from spectroloom.operators.kmeans import CosineKMeans, elbow_ckmeans
-from spectroloom.operators.masks import evaluate, masked_losses_by, masked_mse, patch_mask
+from spectroloom.operators.masks import evaluate, fixed_visible, masked_losses_by, masked_mse, patch_aligned, patch_mask, visible_mask
 from spectroloom.operators.matrix import unit
 from spectroloom.operators.network import AutoencoderConfig, MaskedAutoencoder
 from spectroloom.operators.preprocess import SNVScaler, cosine_fps_downsample, grouped_fps
@@ -60,6 +60,12 @@ def snv_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(out, "back")
 
 
+def snv_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one, two and three values; a single one has no spread but eps."""
+    rows = S.embeddings(spark, sf_dir).withColumn("x", F.slice("x", 1, (F.col("row_id") % 3 + 1).cast("int")))
+    return SNVScaler(transform_stats=True).transform(rows).select("row_id", F.posexplode("y").alias("pos", "y"), "sd").select("row_id", "pos", rounded("y").alias("y"), rounded("sd").alias("sd"))
+
+
 def snv_part_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(SNVScaler().transform(S.part_month(spark, sf_dir)), "y", "y")
 
@@ -116,6 +122,13 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(model, rows).groupBy("label").agg(F.count("*").alias("n"), rounded(F.avg("dist")).alias("mean_dist"))
 
 
+def kmeans_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three equal first centroids: two clusters are empty and restart at the rows farthest from theirs."""
+    rows = S.embeddings(spark, sf_dir)
+    start = np.repeat(first_rows(rows, 1), 3, 0)
+    return _labels(CosineKMeans(3, tol=0.0, max_iter=2).fit(rows, init=start), rows)
+
+
 def elbow_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K = 1..8 from the first rows, PASSES passes each, and the elbow of the inertias."""
     rows = S.embeddings(spark, sf_dir)
@@ -197,6 +210,19 @@ def patch_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_id", (F.col("pos") / 4).cast("int").alias("patch"), "masked").distinct()
 
 
+def visible_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many positions each row sees, and whether its mask, and the mask moved by one place, keep to patches."""
+    rows = S.embeddings(spark, sf_dir).select("row_id", visible_mask(F.col("row_id"), 64, 16, 4, SEED).alias("visible"))
+    moved = F.concat(F.slice("visible", 64, 1), F.slice("visible", 1, 63))
+    return rows.select("row_id", F.size(F.filter("visible", lambda v: v)).alias("n_visible"), patch_aligned(F.col("visible"), 16).alias("aligned"), patch_aligned(moved, 16).alias("moved_aligned"))
+
+
+def fixed_mask_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One visible mask for all rows, every second patch of four."""
+    rows = fixed_visible(_recon(spark, sf_dir).drop("masked"), [p // 4 % 2 == 0 for p in range(64)])
+    return masked_mse(rows, by=["label"]).select("label", rounded("loss").alias("loss"))
+
+
 def _recon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, their shifted selves in place of a reconstruction, and masks."""
     rows = S.embeddings(spark, sf_dir)
@@ -285,6 +311,15 @@ def vmf_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "label", rounded(F.array_max("gamma"), 5).alias("gamma"), rounded("loglik", 4).alias("loglik"))
 
 
+def sql_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved mixture called from SQL: labels and log likelihoods."""
+    rows, model = _mixture(spark, sf_dir)
+    folder = f"{_shared(spark)}/model-{uuid.uuid4().hex}"
+    model.save(spark, folder)
+    models.register_model(spark, "component_of_four", folder)
+    return spark.sql("SELECT row_id, component_of_four(x) AS label, round(component_of_four_loglik(x), 4) + 0.0D AS loglik FROM {rows}", rows=rows)
+
+
 def vmf_subset_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts at which a mixture of six starts when it is seeded on the 300 parts with the least digests."""
     rows = S.part_month(spark, sf_dir).persist()
@@ -354,8 +389,8 @@ def _shared(spark: SparkSession) -> str:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    snv, snv_stats, snv_inverse, snv_part_month, spectra_part_month, spectra_supplier_month, spectra_user_hour, l2_normalize, cosine_to_first_rows,
-    cosine_assign, kmeans_lloyd_t4, kmeans_fit, elbow_kmeans, elbow_by_group, silhouette_samples, silhouette_by_label, silhouette_part_size, silhouette_in_blocks, fractional_shift, tangent_noise,
-    shift_augmented, noise_by_batch, augmented_angles, patch_masks, masked_losses, masked_mse_by_label, evaluate_batches, lr_schedule, ema_fold, ema_by_user, ema_events, positions, npy_round_trip, sql_assign, vmf_em_t3, vmf_posterior,
-    vmf_subset_start, vmf_elbow, vmf_elbow_nll, fps_k12, fps_by_label, extract_latents, reconstruction_loss, stream_scores,
+    snv, snv_stats, snv_inverse, snv_short, snv_part_month, spectra_part_month, spectra_supplier_month, spectra_user_hour, l2_normalize, cosine_to_first_rows,
+    cosine_assign, kmeans_lloyd_t4, kmeans_fit, kmeans_repair, elbow_kmeans, elbow_by_group, silhouette_samples, silhouette_by_label, silhouette_part_size, silhouette_in_blocks, fractional_shift, tangent_noise,
+    shift_augmented, noise_by_batch, augmented_angles, patch_masks, visible_patches, fixed_mask_mse, masked_losses, masked_mse_by_label, evaluate_batches, lr_schedule, ema_fold, ema_by_user, ema_events, positions, npy_round_trip, sql_assign, vmf_em_t3, vmf_posterior,
+    vmf_subset_start, sql_mixture, vmf_elbow, vmf_elbow_nll, fps_k12, fps_by_label, extract_latents, reconstruction_loss, stream_scores,
 )}

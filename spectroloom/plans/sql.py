@@ -57,9 +57,9 @@ def _reproject(source: str, out: str) -> str:
 {out} AS (SELECT * EXCLUDE (c), list_transform(c, lambda q: q * (sqrt(list_dot_product(x, x)) / sqrt(list_dot_product(c, c)))) AS y FROM {out}_c)"""
 
 
-def _kmeans(k: int, passes: int, tag: str = "") -> str:
-    """CTEs a{tag}0.. (label and distance) from the first k rows; a{tag}N follows N passes."""
-    out = [f"c{tag}0 AS MATERIALIZED (SELECT row_id::INT AS k, x AS c FROM u WHERE row_id < {k})"]
+def _kmeans(k: int, passes: int, tag: str = "", first: bool = True) -> str:
+    """CTEs a{tag}0.. (label and distance) from the first k rows (or from a c{tag}0 that is there); a{tag}N follows N passes."""
+    out = [] if not first else [f"c{tag}0 AS MATERIALIZED (SELECT row_id::INT AS k, x AS c FROM u WHERE row_id < {k})"]
     for t in range(passes + 1):
         sim = "list_dot_product(u.x, c.c) / greatest(sqrt(list_dot_product(c.c, c.c)), 1e-6)"
         out.append(f"a{tag}{t} AS MATERIALIZED (SELECT row_id, arg_max(k, s) AS label, 1.0 - max(s) AS dist FROM (SELECT u.row_id, c.k, {sim} AS s FROM u CROSS JOIN c{tag}{t} c) GROUP BY row_id)")
@@ -243,6 +243,9 @@ ORACLE_SQL: dict[str, str] = {
     "snv_stats": f"WITH {V}, {L}, {SNV} SELECT row_id, {_r('any_value(mu)')} AS mu, {_r('any_value(sd)')} AS sd FROM s GROUP BY row_id",
     "snv_inverse": f"WITH {V}, {L} SELECT row_id, pos, {_r('v')} AS v FROM l",
     "snv_part_month": f"WITH {PART}, {SNV} SELECT row_id, pos, {_r('(v - mu) / sd')} AS y FROM s",
+    "snv_short": f"""WITH {V}, w AS (SELECT row_id, x[1:row_id % 3 + 1] AS x FROM v), m AS (SELECT row_id, x, list_sum(x) / len(x) AS mu FROM w),
+d AS (SELECT row_id, list_transform(x, lambda q: q - mu) AS c FROM m), e AS (SELECT row_id, c, sqrt(list_dot_product(c, c) / greatest(len(c) - 1, 1)) + 1e-12 AS sd FROM d)
+SELECT row_id, unnest(range(0, len(c)))::INT AS pos, {_r('unnest(list_transform(c, lambda q: q / sd))')} AS y, {_r('sd')} AS sd FROM e""",
     "spectra_part_month": f"WITH {PART} SELECT row_id, pos, {_r('v')} AS v FROM l",
     "spectra_supplier_month": f"WITH {SUPPLIER} SELECT row_id, pos, {_r('v')} AS v FROM l",
     "spectra_user_hour": f"WITH {HOUR} SELECT row_id, pos, {_r('v')} AS v FROM l",
@@ -251,6 +254,10 @@ ORACLE_SQL: dict[str, str] = {
     "cosine_assign": f"WITH {V}, {U}, {_kmeans(K, 0)} SELECT row_id, label, {_r('dist')} AS dist FROM a0",
     "kmeans_lloyd_t4": f"WITH {V}, {U}, {_kmeans(K, PASSES)} SELECT row_id, label, {_r('dist')} AS dist FROM a{PASSES}",
     "kmeans_fit": _kmeans_fit(K),
+    "kmeans_repair": f"""WITH {V}, {U}, f AS MATERIALIZED (SELECT u.row_id, u.x, row_number() OVER (ORDER BY 1.0 - list_dot_product(u.x, f.x) DESC, u.row_id) AS r FROM u, u f WHERE f.row_id = 0),
+l AS (SELECT pos, sum(v) AS v FROM (SELECT unnest(range(0, len(x))) AS pos, unnest(x) AS v FROM u) GROUP BY pos),
+cr0 AS MATERIALIZED (SELECT 0 AS k, list(v ORDER BY pos) AS c FROM l UNION ALL SELECT r::INT, x FROM f WHERE r <= 2),
+{_kmeans(3, 1, 'r', first=False)} SELECT row_id, label, {_r('dist')} AS dist FROM ar1""",
     "elbow_kmeans": _elbow(8),
     "elbow_by_group": _elbow_by_group(),
     "silhouette_samples": f"WITH {V}, {U}, {_PAIRS.format(t='u')}, {_SIL} SELECT row_id, label::BIGINT AS label, {_r('s')} AS silhouette FROM sil",
@@ -263,6 +270,8 @@ ORACLE_SQL: dict[str, str] = {
     "noise_by_batch": f"WITH {V}, {_BY_BATCH} {_EMIT} FROM b5",
     "augmented_angles": _augmented(),
     "patch_masks": f"WITH {V}, {_MASK} SELECT row_id, patch, masked FROM h",
+    "visible_patches": f"WITH {V}, {_MASK} SELECT row_id, (4 * count(*) FILTER (WHERE NOT masked))::INT AS n_visible, true AS aligned, min(masked::INT) = max(masked::INT) AS moved_aligned FROM h GROUP BY row_id",
+    "fixed_mask_mse": f"WITH {V}, {_shifted('v', 'r')}, e AS (SELECT label, pos, (b - a) * (b - a) AS e FROM (SELECT label, unnest(range(0, len(x))) AS pos, unnest(x) AS a, unnest(y) AS b FROM r)) SELECT label, {_r('avg(e)')} AS loss FROM e WHERE pos // 4 % 2 = 1 GROUP BY label",
     "masked_losses": f"WITH {V}, {_LOSS}, t AS (SELECT label, sum(error) AS s, sum(n) AS n, count(*) AS b FROM o GROUP BY label) SELECT label, 'sum' AS reduction, {_r('s')} AS loss FROM t UNION ALL SELECT label, 'mean', {_r('s / n')} FROM t UNION ALL SELECT label, 'batch_mean', {_r('s / b')} FROM t",
     "masked_mse_by_label": f"WITH {V}, {_LOSS} SELECT label, {_r('sum(error) / sum(n)')} AS loss FROM o GROUP BY label",
     "evaluate_batches": f"WITH {V}, {_LOSS}, t AS (SELECT row_id // 48 AS batch, sum(error) AS s, count(*) AS b FROM o GROUP BY 1) SELECT {_r('sum(s * b) / sum(b)')} AS loss, sum(b)::BIGINT AS n_rows FROM t",
@@ -274,6 +283,7 @@ ORACLE_SQL: dict[str, str] = {
     "npy_round_trip": f"WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, list_transform(embedding, lambda q: q::DOUBLE) AS x FROM embeddings), {L} SELECT row_id, pos, {_r('v')} AS v FROM l",
     "sql_assign": f"WITH {V}, {U}, {_kmeans(K, 0)} SELECT row_id, label FROM a0",
     "vmf_em_t3": f"WITH {V}, {U}, {_em(MIX, STEPS)} SELECT k, {_r('kappa', 4)} AS kappa, {_r('pi', 4)} AS pi, {_r('log_c', 4)} AS log_c, {_r(f'(SELECT sum(ll) FROM (SELECT DISTINCT row_id, ll FROM z{STEPS - 1}))', 4)} AS loglik FROM p{STEPS}",
+    "sql_mixture": f"WITH {V}, {U}, {_em(MIX, STEPS)} SELECT row_id, arg_max(k, lp) AS label, {_r('any_value(ll)', 4)} AS loglik FROM z{STEPS} GROUP BY row_id",
     "vmf_posterior": f"WITH {V}, {U}, {_em(MIX, STEPS)} SELECT row_id, arg_max(k, lp) AS label, {_r('max(g)', 5)} AS gamma, {_r('any_value(ll)', 4)} AS loglik FROM z{STEPS} GROUP BY row_id",
     "vmf_subset_start": _subset_start(6, 300),
     "vmf_elbow": _vmf_elbow("bic", 3),
