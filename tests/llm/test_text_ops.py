@@ -53,6 +53,33 @@ def test_suffix_automaton_matches_brute_force():
             assert texts[t][end - n + 1 : end + 1] == query[i + 1 - n : i + 1]
 
 
+def test_license_labels_need_their_telling_words(spark):
+    """Labels, scores and spans against a plain search for wordings, near misses among the texts."""
+    from spectroloom.llm.license_scan import TEMPLATES, TELLING
+
+    misses = {
+        "Released under the Apache License": "apache", "a film released under the title of the book": "", "GNU General Public License version 2 only": "gpl",
+        "licensed under the Apache License": "apache", "licensed under the Creative Commons Attribution-NonCommercial 4.0 International License": "",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl,gpl-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the Sun": "",
+        "the Mozilla Public License, v. 1.1": "", "Released under the BSD license": "",
+    }
+    wordings = {f"Intro words here. {t} And more.": label for label, t in TEMPLATES.items()}
+    texts = [*misses, *wordings]
+    got = by_id(scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        if t in misses:
+            assert got[i].labels == misses[t], t
+            assert got[i].score == (1.0 if got[i].n_base else 0.0) or got[i].spans
+            continue
+        words, own = ALNUM.findall(t.translate(LOWER)), {s.label: s for s in got[i].spans}
+        body = ALNUM.findall(TEMPLATES[wordings[t]].translate(LOWER))
+        s = own[wordings[t]]
+        assert (s.first, s.last, s.cover) == (3, 3 + len(body) - 1, 1.0) and words[s.first : s.last + 1] == body and got[i].score == 1.0
+        for label in own:  # whatever else it is called, its telling words are there
+            tell = ALNUM.findall(TELLING[label].translate(LOWER))
+            assert any(words[k : k + len(tell)] == tell for k in range(len(words)))
+
+
 def test_license_scan(spark, no_docs, odd_docs):
     texts = ["Released under the MIT License.", "x GNU  general,public license y the Apache License. CC-BY 4", "mit licenses", None, "", "Licence: MIT license MIT LICENSE", "Redistribution and use in source and binary forms, with or without modification, are permitted", "plain words here"]
     got = by_id(scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")))
