@@ -206,6 +206,8 @@ def test_elbows_of_many_curves(spark):
             want = curve_bend(k, s, window, degree, smooth)
             assert np.allclose([r.curvature for r in own], want, rtol=1e-6, atol=1e-6)
             assert [r.k for r in own if r.is_elbow] == [k[1 + int(want.argmax())]]
+            alone = find_elbow_curvature(k, s, smooth, window, degree)
+            assert alone[:2] == (k[1 + int(want.argmax())], 1 + int(want.argmax())) and alone[2] == pytest.approx(want.max(), rel=1e-6)
         assert [r.k for r in found if r.c == 90 and r.is_elbow] == [2.0]  # a flat curve: the first inner point
     with pytest.raises(ValueError):
         elbows(spark.createDataFrame(rows, "c int, k double, _x double, n int"), ["c"], "k", "_x")
