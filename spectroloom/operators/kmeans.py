@@ -45,6 +45,22 @@ def _cluster_limbs(u: np.ndarray, gap: np.ndarray) -> np.ndarray:
     return np.c_[both.transpose(1, 0, 2).reshape(len(u), -1), np.ones(len(u))]
 
 
+#: Clusters up to which a batch's sums are one product with the rows' memberships.
+FEW = 256
+
+
+def _of_clusters(of_rows: np.ndarray, gap: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
+    """A batch's sums of k clusters, laid out as _cluster_limbs: integers below 2**53, so exact either way."""
+    both = np.concatenate([of_rows, exact.limbs(gap[:, None], whole=GAP_WHOLE)], 2).transpose(1, 0, 2).reshape(len(gap), -1)
+    both = np.c_[both, np.ones(len(gap))]
+    if k <= FEW:
+        member = np.zeros((k, len(gap)))
+        member[label, np.arange(len(gap))] = 1.0
+        return member @ both
+    order = np.argsort(label, kind="stable")
+    return np.add.reduceat(both[order], np.searchsorted(label[order], np.arange(k)), axis=0)
+
+
 def lloyd_pass(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """One E step and the sums of the M step for each model: cluster sums, counts, and the mean of 1 - cosine.
 
@@ -61,15 +77,18 @@ def lloyd_pass(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tupl
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
+        every, bound = np.concatenate(list(shared.value.values())), np.cumsum([0, *map(len, shared.value.values())])
         for batch in batches:
             u = unit(matrix(batch.column(1)))
-            for m, c in shared.value.items():
-                if not len(u):
-                    continue
-                similarity, label = best(exact.dots(u, c))
-                found = _cluster_limbs(u, 1.0 - similarity)
-                for k in np.unique(label).tolist():
-                    sums[m, k] = sums.get((m, k), 0.0) + found[label == k].sum(0)
+            if not len(u):
+                continue
+            of_rows, similarity = exact.limbs(u), exact.dots(u, every)
+            for m, lo, hi in zip(shared.value, bound, bound[1:]):
+                near, label = best(similarity[:, lo:hi])
+                held = np.unique(label)
+                found = _of_clusters(of_rows, 1.0 - near, np.searchsorted(held, label), len(held))
+                for k, v in zip(held.tolist(), found):
+                    sums[m, k] = sums.get((m, k), 0.0) + v
         if sums:
             yield stat_rows(sums)
 

@@ -113,6 +113,18 @@ def test_silhouettes_with_any_number_of_labels(spark, monkeypatch):
     assert silhouette_samples_cosine(df.limit(0)).collect() == []
 
 
+def test_sums_of_many_clusters_in_a_batch(monkeypatch):
+    g = np.random.default_rng(7)
+    u, label = M.unit(g.normal(size=(500, 4))), g.integers(0, 40, 500)
+    label[:40] = np.arange(40)
+    few = K._of_clusters(exact.limbs(u), g.random(500), label, 40)
+    g = np.random.default_rng(7)
+    g.normal(size=(500, 4)), g.integers(0, 40, 500)
+    monkeypatch.setattr(K, "FEW", 3)
+    assert np.array_equal(K._of_clusters(exact.limbs(u), g.random(500), label, 40), few)
+    assert np.allclose(exact.value(few[:, :-1].reshape(40, 3, 5)[7][:, :4]), u[label == 7].sum(0), atol=1e-14) and few[7, -1] == (label == 7).sum()
+
+
 def test_ragged_and_null_rows(spark):
     with pytest.raises(ValueError):
         M.matrix(pa.array([[0.0, 1.0, 9.0], [1.0], [1.0, 0.0]]))
