@@ -247,3 +247,23 @@ def test_bounded_start(spark):
     assert start_rows([9, 4], np.eye(2), 3, 1, "random") == start_rows([9, 4], np.eye(2), 3, 1, "random")
     with pytest.raises(ValueError):
         VMFMixture(5, start_rows=4)
+
+
+def test_faint_components_keep_their_own_scale(spark):
+    x = data(400, 8, 3)
+    u, seeds = M.unit(x, 1e-12), M.unit(x[[0, 1, 2]])
+    p = seeds, np.array([6.0, 9.0, 300.0]), np.log(np.array([1.0 - 1e-12, 1e-12, 1e-90]))
+    z = vmf.log_joint(u, p)
+    g = np.exp(z - vmf._logsumexp(z)[:, None])
+    n, s = g.sum(0), g.T @ u
+    length = np.sqrt((s * s).sum(1))
+    r = np.clip(length / n, 1e-6, 1.0 - 1e-6)
+    assert n[1] < 1e-8 and n[2] < 1e-30
+    found = [vmf.em_pass(frame(spark, x, parts=parts), {0: p})[0][0] for parts in (2, 5)]
+    mus, kappas, logpi = found[0]
+    assert np.allclose(mus, s / length[:, None], atol=1e-9)
+    assert np.allclose(kappas, r * (8 - r * r) / (1.0 - r * r + 1e-8), rtol=1e-8)
+    assert np.allclose(logpi, np.log(n / n.sum()), atol=1e-9)
+    assert all((a == b).all() for a, b in zip(*found))
+    nothing = vmf.em_pass(frame(spark, x), {0: (p[0], p[1], np.array([0.0, -1.0, -1e4]))})[0][0]
+    assert all(np.isfinite(v).all() for v in nothing) and not nothing[0][2].any()
