@@ -1,6 +1,7 @@
 """Inference with a masked autoencoder of spectra: patches, a pre-norm transformer encoder, an MLP decoder.
 
-Weights are a small dictionary of arrays that every task gets; rows stream through Arrow batches.
+Weights are a small dictionary of arrays that every task gets; rows stream through Arrow batches, of which few
+enough go through the network at a time that a layer's values are bounded.
 Hidden patches are left out as attention keys, so they cannot reach the latent vector.
 """
 
@@ -19,6 +20,9 @@ from spectroloom.operators.matrix import lists, matrix
 
 _erf = np.frompyfunc(math.erf, 1, 1)
 
+#: Values of the widest layer that a task computes at once.
+AT_ONCE = 1 << 19
+
 
 @dataclass(frozen=True)
 class AutoencoderConfig:
@@ -59,6 +63,19 @@ def shapes(c: AutoencoderConfig) -> dict[str, tuple[int, ...]]:
     return out
 
 
+def rows_at_once(c: AutoencoderConfig) -> int:
+    """How many rows have AT_ONCE values in the widest layer; one at least."""
+    tokens = c.n_patches + 1
+    encoder = tokens * max(c.dim_feedforward or 4 * c.d_model, 3 * c.d_model, c.nhead * tokens)
+    return max(1, AT_ONCE // max(encoder, c.seq_len, c.decoder_hidden or 0))
+
+
+def slices(batch: pa.RecordBatch, c: AutoencoderConfig) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in slices that may go through the network at once; none of an empty batch."""
+    size = rows_at_once(c)
+    return (batch.slice(i, size) for i in range(0, batch.num_rows, size))
+
+
 def initial_weights(c: AutoencoderConfig, seed: int = 42) -> dict[str, np.ndarray]:
     """Seeded weights: scaled uniform matrices, unit norms, small tokens."""
     rng = np.random.default_rng(seed)
@@ -157,9 +174,7 @@ class MaskedAutoencoder:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, w = model.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (part for whole in batches for part in slices(whole, c)):
                 z = encode_rows(c, w, matrix(batch.column(1)), matrix(batch.column(2)) > 0)
                 columns = [batch.column(0), *([lists(decode_rows(c, w, z))] if decode else []), lists(z)]
                 yield pa.RecordBatch.from_arrays(columns, names=["row_id", *["x_recon"] * decode, "z"])
