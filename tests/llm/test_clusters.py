@@ -1,7 +1,9 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spectroloom.llm import centroid_clusters as C
 
@@ -93,3 +95,20 @@ def test_bounds_spare_comparisons():
         np.fill_diagonal(by, 0)
         loose, c = by.max(1), moved
     assert scans[0] == 4000 and sum(scans[1:]) < 9 * 4000 * 0.5
+
+
+def test_checkpoints_leave_no_shuffle_files(spark):
+    from spectroloom.llm.common import CLEANUP, checkpointed
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (blocks.apply(i).getName() for i in range(blocks.size())) if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before, setting = shuffles(), spark.conf.get(CLEANUP)
+    out = checkpointed(spark.range(0, 1000, 1, 5).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP) == setting
+    assert sum(r["count"] for r in out.collect()) == 1000 and out.join(out, "k").count() == 7
